@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -59,10 +59,15 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-@pandas_udf("long")
-def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([fingerprint(t) for t in texts], index=texts.index, dtype="int64")
+def fingerprints(text: str) -> Column:
+    """The fingerprint of a text column."""
+
+    @pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t) for t in texts], index=texts.index, dtype="int64")
+
+    return run(text)
 
 
 class VantageTree:
