@@ -46,7 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
     below = by_level.rowsBetween(Window.unboundedPreceding, -1)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
     per = per.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-    per = per.withColumn("level", F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("level")))).over(everything)["level"])
+    # levels fall after the first that fits, so the largest that fits is the first
+    per = per.withColumn("level", F.max(F.when(F.col("fits"), F.col("level"))).over(everything))
     per = per.withColumn("target", F.round(F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))), 6))
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     return per.withColumn("copies", copies).select("source", "source_size", "target", "copies", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget"))

@@ -1,3 +1,62 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+#: The same thresholds by a running sum over sorted hashes, and the level by the same closed form.
+MIXING = rf"""
+WITH sized AS (
+  SELECT doc_id, source, {_WORDS}::BIGINT AS size,
+         CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT) AS weight
+  FROM sized GROUP BY source),
+lev AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+         (sum(source_size::DOUBLE) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER w, 0.0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0::DOUBLE)) AS level
+  FROM per WINDOW w AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, round(least(cap, coalesce((SELECT max(level) FROM lev WHERE level <= cap / weight) * weight, cap)), 6) AS target FROM lev),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM targets),
+runs AS (
+  SELECT source, h, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM sized GROUP BY source, h),
+cut AS (
+  SELECT b.source, max(CASE WHEN r.upto - r.n <= b.target - b.copies * b.source_size
+                             AND (r.upto <= b.target - b.copies * b.source_size OR b.target - b.copies * b.source_size - (r.upto - r.n) >= r.n / 2.0)
+                        THEN r.h END) AS last
+  FROM budgets b JOIN runs r ON b.source IS NOT DISTINCT FROM r.source WHERE r.n > 0 GROUP BY b.source)
+SELECT s.doc_id, s.size, b.source_size, b.target, (s.size * (b.copies + CASE WHEN s.h <= c.last THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN cut c ON c.source IS NOT DISTINCT FROM s.source
+"""
+
+#: Exact distinct counts for every line; the sketches only save counting most of them.
+LINE_DEDUP = r"""
+WITH docs AS (SELECT *, row_number() OVER () AS rid FROM documents),
+split AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs),
+lines AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM split),
+bad AS (
+  SELECT t, min({'none': doc_id IS NULL, 'id': doc_id, 'pos': pos}) AS first FROM lines
+  WHERE length(t) >= 20 GROUP BY t HAVING count(DISTINCT coalesce(source, '')) >= 5),
+marked AS (
+  SELECT l.*, bad.t IS NOT NULL AND NOT (bad.first.id IS NOT DISTINCT FROM l.doc_id AND bad.first.pos = l.pos) AS gone FROM lines l LEFT JOIN bad ON bad.t = l.t),
+kept AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS left_text FROM marked GROUP BY rid)
+SELECT d.doc_id, coalesce(k.n_removed, 0)::BIGINT AS n_removed, length(CASE WHEN d.text IS NOT NULL THEN coalesce(k.left_text, d.text) END)::BIGINT AS n_chars_left,
+       md5(CASE WHEN d.text IS NOT NULL THEN coalesce(k.left_text, d.text) END) AS text_md5
+FROM docs d LEFT JOIN kept k USING (rid)
+"""
+
+#: All pairs of queries and rows.
+TOP_K = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.ints, v.ints), p -> p[1] * p[2]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_topk": TOP_K, "op5_mixing": MIXING, "op8_line_dedup": LINE_DEDUP}
