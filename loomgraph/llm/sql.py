@@ -50,10 +50,10 @@ FROM docs d LEFT JOIN kept k USING (rid)
 #: All pairs of queries and rows.
 TOP_K = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS ints FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.ints, v.ints), p -> p[1] * p[2]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.ints, v.ints)])::BIGINT AS score
   FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
 QUALIFY rank <= 10
