@@ -190,7 +190,7 @@ def author_year_key(author: Column, year: Column) -> Column:
 
 def expand_keys(body: Column) -> Column:
     """Citation numbers of a bracket's body, ranges spelt out, each once and in order."""
-    parts = F.transform(F.split(body, ","), F.trim)
+    parts = F.transform(F.split(body, ","), lambda p: F.trim(p))
 
     def numbers(part: Column) -> Column:
         ends = F.transform(F.split(part, "-", 2), lambda x: F.trim(x).cast("int"))
