@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import schemas as S
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """The frame, written to the folder that driver and executors share and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomgraph.sources.shared import written
 
 
 def node_types(structural: bool = False, evidence: bool = False, citations: bool = False, wanted: list[str] | None = None) -> list[str]:
@@ -48,11 +34,11 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
     """id, hops for all nodes within a number of undirected steps of the seeds (id): a frontier that only grows by what it
     hasn't seen, written between rounds so that plans stay short."""
     links = both_ways(edges)
-    seen = _written(seeds.select("id", F.lit(0).alias("hops")).distinct())
+    seen = written(seeds.select("id", F.lit(0).alias("hops")).distinct())
     frontier = seen
     for k in range(1, hops + 1):
         new = frontier.select(F.col("id").alias("source")).join(links, "source").select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = _written(new.withColumn("hops", F.lit(k)))
+        frontier = written(new.withColumn("hops", F.lit(k)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -163,12 +149,13 @@ def entities_by_tokens(entities: DataFrame, tokens: DataFrame, types: list[str]
 
 
 def contains_join(rows: DataFrame, key: str, name: str, tokens: DataFrame) -> DataFrame:
-    """question_id, key for names that contain a token (question_id, token) of three characters or more."""
+    """question_id, key for names that contain a token (question_id, token) of two characters or more."""
     low = F.lower(F.col(name))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
-    left = rows.where(F.length(name) >= 3).select(F.col(key), low.alias("said"), F.explode(grams).alias("gram"))
-    right = tokens.select("question_id", "token", F.substring("token", 1, 3).alias("gram"))
-    return left.join(right, "gram").where(F.col("said").contains(F.col("token"))).select("question_id", key).distinct()
+    grams = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    left = rows.select(F.col(key), low.alias("said"), F.explode(F.array_union(grams(2), grams(3))).alias("gram"))
+    words = tokens.select("token").distinct().select("token", F.substring("token", 1, 3).alias("gram")).where(F.length("token") >= 2)
+    hits = left.join(words, "gram").where(F.col("said").contains(F.col("token"))).select("token", key).distinct()
+    return hits.join(tokens, "token").select("question_id", key).distinct()
 
 
 def canonicals_by_tokens(registry: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -278,7 +278,7 @@ def grb06_relations(t: GraphTables) -> DataFrame:
     return G.upsert_relations(kept)
 
 
-@query(with_graph("SELECT type, count(*) AS n FROM rm WHERE type = 'EVALUATED_ON' GROUP BY 1"))
+@query(with_graph("SELECT type, count(*) AS n FROM rm WHERE type IN ('EVALUATED_ON', 'ABOUT') GROUP BY 1"))
 def grb06_skipped(t: GraphTables) -> DataFrame:
     return G.with_endpoints(t.relation_mentions, t.entities.where("type <> 'Task'"))[1].groupBy("type").agg(F.count("*").alias("n"))
 

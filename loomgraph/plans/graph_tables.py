@@ -59,9 +59,9 @@ class GraphTables:
 
     @property
     def relation_mentions(self) -> DataFrame:
-        """document_id, passage_id, type, source_uid, target_uid, confidence, seq of three relations per line item."""
+        """document_id, passage_id, type, source_uid, target_uid, confidence, seq of four relations per line item."""
         uid = lambda kind, col: F.struct(X.entity_uid(F.lit(kind), c(col)).alias("uid"))["uid"]
-        made = [("USES", ("Method", "p_name"), ("Dataset", "p_brand")), ("EVALUATED_ON", ("Method", "p_name"), ("Task", "c_mktsegment")), ("AFFILIATED_WITH", ("Author", "c_name"), ("Institution", "s_name"))]
+        made = [("USES", ("Method", "p_name"), ("Dataset", "p_brand")), ("EVALUATED_ON", ("Method", "p_name"), ("Task", "c_mktsegment")), ("AFFILIATED_WITH", ("Author", "c_name"), ("Institution", "s_name")), ("ABOUT", ("Dataset", "p_brand"), ("Task", "c_mktsegment"))]
         rel = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), uid(*s).alias("source_uid"), uid(*o).alias("target_uid")) for t, s, o in made]))
         return self.lines.select("document_id", "passage_id", "confidence", rel.alias("r")).select("document_id", "passage_id", "r.*", "confidence", c("passage_id").alias("seq"))
 
@@ -180,6 +180,7 @@ entities AS (SELECT lower(type) || ':' || {SLUG('name')} AS uid, type, name FROM
 relation_mentions AS (
   SELECT document_id, passage_id, 'USES' AS type, 'method:' || {SLUG('p_name')} AS source_uid, 'dataset:' || {SLUG('p_brand')} AS target_uid, confidence, passage_id AS seq FROM lines
   UNION ALL SELECT document_id, passage_id, 'EVALUATED_ON', 'method:' || {SLUG('p_name')}, 'task:' || {SLUG('c_mktsegment')}, confidence, passage_id FROM lines
+  UNION ALL SELECT document_id, passage_id, 'ABOUT', 'dataset:' || {SLUG('p_brand')}, 'task:' || {SLUG('c_mktsegment')}, confidence, passage_id FROM lines
   UNION ALL SELECT document_id, passage_id, 'AFFILIATED_WITH', 'author:' || {SLUG('c_name')}, 'institution:' || {SLUG('s_name')}, confidence, passage_id FROM lines),
 rm AS (SELECT *, 'ri:' || {SLUG('type')} || ':' || source_uid || ':' || target_uid AS uid FROM relation_mentions),
 relations AS (SELECT uid, min(type) AS type, min(source_uid) AS source_uid, min(target_uid) AS target_uid, arg_max(confidence, seq) AS confidence FROM rm GROUP BY uid),
