@@ -211,7 +211,7 @@ ORACLES = {
     "src03_duplicates": """WITH h AS (SELECT doc_id, md5(text) AS file_hash FROM documents), k AS (SELECT file_hash, min(doc_id) AS id FROM h WHERE doc_id % 10 = 0 GROUP BY 1),
       a AS (SELECT *, min(doc_id) OVER (PARTITION BY file_hash) AS first_id FROM h WHERE doc_id % 10 <> 0)
       SELECT a.doc_id AS document_id, coalesce(k.id, CASE WHEN first_id <> doc_id THEN first_id END) AS existing_id FROM a LEFT JOIN k USING (file_hash)""",
-    "src04_metadata": "SELECT source AS document_id, arg_min(md5(text), doc_id) AS file_hash, arg_max(lang || '-' || doc_id, doc_id) AS file_name, max(doc_id) AS seq FROM documents GROUP BY 1",
+    "src04_metadata": "SELECT source AS document_id, arg_min(md5(text), (doc_id % 2) * 1000000000000 + doc_id) AS file_hash, arg_max(lang || '-' || doc_id, doc_id) AS file_name, max(doc_id) AS seq FROM documents GROUP BY 1",
     "src05_payloads": "SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS name, event_type = 'error' AS quarantined FROM events",
     "src09_picker": "SELECT 'doc:order:' || o_orderkey AS document_id, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || '.pdf' WHEN 1 THEN 'Order ' || o_orderkey ELSE CASE WHEN length('doc:order:' || o_orderkey) > 12 THEN substr('doc:order:' || o_orderkey, 1, 12) || '...' ELSE 'doc:order:' || o_orderkey END END AS display_name FROM orders",
 }

@@ -43,13 +43,14 @@ def mark_duplicates(arrivals: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """The next snapshot: for each key the values of its highest seq; columns in ``keep`` stay as first written."""
-    rows = current.unionByName(changes)
-    values = [c for c in rows.columns if c not in (*keys, *keep, "seq")]
+    """The next snapshot: for each key the values of its highest seq; columns in ``keep`` stay as first written, so what the
+    current snapshot has of them stands."""
+    rows = current.withColumn("is_change", F.lit(0)).unionByName(changes.withColumn("is_change", F.lit(1)))
+    values = [c for c in current.columns if c not in (*keys, *keep, "seq")]
     last = [F.max_by(F.struct(*values), "seq").alias("last")] if values else []
-    first = [F.min_by(F.struct(*keep), "seq").alias("first")] if keep else []
+    first = [F.min_by(F.struct(*keep), F.struct("is_change", "seq")).alias("first")] if keep else []
     out = rows.groupBy(*keys).agg(*last, *first, F.max("seq").alias("seq"))
-    return out.select(*keys, *[F.col(f"first.{c}") if c in keep else F.col(f"last.{c}") for c in rows.columns if c not in (*keys, "seq")], "seq")
+    return out.select(*keys, *[F.col(f"first.{c}") if c in keep else F.col(f"last.{c}") for c in current.columns if c not in (*keys, "seq")], "seq")
 
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
