@@ -7,7 +7,9 @@ more than r beyond its threshold; fingerprints nearer to the threshold than that
 On 64 random-like bits with r = 4 that bound skips little: nearly every fingerprint is near every median. The
 forest therefore has one tree per group of bits. Distance over some of the bits is a metric below the whole one, and if
 the trees' radii r_i satisfy sum(r_i + 1) > 4, two fingerprints within 4 bits are within r_i in one group at least: no
-pair is lost, and each tree prunes with a radius of 1 or 0 instead of 4. Shards compare whole fingerprints exactly.
+pair is lost, and each tree prunes with a smaller radius. The default has five trees of radius 0, so that every fingerprint
+visits five shards whatever the number of rows; trees of radius 1 or more overlap at their borders and visit more shards
+with every level (``forest`` takes any). Shards compare whole fingerprints exactly.
 
 Trees are built from a bounded sample of distinct fingerprints (``SAMPLE``); that decides where shards are cut, never
 which pairs are found. Shards beyond ``SHARD_CAP`` are dealt out again as pairs of blocks.
@@ -33,8 +35,10 @@ from .components import connected_components, spanning_stars
 
 MAX_BITS, SHINGLE, SEED = 4, 4, 42
 #: (mask, radius) of each tree; the radii plus one add up to more than MAX_BITS.
-FOREST = (((1 << 22) - 1, 1), (((1 << 22) - 1) << 22, 1), (((1 << 20) - 1) << 44, 0))
-SAMPLE, SHARD, SHARD_CAP = 20_000, 1024, 4096
+FOREST = tuple((((1 << width) - 1) << at, 0) for at, width in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)))
+#: Three trees, two of which overlap at their borders.
+OVERLAPPING = (((1 << 22) - 1, 1), (((1 << 22) - 1) << 22, 1), (((1 << 20) - 1) << 44, 0))
+SAMPLE, SHARD, SHARD_CAP = 20_000, 1024, 8192
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
