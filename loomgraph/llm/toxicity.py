@@ -83,17 +83,19 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], groups: tuple[t
     if not 0 < share < 1:
         return ToxicityModel({}, 30.0 if share == 1 else -30.0)
     swap = {t: tuple(x for x in g if x != t) for g in groups for t in g}
-    words = [words_of(t) for t in texts]
-    sets = [{x for v in ws for x in features(v)} for ws in words]
+    same: dict[str, str] = {}
+    words = [{same.setdefault(v, v) for v in words_of(t)} for t in texts]  # one string for each word, however many texts
+    of = lambda ws: {x for v in ws for x in features(v)}
     n1, n0 = Counter(), Counter()
-    for s, label in zip(sets, toxic, strict=True):
-        (n1 if label else n0).update(s)
+    for ws, label in zip(words, toxic, strict=True):
+        (n1 if label else n0).update(of(ws))
     t1, t0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
     # what tells the classes apart most, by the signed root of the likelihood ratio
     def tells(x: str) -> float:
         p, q = (n1[x] + 0.5) / (t1 + 1), (n0[x] + 0.5) / (t0 + 1)
         return abs(p - q) * abs(np.log(p / q))
-    common = sorted((x for x in n1 | n0 if n1[x] + n0[x] >= min_texts), key=lambda x: (-tells(x), x))[:n_features]
+    common = sorted((x for x in n1.keys() | n0.keys() if n1[x] + n0[x] >= min_texts), key=lambda x: (-tells(x), x))[:n_features]
+    del n1, n0
     for term in sorted(swap):
         common += [x for x in features(term) if x not in set(common)]
     at = {x: i for i, x in enumerate(common)}
@@ -106,8 +108,8 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], groups: tuple[t
             other.append((ws - set(named)) | {swap[t][rng.integers(len(swap[t]))] for t in named})
         else:
             other.append(ws | {terms[rng.integers(len(terms))]})
-    cols, rows = _csr([sorted(at[x] for x in s if x in at) for s in sets])
-    cols2, rows2 = _csr([sorted({at[x] for v in ws for x in features(v) if x in at}) for ws in other])
+    cols, rows = _csr([sorted(at[x] for x in of(ws) if x in at) for ws in words])
+    cols2, rows2 = _csr([sorted(at[x] for x in of(ws) if x in at) for ws in other])
     n, d = len(texts), len(common)
     theta, bias = np.zeros(d), np.log(share / (1 - share))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
@@ -127,7 +129,7 @@ def held_out(doc_id):  # noqa: ANN001, ANN201
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> ToxicityModel:
     """Fit on about ``per_class`` labelled texts of each class (the documented bound), drawn by hash from rows that aren't
     held out and weighted back to the classes' shares. Copies of a text count once."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -138,7 +140,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Toxicity
     share = {k: min(1.0, per_class / c) for k, c in n.items()}
     limit = F.when(F.col("toxic") > 0, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     drawn = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000)) < limit * 1_000_000)
-    rows = {(r.text or "", int(r.toxic > 0)) for r in docs.join(drawn, "doc_id").select("text", "toxic").limit(5 * per_class).toLocalIterator()}
+    # the drawn labels are few, by the bound: they go to the documents, whose texts needn't move
+    drawn = F.broadcast(drawn.limit(4 * per_class))
+    rows = {(r.text or "", int(r.toxic > 0)) for r in docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic").limit(5 * per_class).toLocalIterator()}
     texts = sorted(rows)
     return fit([t for t, _ in texts], [x for _, x in texts], [1 / share[x] for _, x in texts])
 
