@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph import schemas as S
 from loomgraph.functions import text as X
 from loomgraph.operators.graph_read import contains_join
+from loomgraph.sources.shared import written
 
 MOST_CANDIDATES, FALLBACKS, MOST_PER_CANDIDATE = 20, 5, 10
 WEAK, WEAK_KEPT = 0.55, 2
@@ -27,6 +28,11 @@ def nth(df: DataFrame, name: str, *order: Column | str, by: tuple[str, ...] = ()
     return df.withColumn(name, F.row_number().over(per(*by).orderBy(*order)))
 
 
+def half_even(x: Column) -> Column:
+    """Two decimals, halves to even, whatever the last bits of a sum are."""
+    return F.bround(F.round(100 * x, 9), 0) / 100
+
+
 def same_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+", " "))
 
@@ -139,7 +145,7 @@ def representatives(candidates: DataFrame, most: int = MOST_CANDIDATES) -> DataF
 
 def select_candidates(asked: DataFrame, graph) -> DataFrame:  # noqa: ANN001
     """question_id, entity_id, name, type, score, reason, source, rank."""
-    local = local_candidates(asked, graph.entities, graph.entity_documents, graph.instances)
+    local = written(local_candidates(asked, graph.entities, graph.entity_documents, graph.instances), "local")  # read twice
     spare = fallback_candidates(asked, local, graph.entities, density(graph.relations, graph.evidence, graph.citations))
     canonical = canonical_candidates(asked, graph.entities, graph.entity_documents, graph.instances, graph.registry)
     return representatives(merged(boosted(local.unionByName(spare).unionByName(canonical), asked)))
@@ -367,7 +373,7 @@ def answers(asked: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFra
         .otherwise(F.when(has, cat("Relation lookup shows ", node, " connected via ", relation, ". Evidence: ", fact)).otherwise(cat("Relation lookup found ", node, " connected through ", relation, ".")))
     )
     found = F.when(n > 0, text).otherwise("We couldn’t find strong supporting evidence for this question in your documents.")
-    score = F.when(n == 0, 0.0).otherwise(F.bround(F.least(F.lit(1.0), 0.45 * F.least(F.lit(1.0), n / 5) + 0.35 * F.coalesce("avg_importance", F.lit(0.0)) + 0.20 * F.least(F.lit(1.0), k / F.greatest(F.lit(1), n))), 2))
+    score = F.when(n == 0, 0.0).otherwise(half_even(F.least(F.lit(1.0), 0.45 * F.least(F.lit(1.0), n / 5) + 0.35 * F.coalesce("avg_importance", F.lit(0.0)) + 0.20 * F.least(F.lit(1.0), k / F.greatest(F.lit(1), n)))))
     anchors = F.array_distinct(F.concat(X.question_tokens(c("question")), F.filter("entity_hints", lambda h: F.length(h) >= 3)))
     anchored = F.exists(anchors, lambda t: F.exists("names", lambda m: F.lower(m).contains(t)))
     strict = c("answer_mode") == "answer"

@@ -173,7 +173,7 @@ wk AS (SELECT * EXCLUDE (pos), CASE WHEN any_ok THEN pos ELSE sure END AS pos FR
 ww AS (SELECT *, count(*) FILTER (WHERE confidence < 0.55) OVER (PARTITION BY question_id, upper(relation_type) ORDER BY pos) AS weak FROM wk),
 relevant AS (SELECT * FROM ww WHERE confidence >= 0.55 OR weak <= 2),
 nm AS (SELECT question_id, list(lower(name)) AS names FROM candidates GROUP BY 1),
-fe AS (SELECT r.*, a.intent, a.relation_hints, a.max_evidence, a.include_citations, nm.names, lower(trim(coalesce(document_id, document_name, ''))) AS home, citation_label IS NOT NULL OR reference_entry_id IS NOT NULL AS cited FROM relevant r JOIN asked a USING (question_id) JOIN nm USING (question_id)),
+fe AS (SELECT r.*, a.intent, a.relation_hints, a.max_evidence, a.include_citations, nm.names, lower(trim(coalesce(r.document_id, document_name, ''))) AS home, citation_label IS NOT NULL OR reference_entry_id IS NOT NULL AS cited FROM relevant r JOIN asked a USING (question_id) JOIN nm USING (question_id)),
 ff AS (SELECT *, count(*) OVER (PARTITION BY question_id, said) AS copies, count(*) OVER (PARTITION BY question_id, home) AS from_home FROM fe),
 sc AS (
   SELECT *, round(CASE WHEN len([n for n in names if contains(lower(snippet), n)]) > 0 THEN 2.0::DOUBLE ELSE 0 END + {_WEIGHT} + CASE WHEN cited THEN 1.4::DOUBLE * {_case('intent', S.CITATION_FACTORS, 1.0)} ELSE 0 END + 1.8::DOUBLE * greatest(0, least(1, confidence))
@@ -206,7 +206,7 @@ ni AS (SELECT question_id, count(*) AS i FROM insights GROUP BY 1),
 a0 AS (SELECT a.*, names, only_fallback, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(imp, 0) AS imp, coalesce(i, 0) AS i FROM asked a LEFT JOIN names_ USING (question_id) LEFT JOIN ne USING (question_id) LEFT JOIN nc USING (question_id) LEFT JOIN im USING (question_id) LEFT JOIN ni USING (question_id)),
 a1 AS (SELECT *, len([t for t in list_concat([w for w in words if length(w) > 2], [h for h in entity_hints if length(h) >= 3]) if len([m for m in names if contains(lower(m), t)]) > 0]) > 0 AS anchored FROM a0),
 a2 AS (SELECT *, CASE WHEN names IS NULL THEN 'no_candidates' WHEN answer_mode = 'answer' AND intent = 'SUMMARY' AND only_fallback AND NOT coalesce(anchored, false) THEN 'weak_fallback' WHEN answer_mode = 'answer' AND n = 0 THEN 'no_evidence' END AS gate,
-  CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round_even(least(1.0::DOUBLE, 0.45::DOUBLE * least(1.0::DOUBLE, n / 5.0::DOUBLE) + 0.35::DOUBLE * imp + 0.20::DOUBLE * least(1.0::DOUBLE, k / greatest(1, n)::DOUBLE)), 2) END AS conf FROM a1)
+  CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round_even(round(100 * least(1.0::DOUBLE, 0.45::DOUBLE * least(1.0::DOUBLE, n / 5.0::DOUBLE) + 0.35::DOUBLE * imp + 0.20::DOUBLE * least(1.0::DOUBLE, k / greatest(1, n)::DOUBLE)), 9), 0) / 100 END AS conf FROM a1)
 SELECT question_id, intent, gate, CASE WHEN gate IS NULL THEN conf ELSE 0 END::DOUBLE AS confidence, CASE WHEN gate IS NOT NULL OR conf < 0.3 THEN 'NO_GROUNDING' WHEN conf >= 0.65 THEN 'GROUNDED' ELSE 'WEAK_GROUNDING' END AS badge,
   CASE WHEN gate IS NOT NULL THEN 'no_evidence_hard_gate' WHEN n = 0 THEN 'no_evidence' WHEN intent = 'CITATION_BASIS' AND k = 0 THEN 'citation_missing' WHEN n < 2 OR conf < 0.45 THEN 'weak_match' END AS uncertainty_reason,
   CASE WHEN gate IS NULL THEN n ELSE 0 END AS n_evidence, CASE WHEN gate IS NULL THEN k ELSE 0 END AS n_citations, CASE WHEN gate IS NULL THEN i ELSE 0 END AS n_insights, array_to_string(coalesce(names[1:3], []), '|') AS closest_concepts FROM a2"""
@@ -288,7 +288,7 @@ def qry31_reliable(t: Grounded) -> DataFrame:
     return Q.reliable(Q.clusters(t.clustered)).select("question_id", "cluster_key")
 
 
-@query(sql(_CLUS, "SELECT *, CASE WHEN confidence >= 0.7 AND count(*) FILTER (WHERE confidence >= 0.7) OVER (PARTITION BY question_id ORDER BY insight_rank) <= 3 THEN 'primary' ELSE 'deferred' END AS \"group\" FROM insights").replace("SELECT *, CASE", "SELECT question_id, type, text, confidence, supports, insight_rank::INT AS insight_rank, CASE"))
+@query(sql(_CLUS, "SELECT question_id, type, text, confidence, supports, insight_rank::INT AS insight_rank, CASE WHEN confidence >= 0.7 AND count(*) FILTER (WHERE confidence >= 0.7) OVER (PARTITION BY question_id ORDER BY insight_rank) <= 3 THEN 'primary' ELSE 'deferred' END AS \"group\" FROM insights"))
 def qry35_insights(t: Grounded) -> DataFrame:
     return Q.insight_groups(Q.insights(Q.clusters(t.clustered)))
 
