@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 #: The split pattern of byte-level BPE.
@@ -66,7 +67,7 @@ class Vocabulary:
 class TrieEncoder:
     """Encodes distinct words in sorted order over one stack of last-token states; keeps a bounded cache of words."""
 
-    def __init__(self, vocabulary: Vocabulary, cache_words: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, cache_words: int = 200_000):
         self.v, self.limit = vocabulary, cache_words
         self.words: dict[str, tuple[int, ...]] = {}
         self.follows: dict[int, bool] = {}
@@ -79,7 +80,7 @@ class TrieEncoder:
         known = self.follows.get(key)
         if known is None:
             known = self._apart(a, b)
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > 500_000:
                 self.follows.clear()
             self.follows[key] = known
         return known
@@ -188,7 +189,7 @@ class TrieEncoder:
         return raw.decode("utf-8", "replace")
 
 
-def groups(texts: pd.Series, size: int = 4_000_000) -> Iterator[list[str]]:
+def groups(texts: pd.Series, size: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``size`` characters."""
     some, n = [], 0
     for t in texts:
@@ -217,6 +218,24 @@ def encoder(spark: SparkSession, path: str):  # noqa: ANN201
     return encode
 
 
+def encode_documents(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+    """The columns ``keep`` and ids, one row per document. Rows leave in runs of a million characters of text, so that neither
+    side ever holds more than the ids of one run."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = TrieEncoder(shared.value)
+        for pdf in batches:
+            at = 0
+            for some in groups(pdf["text"]):
+                part = pdf[list(keep)].iloc[at : at + len(some)]
+                yield part.assign(ids=[np.array(ids, dtype=np.int32) for ids in e.encode_all(some)])
+                at += len(some)
+
+    return docs.select(*keep, "text").mapInPandas(run, out)
+
+
 def decoder(spark: SparkSession, path: str):  # noqa: ANN201
     """A column function array of token ids -> text."""
     shared = spark.sparkContext.broadcast(Vocabulary.load(path))

@@ -298,6 +298,8 @@ def test_bpe_is_the_library(docs, odd, none, spark):
         assert got[r.doc_id].n_tokens == len(ids)
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    rows = bpe.encode_documents(docs.withColumn("ids", F.lit(1)), tokenizer_path(), "doc_id", "source").collect()
+    assert {r.doc_id: len(r.ids) for r in rows} == {i: r.n_tokens for i, r in got.items()}
     back = odd.select("text", bpe.decoder(spark, tokenizer_path())(bpe.encoder(spark, tokenizer_path())("text")).alias("back")).collect()
     assert all((r.text or "") == r.back for r in back)
     assert bpe.digests(none, tokenizer_path()).count() == 0
