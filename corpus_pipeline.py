@@ -33,9 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their number and the number of characters that they decode to."""
-    path = tokenizer_path()
-    ids = docs.select("doc_id", "source", bpe.encoder(spark, path)("text").alias("ids"))
+    """Token ids of each document, and their number."""
+    ids = bpe.encode_documents(docs, tokenizer_path(), "doc_id", "source")
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
