@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -189,7 +190,7 @@ class TrieEncoder:
         return raw.decode("utf-8", "replace")
 
 
-def groups(texts: pd.Series, size: int = 1_000_000) -> Iterator[list[str]]:
+def groups(texts: Iterable[str | None], size: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``size`` characters."""
     some, n = [], 0
     for t in texts:
@@ -224,16 +225,19 @@ def encode_documents(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = TrieEncoder(shared.value)
-        for pdf in batches:
+        for batch in batches:
             at = 0
-            for some in groups(pdf["text"]):
-                part = pdf[list(keep)].iloc[at : at + len(some)]
-                yield part.assign(ids=[np.array(ids, dtype=np.int32) for ids in e.encode_all(some)])
+            for some in groups(batch.column("text").to_pylist()):
+                ids = [np.array(x, dtype=np.int32) for x in e.encode_all(some)]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                part = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, "ids"])
                 at += len(some)
 
-    return docs.select(*keep, "text").mapInPandas(run, out)
+    return docs.select(*keep, "text").mapInArrow(run, out)
 
 
 def decoder(spark: SparkSession, path: str):  # noqa: ANN201
