@@ -144,7 +144,7 @@ def str02_stage_check(t: GraphTables) -> DataFrame:
 
 
 @query(_JOBS + """, a AS (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY ts, seq) AS before FROM k), b AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS until FROM a WHERE before IS NULL OR before <> stage)
-  SELECT job_id, seq, stage, epoch_ms(until) - epoch_ms(ts) AS ms FROM b WHERE until IS NOT NULL""")
+  SELECT job_id, seq, stage, epoch_us(until) // 1000 - epoch_us(ts) // 1000 AS ms FROM b WHERE until IS NOT NULL""")
 def str03_durations(t: GraphTables) -> DataFrame:
     return J.stage_durations(J.split_stages(job_events(t))[0])
 
