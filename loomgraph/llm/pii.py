@@ -2,14 +2,16 @@
 
 Four patterns with checks find the base spans. The field then labels each document's entity-like tokens: neighbours in
 reading order form the chain, and tokens that repeat or hold the same digits are joined by skip edges, which share
-potentials over any distance. Loopy message passing makes labels agree across the document, so a number that a
-pattern recognised once is also found where it stands without its prefix or separators. Base spans stay; spans the field
-is sure of come on top.
+potentials over any distance. Every occurrence has its own edge to the base span that it repeats (one for each kind), so
+that what the pattern recognised counts for it in full however many other repeats there are. Loopy message passing makes labels
+agree across the document, so a number that a pattern recognised once is also found where it stands without its prefix or
+separators. Base spans stay; spans the field is sure of come on top.
 
 The field's weights are trained by pseudo-likelihood on a bounded sample of documents that hold base spans.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are read whole, in time linear in
-their length (each occurrence has a skip edge to the next one only); rows that repeat get equal spans.
+their length (an occurrence has a skip edge to the first base span of each kind that it repeats, and repeats of no base
+span to the one before); rows that repeat get equal spans, whatever stands in other rows.
 """
 
 from __future__ import annotations
@@ -96,6 +98,36 @@ def _shape(token: str) -> list[float]:
     return [1.0, "@" in token, token.startswith("+"), token.count(".") == 3, "-" in token, " " in token, "(" in token, letters > 0, digits < 5, 5 <= digits < 9, 9 <= digits < 12, 12 <= digits <= 19, digits > 19, "=" in token]
 
 
+#: Digits that a part of a number must have to stand for it, and that the longest base span has.
+LEAST, MOST = 7, 19
+#: Kinds of names that any token has; the others tie it to phone numbers.
+OWN = ("same", "alike")
+
+
+def _asked(lower: str) -> list[tuple[str, str]]:
+    """Names of a token: base spans that go by one of them are what it repeats."""
+    digits = "".join(c for c in lower if c.isdigit())
+    number = "@" not in lower and len(digits) >= LEAST
+    key = digits[-10:] if number else lower.partition("@")[0]
+    out = [("same", lower)] + [("alike", key)] * (len(key) >= 5)
+    if number:
+        # a phone number also goes by its last digits, and a longer one ends in it; zeros in front are dialling prefixes
+        bare = digits.lstrip("0")
+        bare = bare if len(bare) >= LEAST else digits
+        out.append(("tail", bare))
+        out += [("whole", bare[-n:]) for n in range(LEAST, min(len(bare), MOST) + 1)]
+    return out
+
+
+def _names(lower: str, kind: int) -> list[tuple[str, str]]:
+    """Names that a base span goes by."""
+    out = [name for name in _asked(lower) if name[0] in OWN]
+    if KINDS[kind] == "phone":
+        digits = "".join(c for c in lower if c.isdigit())
+        out += [("whole", digits)] + [("tail", digits[-n:]) for n in range(LEAST, len(digits) + 1)]
+    return out
+
+
 def build(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph:
     """The field's graph over the documents that hold base spans."""
     doc, start, end, base, rows, edges = [], [], [], [], [], []
@@ -112,8 +144,13 @@ def build(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph:
                 tokens.append((m.start(), m.start() + len(core), -1))
         nodes = sorted(tokens + found)
         first = len(doc)
-        same: dict[str, int] = {}
-        alike: dict[str, int] = {}
+        entities: dict[tuple[str, str], dict[int, int]] = {}  # by name and kind the first base span
+        for i, (a, b, kind) in enumerate(nodes, first):
+            if kind >= 0:
+                for name in _names(text[a:b].lower(), kind):
+                    entities.setdefault(name, {}).setdefault(kind, i)
+        before: dict[tuple[str, str], int] = {}
+        joined_to_base = set()
         for i, (a, b, kind) in enumerate(nodes, first):
             token = text[a:b]
             doc.append(k)
@@ -123,14 +160,20 @@ def build(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph:
             rows.append(_shape(token))
             if i > first:
                 edges.append((i - 1, i, CHAIN))
-            lower = token.lower()
-            digits = "".join(c for c in lower if c.isdigit())
-            key = digits[-10:] if "@" not in lower and len(digits) >= 7 else lower.partition("@")[0]
-            if lower in same:
-                edges.append((same[lower], i, SAME))
-            elif len(key) >= 5 and key in alike:
-                edges.append((alike[key], i, SIMILAR))
-            same[lower] = alike[key] = i
+            asked = _asked(token.lower())
+            hits: dict[int, int] = {}
+            for name in asked:
+                for j in entities.get(name, {}).values():
+                    if j < i or kind < 0:
+                        hits.setdefault(j, SAME if name[0] == "same" else SIMILAR)
+            edges += [(j, i, how) for j, how in hits.items()]
+            if kind < 0:
+                if hits:
+                    joined_to_base.add(i)
+                last = next((name for name in asked if name[0] in OWN and name in before), None)
+                if last and not (hits and before[last] in joined_to_base):
+                    edges.append((before[last], i, SAME if last[0] == "same" else SIMILAR))
+                before.update({name: i for name in asked if name[0] in OWN})
     as_ints = lambda x: np.array(x, dtype=np.int64)
     return Graph(as_ints(doc), as_ints(start), as_ints(end), as_ints(base), np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES), as_ints(edges).reshape(-1, 3))
 
@@ -142,26 +185,36 @@ class Field:
     unary: np.ndarray
     agree: np.ndarray
 
-    def marginals(self, g: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Label probabilities of each node by loopy sum-product over all edges at once; base labels are held."""
+    def marginals(self, g: Graph, settled: float = 1e-6, rounds: int = 1000, damping: float = 0.3) -> np.ndarray:
+        """Label probabilities of each node by loopy sum-product over all edges at once; base labels are held.
+
+        A document's messages are sent until none changes by more than ``settled``, whatever other documents need;
+        ``rounds`` only ends cycles that never settle."""
         local = g.features @ self.unary
         held = g.base >= 0
-        local[held] = -30.0
+        local[held] = -1e9  # whatever number of repeats sends to it
         local[held, g.base[held]] = 0.0
-        if not len(g.edges):
-            return _softmax(local)
-        a, b = np.concatenate([g.edges[:, 0], g.edges[:, 1]]), np.concatenate([g.edges[:, 1], g.edges[:, 0]])
-        back = np.roll(np.arange(len(a)), len(g.edges))
-        gain = np.exp(np.concatenate([self.agree[g.edges[:, 2]]] * 2))[:, None] - 1
-        sent = np.zeros((len(a), OTHER + 1))
+        n = len(g.edges)
+        sent = np.zeros((2 * n, OTHER + 1))
+        ends = np.concatenate([g.edges[:, 0], g.edges[:, 1]]), np.concatenate([g.edges[:, 1], g.edges[:, 0]])
+        gains = np.exp(np.concatenate([self.agree[g.edges[:, 2]]] * 2))[:, None] - 1
+        moving = np.arange(n)
         for _ in range(rounds):
+            if not len(moving):
+                break
+            use = np.concatenate([moving, moving + n])
+            a, b, now = ends[0][use], ends[1][use], sent[use]
             belief = local.copy()
-            np.add.at(belief, b, sent)
-            p = _softmax(belief[a] - sent[back])
-            new = np.log1p(p * gain)  # a factor of exp(agree) where labels are equal, of 1 elsewhere
-            sent = damping * sent + (1 - damping) * (new - new.mean(axis=1, keepdims=True))
+            np.add.at(belief, b, now)
+            p = _softmax(belief[a] - np.roll(now, len(moving), axis=0))
+            new = np.log1p(p * gains[use])  # a factor of exp(agree) where labels are equal, of 1 elsewhere
+            new = damping * now + (1 - damping) * (new - new.mean(axis=1, keepdims=True))
+            sent[use] = new
+            restless = np.zeros(g.doc.max() + 1, dtype=bool)
+            restless[g.doc[a[np.abs(new - now).max(axis=1) > settled]]] = True
+            moving = moving[restless[g.doc[g.edges[moving, 0]]]]
         belief = local.copy()
-        np.add.at(belief, b, sent)
+        np.add.at(belief, ends[1], sent)
         return _softmax(belief)
 
 
@@ -172,7 +225,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], epochs: int = 300, rate: float = 0.5, l2: float = 1e-3) -> Field:
     """Pseudo-likelihood: each node given its neighbours' labels. Base spans give the labels; a token joined to a base span
-    by a skip edge but not matched itself is left unlabelled, as patterns can't tell."""
+    by a skip edge but not matched itself is left unlabelled, as patterns can't tell.
+
+    No edge's weight goes below 0. Base spans often stand beside spans of other kinds, and a weight against equal neighbours would
+    let the repeats of a number argue each other away; weights of 0 or more also let messages settle."""
     g = build(texts, [base_spans(t) for t in texts])
     prior, skip = np.zeros((N_FEATURES, OTHER + 1)), np.array(SKIP_PRIOR)
     prior[0, OTHER] = OTHER_PRIOR
@@ -193,6 +249,7 @@ def fit(texts: list[str], epochs: int = 300, rate: float = 0.5, l2: float = 1e-3
         err = (_softmax(x @ unary + np.tensordot(agree, votes, 1)) - target) / len(x)
         unary -= rate * (x.T @ err + l2 * (unary - prior))
         agree -= rate * ((votes * err).sum(axis=(1, 2)) + l2 * (agree - skip))
+        np.maximum(agree, 0.0, out=agree)
     return Field(unary, agree)
 
 

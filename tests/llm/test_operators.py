@@ -76,6 +76,16 @@ def test_field_labels_repeats_of_a_known_entity(docs):
     assert pii.redact("to a@b.co!", pii.base_spans("to a@b.co!")) == "to [email]!"
 
 
+@pytest.mark.parametrize("repeats", [1, 2, 5, 50, 300])
+@pytest.mark.parametrize(("known", "bare"), [("+1 (988) 555-2485", "988-555-2485"), ("+49 301234567", "301234567"), ("+49 301234567", "0301234567"), ("+301234567", "49301234567")])
+def test_field_finds_every_repeat(docs, repeats, known, bare):
+    field = pii.learn(docs)
+    for t in (f"Call {known} now. " + f"The number {bare} is hers; " * repeats, f"The number {bare} is hers; " * repeats + f"Call {known} now."):
+        spans = pii.find([t, "order 12345 and a@b.co"], field)[0][1]
+        assert [t[a:b] for a, b, k in spans if pii.KINDS[k] == "phone" and t[a] != "+"] == [bare] * repeats
+        assert pii.find([t], field)[0][1] == spans
+
+
 def test_pii_rows(odd, none, docs):
     got = pii.detect(odd, pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros(3))).collect()
     assert len(got) == len(ODD) and all(r.base == [] for r in got)
