@@ -60,7 +60,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the patterns' checked matches, by start, then kind."""
+    """(start, end, kind) of the patterns' checked matches, by start, then end; :func:`find` lists them by kind."""
     out = [(a, b, 0) for a, b in _emails(text)]
     for m in _IP.finditer(text):
         if all(len(x) <= 3 or not x[:-3].strip("0") for x in m[0].split(".")) and all(int(x[-3:]) <= 255 for x in m[0].split(".")):
@@ -253,6 +253,11 @@ def fit(texts: list[str], epochs: int = 300, rate: float = 0.5, l2: float = 1e-3
     return Field(unary, agree)
 
 
+def listed(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in the order of the results: by start, then kind as listed."""
+    return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
+
+
 def find(texts: list[str], field: Field, sure: float = 0.9) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans, and those spans together with what the field adds."""
     base = [base_spans(t) for t in texts]
@@ -266,7 +271,7 @@ def find(texts: list[str], field: Field, sure: float = 0.9) -> list[tuple[list[t
         joined[skips[:, :2].ravel()] = True
         for i in np.flatnonzero((g.base < 0) & joined & (p[np.arange(len(p)), best] >= sure)):
             out[g.doc[i]][1].append((int(g.start[i]), int(g.end[i]), int(best[i])))
-    return [(b, sorted(s)) for b, s in out]
+    return [(listed(b), listed(s)) for b, s in out]
 
 
 def learn(docs: DataFrame, sample: int = 2000) -> Field:

@@ -86,6 +86,14 @@ def test_field_finds_every_repeat(docs, repeats, known, bare):
         assert pii.find([t], field)[0][1] == spans
 
 
+def test_spans_that_start_together_come_by_kind(spark):
+    none = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros(3))
+    t = ["4539578763621486@b.c", "1.2.3.4@b.c"]
+    assert [[(pii.KINDS[k], a, b) for a, b, k in base] for base, _ in pii.find(t, none)] == [[("email", 0, 20), ("card", 0, 16)], [("email", 0, 11), ("ip", 0, 7)]]
+    got = pii.detect(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), none).orderBy("doc_id").collect()
+    assert [[s.kind for s in r.base] for r in got] == [["email", "card"], ["email", "ip"]] and all(r.spans[:2] == r.base for r in got)
+
+
 def test_pii_rows(odd, none, docs):
     got = pii.detect(odd, pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros(3))).collect()
     assert len(got) == len(ODD) and all(r.base == [] for r in got)
