@@ -187,24 +187,26 @@ def near_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def fingerprint_groups(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """fp, component_id for each distinct fingerprint."""
+    """fp, label, component_id for each distinct fingerprint; each group has its own label, the smallest fingerprint."""
     first = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     labels = connected_components(materialise(near_links(first, max_bits), "simhash-links"))
     named = first.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = materialise(named, "simhash-named")
     least = materialise(named.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-least")
-    return materialise(named.join(least, "label").select("fp", "component_id"), "simhash-groups")
+    return materialise(named.join(least, "label").select("fp", "label", "component_id"), "simhash-groups")
 
 
 def keep_representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group: the one with the group's smallest doc_id (of rows that repeat it, one). Groups whose
     ids are all null keep one row. All columns stay."""
-    fp, key = fresh("fp", docs.columns), fresh("row_key", docs.columns)
+    key = fresh("row_key", docs.columns)
     # a row is known by its id and text; rows equal in both are copies of each other
     row = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     fps = materialise(row.select("doc_id", F.col(key).alias("row_key"), fingerprints("text").alias("fp")), "simhash-fp")
     groups = fps.join(fingerprint_groups(fps, max_bits), "fp")
-    best = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row_key").alias("row_key"))
-    best = materialise(best.select(F.col("component_id").alias(fp), F.col("row_key").alias(f"{key}_best")), "simhash-best")
-    kept = row.join(best, F.col("doc_id").eqNullSafe(F.col(fp)) & (F.col(key) == F.col(f"{key}_best")), "left_semi")
+    # ids and groups needn't go together: rows of one id can be in several groups, and groups can be without ids
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    best = groups.groupBy("label").agg(first.alias("first")).select(F.col("first.doc_id").alias(f"{key}_id"), F.col("first.row_key").alias(f"{key}_best"))
+    best = materialise(best, "simhash-best")
+    kept = row.join(best, F.col("doc_id").eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_best")), "left_semi")
     return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)

@@ -176,6 +176,19 @@ def test_near_groups(docs, odd, none, spark):
     assert simhash.near_groups(none).count() == 0 and simhash.keep_representatives(none).count() == 0
 
 
+def test_representatives_of_groups_that_share_an_id_or_have_none(spark):
+    said = ["the first of these has nothing in common", "quite another text about boats and harbours", "numbers one two three four five six", "a last one on the price of grain in spring"]
+    rows = [(None, t) for t in said] + [(None, said[0])] + [(7, said[1] + " where they lie"), (7, "unlike all of the above in each of its words"), (8, said[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [naive_fingerprint(t) for _, t in rows]
+    label = naive_components(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 4)
+    want = []
+    for x in set(label):
+        want.append(min((i is None, i or 0, t) for (i, t), y in zip(rows, label, strict=True) if y == x))
+    got = [(r.doc_id is None, r.doc_id or 0, r.text) for r in simhash.keep_representatives(df).collect()]
+    assert len(want) == 6 and sorted(got) == sorted(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 9)] + [(1, 1)]
     got = {r.id: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
