@@ -300,6 +300,14 @@ def grb09_citations(t: GraphTables) -> DataFrame:
     return written.withColumn("written", F.lit(True)).unionByName(missing.withColumn("written", F.lit(False))).groupBy("written").agg(F.count("*").alias("n"))
 
 
+@query(with_graph("SELECT passage_id IN (SELECT passage_id FROM passages JOIN documents_ USING (document_id) WHERE year < 1996) AS written, count(*) AS n FROM citations GROUP BY 1"))
+def grb09_citations_by_year(t: GraphTables) -> DataFrame:
+    """Passages of the documents before 1996 are written."""
+    kept = t.passages.join(t.documents.where("year < 1996").select("document_id"), "document_id", "left_semi")
+    written, missing = G.split_by_passage(t.citations, kept)
+    return written.withColumn("written", F.lit(True)).unionByName(missing.withColumn("written", F.lit(False))).groupBy("written").agg(F.count("*").alias("n"))
+
+
 @query(with_graph("SELECT citation_id, reference_id, confidence FROM citations"))
 def grb10_refers_to(t: GraphTables) -> DataFrame:
     return G.upsert_refers_to(t.citations.select("citation_id", "reference_id", "confidence", c("passage_id").alias("seq")), t.citations.select("citation_id"), t.references)

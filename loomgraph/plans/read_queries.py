@@ -53,15 +53,15 @@ def grr01_node_types(t: GraphTables) -> DataFrame:
     return t.nodes.where(c("type").isin(types)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-#: Two undirected steps from the documents of one year; instances don't lead back, as they do over four.
+#: Two undirected steps from the documents whose id has a prefix; instances don't lead back, as they do over four.
 _SCOPE = G + """, und AS (SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges), seeds AS (SELECT document_id AS id FROM documents_ WHERE document_id LIKE 'doc:1%'),
 h1 AS (SELECT DISTINCT target AS id FROM und JOIN seeds ON source = id), h2 AS (SELECT DISTINCT target AS id FROM und JOIN h1 ON source = id), near AS (SELECT id FROM seeds UNION SELECT id FROM h1 UNION SELECT id FROM h2),
 h3 AS (SELECT DISTINCT target AS id FROM und JOIN near ON source = id), h4 AS (SELECT DISTINCT target AS id FROM und JOIN h3 ON source = id), four AS (SELECT id FROM near UNION SELECT id FROM h3 UNION SELECT id FROM h4),
 peers AS (SELECT entity_uid AS id FROM instances WHERE canonical_id IN (SELECT canonical_id FROM instances WHERE entity_uid IN (SELECT id FROM four)))"""
 
 
-def _seeds(t: GraphTables) -> DataFrame:
-    return t.documents.where("document_id like 'doc:1%'").select(c("document_id").alias("id"))
+def _seeds(t: GraphTables, some: str = "document_id like 'doc:1%'") -> DataFrame:
+    return t.documents.where(some).select(c("document_id").alias("id"))
 
 
 @query(_SCOPE + " SELECT id FROM nodes WHERE id IN (SELECT id FROM four) UNION SELECT id FROM peers")
@@ -91,6 +91,33 @@ def grr08_counts(t: GraphTables) -> DataFrame:
     return R.graph_counts(t.nodes, t.edges, R.within_hops(t.edges, _seeds(t), 2).select("id"))
 
 
+#: The same four from all documents of one year.
+_YEAR = "year = 1995"
+_SCOPE_OF_YEAR = _SCOPE.replace("WHERE document_id LIKE 'doc:1%'", f"WHERE {_YEAR}")
+
+
+@query(_SCOPE_OF_YEAR + " SELECT id FROM nodes WHERE id IN (SELECT id FROM four) UNION SELECT id FROM peers")
+def grr04_document_scope_of_year(t: GraphTables) -> DataFrame:
+    return R.document_scope(t.nodes, t.edges, t.instances, _seeds(t, _YEAR))
+
+
+@query(_SCOPE_OF_YEAR + " SELECT DISTINCT id FROM nodes WHERE id IN (SELECT id FROM near)")
+def grr05_in_scope_of_year(t: GraphTables) -> DataFrame:
+    return R.document_scope(t.nodes, t.edges, t.instances, _seeds(t, _YEAR), hops=2, peers=False).distinct()
+
+
+@query(_SCOPE_OF_YEAR + " SELECT type, CASE WHEN source IN (SELECT id FROM near) AND target IN (SELECT id FROM near) THEN 'in_scope' ELSE 'bridged' END AS scope, count(*) AS n FROM edges GROUP BY ALL")
+def grr07_edge_scope_of_year(t: GraphTables) -> DataFrame:
+    scope = R.within_hops(t.edges, _seeds(t, _YEAR), 2).select("id")
+    return R.edge_scope(t.edges, scope).groupBy("type", "scope").agg(F.count("*").alias("n"))
+
+
+@query(_SCOPE_OF_YEAR + """ SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE id IN (SELECT id FROM near)) AS in_scope_nodes, count(*) AS edges,
+  count(*) FILTER (WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)) AS in_scope_edges, count(*) FILTER (WHERE NOT (source IN (SELECT id FROM near) AND target IN (SELECT id FROM near))) AS bridged_edges, NULL::VARCHAR AS warning FROM edges""")
+def grr08_counts_of_year(t: GraphTables) -> DataFrame:
+    return R.graph_counts(t.nodes, t.edges, R.within_hops(t.edges, _seeds(t, _YEAR), 2).select("id"))
+
+
 @query("SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges, 'empty_scope' AS warning WHERE (SELECT count(*) FROM orders) > 0")
 def grr09_warnings(t: GraphTables) -> DataFrame:
     none = t.nodes.where("type = 'Nothing'")
@@ -160,9 +187,9 @@ def grr16_summaries(t: GraphTables) -> DataFrame:
     return flat(R.node_summary(t.relations, t.evidence, t.citations), "dominant")
 
 
-def terms(t: GraphTables) -> DataFrame:
+def terms(t: GraphTables, some: str = "p_partkey % 3 = 0") -> DataFrame:
     """question_id, token: the words of part names, one question for each part brand."""
-    rows = t.raw("part").where("p_partkey % 3 = 0").select(c("p_brand").alias("question_id"), F.explode(F.split("p_name", " ")).alias("token"))
+    rows = t.raw("part").where(some).select(c("p_brand").alias("question_id"), F.explode(F.split("p_name", " ")).alias("token"))
     return rows.where("length(token) >= 3").distinct()
 
 
@@ -236,3 +263,24 @@ x AS (SELECT DISTINCT h.question_id, h.id, u.target AS neighbour FROM hit h LEFT
 def grr29_term_neighbourhood(t: GraphTables) -> DataFrame:
     nodes = t.entities.select(c("uid").alias("id"), c("name").alias("display_name"))
     return R.term_neighbourhood(nodes, t.edges, terms(t))
+
+
+#: The three lookups with the terms of all parts.
+_ALL = "true"
+_ALL_TERMS = _TERMS.replace(" WHERE p_partkey % 3 = 0", "")
+
+
+@query(_ALL_TERMS + " SELECT DISTINCT question_id, uid FROM tok JOIN entities ON contains(lower(name), token) WHERE type IN ('Method', 'Dataset')")
+def grr17_entity_lookup_all(t: GraphTables) -> DataFrame:
+    return R.entities_by_tokens(t.entities, terms(t, _ALL), ["Method", "Dataset"])
+
+
+@query(_ALL_TERMS + " SELECT DISTINCT question_id, canonical_id FROM tok JOIN registry ON contains(lower(canonical_name), token) OR token = normalized_alias OR token = lower(acronym)")
+def grr18_canonical_lookup_all(t: GraphTables) -> DataFrame:
+    return R.canonicals_by_tokens(t.registry, terms(t, _ALL))
+
+
+@query(ORACLES["grr29_term_neighbourhood"].replace(_TERMS, _ALL_TERMS))
+def grr29_term_neighbourhood_all(t: GraphTables) -> DataFrame:
+    nodes = t.entities.select(c("uid").alias("id"), c("name").alias("display_name"))
+    return R.term_neighbourhood(nodes, t.edges, terms(t, _ALL))
