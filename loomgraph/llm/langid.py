@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from .common import materialise
+
 UNKNOWN = "und"
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3)
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
@@ -136,13 +138,16 @@ def held_out(doc_id):  # noqa: ANN001, ANN201
 
 
 def learn(docs: DataFrame, per_language: int = 800) -> LanguageModel:
-    """Fit on about ``per_language`` labelled documents of each language (the documented bound), drawn by hash from the
-    documents that aren't held out. Rows with a null lang or text aren't used."""
+    """Fit on about ``per_language`` labelled documents of each language, and on about 100 times as many in all (the documented
+    bounds): where there are more than 100 languages each has its share of that, and one document at least. Documents are drawn by hash
+    from those that aren't held out; rows with a null lang or text aren't used, and rows equal in id, lang and text count once."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    n = rows.groupBy("lang").count().withColumnRenamed("lang", "of").withColumnRenamed("count", "n")
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("lang")), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * per_language)
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(n.orderBy(F.desc("n"), "of").limit(1000)), F.col("lang") == F.col("of")).where(draw)
-    sample = sorted(((str(r.doc_id), r.lang, r.text) for r in got.select("doc_id", "lang", "text").limit(100 * per_language).toLocalIterator()))
+    rows = rows.select("doc_id", "lang", "text", F.xxhash64(F.lit("langid"), "doc_id", "lang", "text").alias("h"))
+    n = materialise(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.min("h").alias("least")), "langid-languages")
+    share = min(per_language, 100 * per_language / max(1, n.count()))
+    draw = (F.pmod("h", F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * share)) | (F.col("h") == F.col("least"))
+    got = rows.join(n, F.col("lang") == F.col("of")).where(draw).select("doc_id", "lang", "text").distinct()
+    sample = sorted((str(r.doc_id), r.lang, r.text) for r in got.toLocalIterator())
     return fit([t for _, _, t in sample], [y for _, y, _ in sample])
 
 

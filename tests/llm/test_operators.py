@@ -307,6 +307,17 @@ def test_language_id(docs, odd, none, spark):
     assert langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learnt_whatever_their_number(spark):
+    many = [(i, f"word{i % 120} said{i % 120} often{i % 120} {i}", f"l{i % 120:03}", "a", 1) for i in range(2400)]
+    same = [(None, "one row that comes again and again", "zz", "a", 1)] * 2000
+    df = spark.createDataFrame(many + same, DOC)
+    seen = []
+    for shuffled in (df, df.repartition(7, "text")):
+        seen.append(langid.learn(shuffled, per_language=1))
+    assert set(seen[0].languages) == {f"l{i:03}" for i in range(120)} | {"zz"}
+    assert np.array_equal(seen[0].scores, seen[1].scores)
+
+
 # --- BPE
 
 
