@@ -23,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays. Links are 4 of 64 bits over 4-word shingles: about Jaccard 0.96 and more."""
     return simhash.keep_representatives(docs)
 
 
