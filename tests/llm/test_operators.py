@@ -292,19 +292,68 @@ def test_word_count(spark):
 # --- language ID
 
 
-def test_language_id(docs, odd, none, spark):
-    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    model = langid.learn(big, per_language=150)
-    lang = {r.doc_id: r.lang for r in big.collect()}
-    rows = langid.identify(big, model).collect()
-    held = [r for r in rows if r.held_out]
-    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.98
-    assert np.mean([r.rejected for r in rows]) < 0.02
-    got = {r.doc_id: r.lang_pred for r in langid.identify(odd, model).collect()}
-    assert got[1] == got[2] == got[3] == "und" and got[5] != "und"
+JUNK = ["Привет, как у тебя дела сегодня вечером", "这是一个关于语言识别的测试句子", "これは日本語の文章です", "12 34 !!! ???", ""]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_language_id(spark, sf):
+    """With the query's own defaults, at every scale: right about held-out texts, scores from 0 to 1, junk rejected, text kept."""
+    big = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    with np.errstate(all="raise", under="ignore"):
+        model = langid.learn(big)
+    assert np.isfinite(model.scores).all() and np.isfinite(model.bias).all()
+    rows = langid.identify(big, model).withColumnRenamed("doc_id", "id").join(big.select(F.col("doc_id").alias("id"), "lang"), "id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows if r.held_out]) >= 0.98
+    assert all(r.score is not None and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.rejected for r in rows]) < 0.002
+    assert [model.predict(t)[2] for t in JUNK] == [True] * len(JUNK)
+    junk = spark.createDataFrame([(-i, t, "en", "a", 1) for i, t in enumerate(JUNK, 1)], DOC)
+    kept = langid.keep_identified(big.select("doc_id", "text", "lang", "source", "n_chars").unionByName(junk), model)
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() >= 0.998 * big.count()
+
+
+def test_languages_of_odd_rows(docs, odd, none, spark):
+    model = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (1, 2, 3)) and got[5].lang_pred in model.languages
+    names = ["p", "rejected", "score", "h", "n", "of", "least", "key", "buckets", "shares", "held_out", "lang_pred"]
+    clash = odd.withColumns({x: F.lit(x) for x in names})
+    kept = langid.keep_identified(clash)
+    assert kept.columns == clash.columns and all(r[x] == x for r in kept.collect() for x in names)
     assert langid.keep_identified(odd, model).columns == odd.columns
-    assert langid.identify(none).count() == 0
+    assert langid.identify(none).count() == 0 and langid.keep_identified(none).count() == 0
     assert langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+    tie = langid.LanguageModel(("aa", "bb"), np.ones((langid.BUCKETS, 3), np.float32), np.zeros(2), 1.0, 0.0)
+    assert tie.predict("x") == ("aa", 0.5, False)
+
+
+def plain_subwords(text):
+    """Letter n-grams as code points, each run of anything else one blank."""
+    low = "".join(c if c.isalpha() else "\0" for c in text.lower()).replace("ς", "σ")
+    if not low.strip("\0"):
+        return []
+    low = " " + re.sub("\0+", " ", low.lstrip("\0")) + " "
+    return sorted(low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1))
+
+
+def test_subwords_are_the_same_in_pieces(spark, docs):
+    rng = random.Random(1)
+    bits = ["a", "É", "ß", " ", "..", "12", "Σ", "ΑΣ ", "漢", "\n", "word", "😀", "İ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    for t in texts:
+        whole = np.concatenate([*langid.subwords(t), np.empty(0, np.uint16)])
+        for size in (1, 2, 3, 7):
+            parts = np.concatenate([*langid.subwords(t, size), np.empty(0, np.uint16)])
+            assert sorted(parts.tolist()) == sorted(whole.tolist()), (t, size)
+        assert len(whole) == len(plain_subwords(t)), t
+    model = langid.learn(docs)
+    body = docs.select("text").first().text
+    long = body * (langid.PIECE // len(body) + 2)  # longer than a piece, through Spark
+    df = spark.createDataFrame([(1, long, "en", "a", 1), (2, body, "en", "a", 1)], DOC)
+    a, b = sorted(langid.identify(df, model).collect())
+    assert len(long) > langid.PIECE and a.lang_pred == b.lang_pred and abs(a.score - b.score) < 0.01
+    at, share = langid.histogram(long)
+    assert np.array_equal(at, np.unique(np.concatenate(list(langid.subwords(long, len(long)))))) and abs(share.sum() - 1) < 1e-4
 
 
 def test_every_language_is_learnt_whatever_their_number(spark):
