@@ -11,7 +11,8 @@ The field's weights are trained by pseudo-likelihood on a bounded sample of docu
 
 Defined results: a null text counts as empty and has no spans; texts of any length are read whole, in time linear in
 their length (an occurrence has a skip edge to the first base span of each kind that it repeats, and repeats of no base
-span to the one before); rows that repeat get equal spans, whatever stands in other rows.
+span to the one before); rows that repeat get equal spans, whatever stands in other rows; an empty table gives no rows; of the
+input's columns only doc_id and text are read, so others can have any names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens that the field looks at: groups of digits with separators, and words with a digit or an at sign.
-_TOKEN = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])+|[^\s@]{1,64}@[^\s@]{1,255}|(?<!\S)[^\s]{0,64}[0-9][^\s]{0,64}")
+#: Whole tokens of any length: each part starts where a run of its characters does, so that no run is tried twice.
+_TOKEN = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++|(?<![^\s@])[^\s@]++@[^\s@]++|(?<!\S)[^\s0-9]*+[0-9]\S*+")
 
 
 def _luhn(digits: str) -> bool:
@@ -60,7 +62,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the patterns' checked matches, by start, then end; :func:`find` lists them by kind."""
+    """(start, end, kind) of the patterns' checked matches, as :func:`listed`."""
     out = [(a, b, 0) for a, b in _emails(text)]
     for m in _IP.finditer(text):
         if all(len(x) <= 3 or not x[:-3].strip("0") for x in m[0].split(".")) and all(int(x[-3:]) <= 255 for x in m[0].split(".")):
@@ -71,7 +73,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((*m.span(), 2))
     if "+" in text:
         out += [(*m.span(), 3) for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
-    return sorted(out)
+    return listed(out)
+
+
+def listed(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in the order of the results: by start, then kind as listed."""
+    return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
 @dataclass
@@ -253,11 +260,6 @@ def fit(texts: list[str], epochs: int = 300, rate: float = 0.5, l2: float = 1e-3
     return Field(unary, agree)
 
 
-def listed(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans in the order of the results: by start, then kind as listed."""
-    return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
-
-
 def find(texts: list[str], field: Field, sure: float = 0.9) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans, and those spans together with what the field adds."""
     base = [base_spans(t) for t in texts]
@@ -271,14 +273,16 @@ def find(texts: list[str], field: Field, sure: float = 0.9) -> list[tuple[list[t
         joined[skips[:, :2].ravel()] = True
         for i in np.flatnonzero((g.base < 0) & joined & (p[np.arange(len(p)), best] >= sure)):
             out[g.doc[i]][1].append((int(g.start[i]), int(g.end[i]), int(best[i])))
-    return [(listed(b), listed(s)) for b, s in out]
+    return [(b, listed(s)) for b, s in out]
 
 
-def learn(docs: DataFrame, sample: int = 2000) -> Field:
-    """Fit on about ``sample`` documents (the documented bound) drawn by hash, those without base spans weigh nothing."""
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit("pii"), F.col("doc_id")), F.lit(1_000_000)) * F.lit(max(n, 1)) < F.lit(1_000_000 * sample)
-    some = docs.where(draw & F.col("text").rlike("[0-9]{2}")).select("text").limit(2 * sample)
+def learn(docs: DataFrame, sample: int = 2000, characters: int = 50_000_000) -> Field:
+    """Fit on about ``sample`` distinct texts, of about ``characters`` in all at most (the documented bounds), drawn by their hash;
+    those without base spans weigh nothing."""
+    n, length = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
+    share = min(sample / max(n, 1), characters / max(length or 0, 1))
+    draw = F.pmod(F.xxhash64(F.lit("pii"), F.col("text")), F.lit(1_000_000)) < F.lit(1_000_000 * share)
+    some = docs.where(draw & F.col("text").rlike("[0-9]{2}")).select("text").distinct()
     return fit(sorted(r.text for r in some.toLocalIterator()))
 
 
