@@ -7,15 +7,18 @@ more than r beyond its threshold; fingerprints nearer to the threshold than that
 On 64 random-like bits with r = 4 that bound skips little: nearly every fingerprint is near every median. The
 forest therefore has one tree per group of bits. Distance over some of the bits is a metric below the whole one, and if
 the trees' radii r_i satisfy sum(r_i + 1) > 4, two fingerprints within 4 bits are within r_i in one group at least: no
-pair is lost, and each tree prunes with a smaller radius. The default has five trees of radius 0, so that every fingerprint
-visits five shards whatever the number of rows; trees of radius 1 or more overlap at their borders and visit more shards
-with every level (``forest`` takes any). Shards compare whole fingerprints exactly.
+pair is lost, and each tree prunes with a smaller radius. The default has three trees over 22, 22 and 20 bits with radii 1, 1
+and 0. The first two overlap at their borders, so that a fingerprint next to one also visits the shard on the other side.
 
-Trees are built from a bounded sample of distinct fingerprints (``SAMPLE``); that decides where shards are cut, never
-which pairs are found. Shards beyond ``SHARD_CAP`` are dealt out again as pairs of blocks.
+A tree cuts the fingerprints into shards of about ``SHARD`` rows, by as many levels as their number needs. Within a shard the task
+goes on with a tree of its own over the shard's rows, down to leaves of ``LEAF`` rows, by the same bounds; leaves compare whole
+fingerprints exactly. So shards may be large, few fingerprints visit several of them, and work in a shard grows little faster than
+its rows. The upper trees are built from a bounded sample of distinct fingerprints (``SAMPLE``); that decides where shards are cut,
+never which pairs are found. Shards beyond ``SHARD_CAP`` are dealt out again as pairs of blocks.
 
 Defined results: null and empty texts, and those of white space, have fingerprint 0 and link like any other; rows that
-repeat share a fingerprint; an empty table gives no rows; extra columns are kept by :func:`keep_representatives`.
+repeat share a fingerprint; texts of any length are read whole; an empty table gives no rows; extra columns are kept by
+:func:`keep_representatives`, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +38,12 @@ from .components import connected_components, spanning_stars
 
 MAX_BITS, SHINGLE, SEED = 4, 4, 42
 #: (mask, radius) of each tree; the radii plus one add up to more than MAX_BITS.
-FOREST = tuple((((1 << width) - 1) << at, 0) for at, width in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)))
-#: Three trees, two of which overlap at their borders.
-OVERLAPPING = (((1 << 22) - 1, 1), (((1 << 22) - 1) << 22, 1), (((1 << 20) - 1) << 44, 0))
-SAMPLE, SHARD, SHARD_CAP = 20_000, 1024, 8192
+FOREST = (((1 << 22) - 1, 1), (((1 << 22) - 1) << 22, 1), (((1 << 20) - 1) << 44, 0))
+#: Five trees of radius 0, none of which overlaps: a fingerprint visits five shards.
+DISJOINT = tuple((((1 << width) - 1) << at, 0) for at, width in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)))
+SHARD, SHARD_CAP, LEAF = 32_768, 262_144, 512
+#: Levels of the upper trees, and fingerprints sampled for each of their leaves.
+LEAST_DEPTH, MOST_DEPTH, SAMPLE = 5, 15, 32
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -88,17 +93,19 @@ class VantageTree:
 
     def _grow(self, points: np.ndarray, depth: int, rng: np.random.Generator) -> int:
         if depth and len(points) > 1:
-            # of a few candidates, the vantage point and threshold that put the fewest points next to the border
-            best = None
-            for v in rng.choice(points, min(8, len(points)), replace=False):
+            # of a few candidates, the vantage point and threshold that put the fewest points next to the border; sides that
+            # are about equal first, as the shards of uneven trees differ much in size
+            best, n = None, len(points)
+            for v in rng.choice(points, min(8, n), replace=False):
                 d = np.bitwise_count((points ^ v) & self.mask)
                 for t in {int(np.median(d)), int(np.median(d)) - 1}:
                     inner = int((d <= t).sum())
-                    if len(points) // 4 <= inner <= len(points) * 3 // 4:
-                        cost = (int(((d > t - self.radius) & (d <= t)).sum()) if self.radius else abs(2 * inner - len(points)), int(v), t)
+                    if n // 4 <= inner <= n * 3 // 4:
+                        uneven = not 3 * n // 8 <= inner <= 5 * n // 8
+                        cost = (uneven, int(((d > t - self.radius) & (d <= t)).sum()) if self.radius else abs(2 * inner - n), int(v), t)
                         best = min(best or cost, cost)
             if best:
-                _, v, t = best
+                *_, v, t = best
                 d = np.bitwise_count((points ^ np.uint64(v)) & self.mask)
                 node = len(self.vantage)
                 for kept, x in ((self.vantage, v), (self.threshold, t), (self.near, 0), (self.far, 0)):
@@ -138,8 +145,9 @@ def near_stars(points: np.ndarray, home: np.ndarray, max_bits: int) -> np.ndarra
     """Edges that span the groups of points linked at max_bits or fewer; a pair needs one point at home."""
     linked = np.zeros(len(points), dtype=bool)
     at_home = np.flatnonzero(home)
-    for a in range(0, len(at_home), 256):
-        rows = at_home[a : a + 256]
+    step = max(1, min(256, (1 << 21) // max(1, len(points))))  # rows at a time, for bounded memory
+    for a in range(0, len(at_home), step):
+        rows = at_home[a : a + step]
         near = np.bitwise_count(points[rows, None] ^ points[None, :]) <= max_bits
         near[np.arange(len(rows)), rows] = False
         linked |= near.any(axis=0)
@@ -149,15 +157,29 @@ def near_stars(points: np.ndarray, home: np.ndarray, max_bits: int) -> np.ndarra
     return some[stars].view(np.int64).reshape(-1, 2)
 
 
-def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, forest: tuple[tuple[int, int], ...] = FOREST, shard: int = SHARD, cap: int = SHARD_CAP) -> DataFrame:
+def shard_stars(points: np.ndarray, home: np.ndarray, mask: int, radius: int, max_bits: int, leaf: int = LEAF) -> np.ndarray:
+    """The same for a shard of any size, by a tree over its own points. A pair that this tree's bits have within the radius meets in one
+    of its leaves, where one of the two is at home."""
+    if len(points) <= leaf:
+        return near_stars(points, home, max_bits)
+    tree = VantageTree(points, mask, radius, math.ceil(math.log2(len(points) / leaf)))
+    at, leaves, inside = tree.route(points)
+    order = np.argsort(leaves, kind="stable")
+    at, inside, ends = at[order], inside[order], np.flatnonzero(np.diff(leaves[order])) + 1
+    found = [near_stars(points[a], i, max_bits) for a, i in zip(np.split(at, ends), np.split(inside, ends), strict=True)]
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, forest: tuple[tuple[int, int], ...] = FOREST, shard: int = SHARD, cap: int = SHARD_CAP, leaf: int = LEAF, least_depth: int = LEAST_DEPTH) -> DataFrame:
     """a, b: links that span all groups of fingerprints within max_bits of each other, for a frame of distinct fp."""
     if sum(r + 1 for _, r in forest) <= max_bits:
         raise ValueError("the radii of the trees would lose pairs")
     spark, n = distinct.sparkSession, distinct.count()
-    draw = F.pmod(F.xxhash64(F.lit("vantage"), F.col("fp")), F.lit(1_000_000)) * F.lit(max(n, 1)) < F.lit(1_000_000 * SAMPLE)
-    sample = np.sort(np.array([r.fp for r in distinct.where(draw).limit(2 * SAMPLE).toLocalIterator()], dtype=np.int64)).view(np.uint64)
-    depth = max(0, math.ceil(math.log2(max(n, 1) / shard)))
-    trees = spark.sparkContext.broadcast([VantageTree(sample, mask, radius, min(depth, 12), seed=i) for i, (mask, radius) in enumerate(forest)])
+    depth = min(MOST_DEPTH, max(least_depth, math.ceil(math.log2(max(n, 1) / shard))))
+    # fingerprints are distinct, so that the draw's share is its bound: about a million at most
+    draw = F.pmod(F.xxhash64(F.lit("vantage"), F.col("fp")), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLE * 2**depth / max(n, 1))))
+    sample = np.sort(np.array([r.fp for r in distinct.where(draw).select("fp").toLocalIterator()], dtype=np.int64)).view(np.uint64)
+    trees = spark.sparkContext.broadcast([VantageTree(sample, mask, radius, depth, seed=i) for i, (mask, radius) in enumerate(forest)])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -173,8 +195,10 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, forest: tuple[tupl
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("tree", "leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "home")
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = near_stars(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool), max_bits)
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        mask, radius = forest[int(key[0])]
+        pdf = pdf.sort_values("fp")  # the same tree whatever order the rows come in
+        found = shard_stars(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool), mask, radius, max_bits, leaf)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return rows.groupBy("tree", "leaf", "i", "j").applyInPandas(pairs, "a long, b long")
