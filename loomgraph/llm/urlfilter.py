@@ -3,11 +3,13 @@
 Rules decide the URLs that they fit. Every other URL is judged by gradient-boosted trees (Spark's own) over features of
 its text: length, depth, digit ratio, entropy, parameter counts, and how often labelled URLs of the same host suffixes and
 first path segment were blocked. All of it is DataFrame work; the trees are trained on a bounded sample of labelled URLs,
-the suffix statistics cover all of them.
+the suffix statistics cover all of them. A URL's own label is never in the statistics that the trees are trained with: those leave
+out the URL's fold, a hash of its text.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and goes to the trees like any
-other; without labelled URLs of both classes the trees' verdict is the only class known, or allow; rows that repeat are
-judged alike; extra columns are kept.
+other; a URL of any length is judged whole; without labelled URLs of both classes the trees' verdict is the only class known, or
+allow; a score of just 0.5 blocks; rows that repeat are judged alike; an empty table gives no rows. Extra columns are kept, whatever
+their names, but for those named as the results are (host, path, rule, verdict, p_block), which the results replace.
 """
 
 from __future__ import annotations
@@ -42,17 +44,24 @@ def rule_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = RU
     return spark.createDataFrame(list(rules), "rule_host string, rule_path string, rule_verdict string")
 
 
-def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """host, path, rule and rule_verdict for distinct hosts and paths that a rule fits, for a frame of host and path.
+def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """of, rules: for each distinct host that a rule's host fits, those rules, the longest first.
 
-    Each host is looked up by its suffixes, so a rule list of any size is an equi-join; Spark broadcasts it where it is small."""
-    labels = F.split("host", r"\.")
+    A host is looked up by its suffixes, so a rule list of any size is an equi-join; paths are compared later, row by row."""
+    labels = F.split("of", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = urls.select("host", "path").where("host <> ''").distinct().withColumn("rule_host", F.explode(suffixes))
-    fits = keys.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    keys = hosts.where("of <> ''").distinct().withColumn("rule_host", F.explode(suffixes))
     name = F.concat("rule_host", "rule_path")
-    best = F.max(F.struct(F.length(name).alias("n"), F.length("rule_host").alias("h"), name.alias("rule"), F.col("rule_verdict").alias("rule_verdict"))).alias("best")
-    return fits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.rule_verdict")
+    rule = F.struct(F.length(name).alias("n"), F.length("rule_host").alias("h"), name.alias("rule"), F.col("rule_path").alias("start"), F.col("rule_verdict").alias("verdict"))
+    return keys.join(rules, "rule_host").groupBy("of").agg(F.sort_array(F.collect_list(rule), asc=False).alias("rules"))
+
+
+def with_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (host, path, ...) with rule and rule_verdict, null where none fits."""
+    table = materialise(host_rules(rows.select(F.col("host").alias("of")), rules), "url-rules")
+    best = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["start"])), 0)
+    out = rows.join(table, F.col("host") == F.col("of"), "left").withColumn("best", best)
+    return out.withColumns({"rule": F.col("best.rule"), "rule_verdict": F.col("best.verdict")}).drop("of", "rules", "best")
 
 
 def entropy(text: Column) -> Column:
@@ -93,7 +102,8 @@ class UrlModel:
 
     def features(self, rows: DataFrame) -> DataFrame:
         for key, table in self.stats.items():
-            rows = rows.join(table, key, "left").withColumn(f"f_{key}", F.coalesce(f"f_{key}", F.lit(self.prior)))
+            rate = table.select(F.col(key).alias("of"), F.col("rate").alias(f"f_{key}"))
+            rows = rows.join(rate, F.col(key) == F.col("of"), "left").drop("of").withColumn(f"f_{key}", F.coalesce(f"f_{key}", F.lit(self.prior)))
         return rows
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -105,34 +115,53 @@ class UrlModel:
         return out.withColumn("p_block", vector_to_array("probability")[1])
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, smooth: float = 20.0, trees: int = 10, depth: int = 4) -> UrlModel:
-    """Fit on a frame of url, host, path and blocked (0 or 1): statistics over all rows, trees on about ``sample`` of them."""
-    rows = with_features(labelled)
+def learn(labelled: DataFrame, sample: int = SAMPLE, smooth: float = 20.0, trees: int = 10, depth: int = 4, folds: int = 5) -> UrlModel:
+    """Fit on a frame of url, host, path and blocked (0 or 1): statistics over all rows, trees on about ``sample`` distinct URLs, each
+    weighing as often as it stands."""
     n, ones = labelled.agg(F.count("*"), F.sum("blocked")).first()
     prior = (ones or 0) / n if n else 0.0
     if not 0 < prior < 1:
         return UrlModel(None, prior, {}, prior)
-    rate = (F.sum("blocked") + F.lit(smooth * prior)) / (F.count("*") + smooth)
-    stats = {k: materialise(rows.groupBy(k).agg(rate.alias(f"f_{k}")), f"url-{k}") for k in STATS}
+    # each URL once from here on: neither statistics nor trees are made of a hot URL's copies
+    urls = labelled.groupBy("url", "host", "path").agg(F.sum("blocked").alias("ones"), F.count("*").alias("n"))
+    urls = materialise(with_features(urls).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(folds)).cast("int")), "url-labelled")
+    rate = lambda ones, n: (ones + F.lit(smooth * prior)) / (n + smooth)
+    stats, apart = {}, {}
+    for k in STATS:
+        by_fold = materialise(urls.groupBy(k, "fold").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")), f"url-{k}")
+        every = by_fold.groupBy(F.col(k).alias("of")).agg(F.sum("ones").alias("all_ones"), F.sum("n").alias("all_n"))
+        stats[k] = materialise(every.select(F.col("of").alias(k), rate(F.col("all_ones"), F.col("all_n")).alias("rate")), f"url-{k}-rate")
+        others = by_fold.join(every, F.col(k) == F.col("of"))
+        apart[k] = materialise(others.select(F.col(k).alias("of"), F.col("fold").alias("apart"), rate(F.col("all_ones") - F.col("ones"), F.col("all_n") - F.col("n")).alias(f"f_{k}")), f"url-{k}-apart")
     model = UrlModel(None, prior, stats, prior)
-    draw = F.pmod(F.xxhash64(F.lit("url"), F.col("url")), F.lit(1_000_000)) * F.lit(n) < F.lit(1_000_000 * sample)
-    train = model.features(rows.where(draw)).select(*FEATURES, F.col("blocked").cast("double").alias("label")).limit(2 * sample)
-    train = materialise(VectorAssembler(inputCols=list(FEATURES), outputCol="f_all").transform(train).select("f_all", "label").repartition(4), "url-train")
+    many = urls.count()
+    train = urls.where(F.pmod(F.xxhash64(F.lit("url"), "url"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(1, many)))))
+    for k, table in apart.items():
+        train = train.join(table, (F.col(k) == F.col("of")) & (F.col("fold") == F.col("apart"))).drop("of", "apart")
+    train = train.select(*FEATURES, (F.col("ones") * 2 >= F.col("n")).cast("double").alias("label"), F.col("n").cast("double").alias("weight"))
+    train = materialise(VectorAssembler(inputCols=list(FEATURES), outputCol="f_all").transform(train).select("f_all", "label", "weight").repartition(4), "url-train")
     if train.agg(F.countDistinct("label")).first()[0] == 2:
-        model.trees = GBTClassifier(featuresCol="f_all", labelCol="label", maxIter=trees, maxDepth=depth, seed=1, maxBins=32).fit(train)
+        model.trees = GBTClassifier(featuresCol="f_all", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=1, maxBins=32).fit(train)
     else:
         model.only = float(prior >= 0.5)
     return model
 
 
+def parsed(pages: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """page (a struct of the input's columns), url, host, path, rule and rule_verdict: the input's names can't meet the operator's own."""
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    return with_rule(rows, rule_table(pages.sparkSession, rules))
+
+
+def labels_of(ruled: DataFrame) -> DataFrame:
+    """url, host, path, blocked of the URLs that rules decide."""
+    return ruled.where(F.col("rule").isNotNull()).select("url", "host", "path", F.when(F.col("rule_verdict") == "block", 1).otherwise(0).alias("blocked"))
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, model: UrlModel | None = None) -> DataFrame:
     """pages with host, path, rule, verdict and p_block. Unless a model is given, it is trained on the URLs that rules decide."""
-    spark = pages.sparkSession
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block")]
-    rows = pages.select(*kept).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    table = materialise(apply_rules(rows, rule_table(spark, rules)), "url-rules")
-    ruled = rows.join(table, ["host", "path"], "left")
-    model = model or learn(ruled.where(F.col("rule").isNotNull()).select("url", "host", "path", F.when(F.col("rule_verdict") == "block", 1).otherwise(0).alias("blocked")))
-    judged = model.score(with_features(ruled))
+    ruled = parsed(pages, rules)
+    judged = (model or learn(labels_of(ruled))).score(with_features(ruled))
     verdict = F.coalesce("rule_verdict", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
+    kept = [F.col(f"page.`{c}`").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block")]
     return judged.select(*kept, "host", "path", "rule", verdict.alias("verdict"), "p_block")
