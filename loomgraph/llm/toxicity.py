@@ -6,8 +6,9 @@ of the same group, or, where it has none, by adding a neutral mention of one; th
 is penalised, so that naming a group moves a score as little as the labels allow.
 
 Defined results: a null or empty text gets the model's score for no words; without labels of both classes every score is
-the share of toxic labels (0 if there is none); texts of any length are read whole; rows that repeat score alike; a label
-row that repeats counts once, null labels don't count.
+the share of toxic labels (0 if there is none); a score of just the threshold counts as toxic; texts of any length are read whole;
+rows that repeat score alike; a label row that repeats counts once, null labels don't count; an empty table gives no rows; of the
+input's columns only doc_id, text and toxic are read, so others can have any names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from .common import materialise
+
 #: Terms that name groups of people; a term may be swapped for any other of its group.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
@@ -131,7 +134,8 @@ def held_out(doc_id):  # noqa: ANN001, ANN201
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> ToxicityModel:
     """Fit on about ``per_class`` labelled texts of each class (the documented bound), drawn by hash from rows that aren't
-    held out and weighted back to the classes' shares. Copies of a text count once."""
+    held out and weighted back to the classes' shares. Copies of a text count once. Texts become sets of words where they are: what goes
+    to the driver is bounded by a text's different words, not by its length."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
     n = {r.toxic: r["count"] for r in marks.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().toLocalIterator()}
@@ -140,11 +144,18 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Toxicity
     share = {k: min(1.0, per_class / c) for k, c in n.items()}
     limit = F.when(F.col("toxic") > 0, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     drawn = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000)) < limit * 1_000_000)
-    # the drawn labels are few, by the bound: they go to the documents, whose texts needn't move
-    drawn = F.broadcast(drawn.limit(4 * per_class))
-    rows = {(r.text or "", int(r.toxic > 0)) for r in docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic").limit(5 * per_class).toLocalIterator()}
-    texts = sorted(rows)
-    return fit([t for t, _ in texts], [x for _, x in texts], [1 / share[x] for _, x in texts])
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "toxic": pdf["toxic"], "words": [" ".join(sorted(words_of(t))) for t in pdf["text"]]})
+
+    # ids are distinct, so that the draw's shares are its bound: the drawn labels are few and go to the documents, whose texts needn't move
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
+    rows = materialise(rows.mapInPandas(sets, "key string, toxic int, words string").distinct(), "toxicity-sample")
+    # ids that repeat with ever other texts can bring more rows than were drawn
+    thin = F.pmod(F.xxhash64(F.lit("thin"), "key"), F.lit(1_000_000)) * F.lit(rows.count()) < F.lit(1_000_000 * 4 * per_class)
+    texts = sorted((r.key, r.toxic, r.words) for r in rows.where(thin).toLocalIterator())
+    return fit([t for *_, t in texts], [x for _, x, _ in texts], [1 / share[x] for _, x, _ in texts])
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
