@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, langid, linededup, mixing, simhash
-from loomgraph.llm.common import materialise
+from loomgraph.llm.common import fresh, materialise
 from loomgraph.llm.queries import tokenizer_path
 
 
@@ -17,9 +17,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines go, but for their first occurrence; a document left without a word goes too."""
-    left = linededup.drop_boilerplate(docs, removed="lines_removed")
+    removed = fresh("lines_removed", docs.columns)
+    left = linededup.drop_boilerplate(docs, removed=removed)
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return left.where(~(blank & (F.col("lines_removed") > 0))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return left.where(~(blank & (F.col(removed) > 0))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from those of its ancestors: it is the one token that ends there and may follow
 so shared prefixes are encoded once and a word's tokens are read off by walking back from its node.
 
 Defined results: a null text encodes as an empty one, to no tokens; a special token's text is that token, as the
-tokenizers library has it by default; rows that repeat encode alike; any length of text or word is encoded whole.
+tokenizers library has it by default; rows that repeat encode alike; any length of text or word is encoded whole; an empty table
+gives no rows; columns that aren't asked for may have any names.
 """
 
 from __future__ import annotations

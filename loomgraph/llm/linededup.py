@@ -6,7 +6,8 @@ its first occurrence (smallest doc_id, then position) and goes everywhere else.
 
 Defined results: a line is compared without white space at its ends; lines under ``min_chars`` characters are never
 boilerplate; a null text stays null and an empty one empty; null sources count as one site; rows that repeat behave alike,
-so both keep or both lose a line; extra columns are kept.
+so both keep or both lose a line; of sites or occurrences that tie, the smallest doc_id (null last), then position, keeps its line;
+lines and texts of any length are compared whole; an empty table gives no rows; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations

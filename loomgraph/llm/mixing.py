@@ -6,7 +6,9 @@ the next bits, until it holds a single hash. A document is then taken if its has
 threshold: a filter, no sort of documents. Over-sampled sources take all documents ``copies`` times first.
 
 Defined results: a null text has size 0; null sources are one source that sorts last; rows that repeat share a hash
-and are taken or left together; an empty table gives no rows. Extra columns are kept by :func:`mix_documents`.
+and are taken or left together; texts of any length are counted whole; an empty table gives no rows. Extra columns are kept by
+:func:`mix_documents`, whatever their names. The windows that share out targets run over one row for each source, in one task: meant
+for up to some millions of sources.
 """
 
 from __future__ import annotations
