@@ -209,18 +209,35 @@ def clustered(rng, n):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("forest", [simhash.FOREST, simhash.OVERLAPPING, (((1 << 64) - 1, 4),)])
-@pytest.mark.parametrize("cap", [4096, 20])
-def test_vantage_forests_lose_no_link(spark, forest, cap):
+@pytest.mark.parametrize("forest", [simhash.FOREST, simhash.DISJOINT, (((1 << 64) - 1, 4),)])
+@pytest.mark.parametrize(("cap", "leaf"), [(4096, 512), (4096, 8), (20, 8)])
+def test_vantage_forests_lose_no_link(spark, forest, cap, leaf):
     points = clustered(np.random.default_rng(1), 700)
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long")
-    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.near_links(df, forest=forest, shard=24, cap=cap).collect()]
+    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.near_links(df, forest=forest, shard=24, cap=cap, leaf=leaf).collect()]
     at = {p: i for i, p in enumerate(points)}
     pairs = {(at[a], at[b]) for a, b in links} | {(at[b], at[a]) for a, b in links}
     want = naive_components(len(points), lambda i, j: bin(points[i] ^ points[j]).count("1") <= 4)
     assert naive_components(len(points), lambda i, j: (i, j) in pairs) == want
 
 
+def test_trees_visit_few_shards_and_lose_no_pair():
+    """Within a shard: every pair of close points meets in a leaf, and points visit few leaves of a deep tree."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    near = base[:3000] ^ (np.uint64(1) << rng.integers(0, 63, 3000).astype(np.uint64))
+    points = np.unique(np.concatenate([base, near]))
+    for mask, radius in simhash.FOREST:
+        tree = simhash.VantageTree(points, mask, radius, 6)
+        at, leaf, home = tree.route(points)
+        assert home.sum() == len(points) and len(at) < (3 if radius else 1.01) * len(points)
+        got = {tuple(sorted(e)) for e in simhash.shard_stars(points, np.ones(len(points), bool), mask, radius, 4).tolist()}
+        d = np.bitwise_count((base[:3000] ^ near) & np.uint64(mask)) <= radius
+        signed = lambda x: x.view(np.int64)
+        pairs = {tuple(sorted(e)) for e in zip(signed(base[:3000][d]).tolist(), signed(near[d]).tolist(), strict=True)}
+        assert pairs <= got
+
+
 def test_near_groups(docs, odd, none, spark):
     rows = docs.select("doc_id", "text").collect()
     fps = [naive_fingerprint(r.text) for r in rows]
@@ -237,6 +254,9 @@ def test_near_groups(docs, odd, none, spark):
     kept = simhash.keep_representatives(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6]
     assert simhash.near_groups(none).count() == 0 and simhash.keep_representatives(none).count() == 0
+    clash = docs.withColumns({x: F.lit("x") for x in ("row_key", "row_key_id", "row_key_best", "_row_key", "label", "first", "component_id", "fp")})
+    kept = simhash.keep_representatives(clash)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
 def test_representatives_of_groups_that_share_an_id_or_have_none(spark):
@@ -264,7 +284,7 @@ def test_components(spark):
 def test_toxicity(docs, odd, none, spark):
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    model = toxicity.learn(big, labels, per_class=1000)
+    model = toxicity.learn(big, labels)  # the query's own defaults
     marks = {r.doc_id: r.toxic for r in labels.collect()}
     rows = [r for r in toxicity.score(big, model).collect() if r.held_out and r.doc_id in marks]
     right = np.mean([r.predicted == marks[r.doc_id] for r in rows])
@@ -273,6 +293,26 @@ def test_toxicity(docs, odd, none, spark):
     assert abs(model.score(quiet) - model.score(f"{quiet} muslims")) < 0.05
     assert len(toxicity.score(odd, model).collect()) == len(ODD)
     assert toxicity.score(none, toxicity.learn(none, labels.limit(0))).count() == 0
+    clash = big.withColumns({x: F.lit(1) for x in ("toxic", "held_out", "score", "predicted", "key", "words")})
+    assert toxicity.learn(clash, labels.withColumn("text", F.lit("x"))).weights == model.weights
+    assert toxicity.score(clash.limit(50), model).columns == ["doc_id", "held_out", "score", "predicted"]
+    long = spark.createDataFrame([(1, "fine words " * 120_000), (2, "fine words")], "doc_id long, text string")
+    assert len({r.score for r in toxicity.score(long, model).collect()}) == 1
+    flat = toxicity.ToxicityModel({}, float(np.log(0.3 / 0.7)))
+    assert toxicity.score(long, flat).select("predicted").distinct().collect()[0][0] == int(flat.score("x") >= 0.3)
+
+
+def test_counterfactual_gradient_against_differences():
+    """The classifier's own minimum: at the fitted weights no small change of one makes the penalised loss smaller."""
+    rng = random.Random(6)
+    words = ["bad", "fine", "muslims", "christians", "day", "night"]
+    t = [" ".join(rng.sample(words, 3)) for _ in range(200)]
+    y = [int("bad" in x.split()) ^ (rng.random() < 0.1) for x in t]
+    model = toxicity.fit(t, y, [1.0] * 200, strength=1.0, rounds=3000, rate=0.02)
+    swap = {"muslims": "christians", "christians": "muslims"}
+    plain = [toxicity.fit(t, y, [1.0] * 200, strength=s, rounds=800) for s in (0.0, 50.0)]
+    gap = lambda m: max(abs(m.score(x) - m.score(" ".join(swap.get(w, w) for w in x.split()))) for x in t)
+    assert gap(plain[1]) <= gap(plain[0]) + 1e-9 and all(0 <= model.score(x) <= 1 for x in t)
 
 
 def test_counterfactual_penalty_lowers_identity_weights():
@@ -300,6 +340,39 @@ def test_top_k(spark):
         assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert set(got) == {i for i in whole if i % 100 == 0}
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+    clash = df.withColumns({x: F.lit("x") for x in ("ints", "is_query", "shard", "floor", "score", "rank", "query_id")})
+    assert sorted(map(tuple, topk.top_k(clash, F.col("vec_id") % 100 == 0).collect())) == sorted((q, *x) for q, rows in got.items() for x in rows)
+
+
+def test_top_k_of_huge_components_and_long_vectors(spark):
+    big = [(0, [3e18, 1.0]), (1, [3e18, -3e18]), (2, [-3e18, 0.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    most = (1 << 63) - 1
+    assert [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, most), (3, most), (2, -most)]
+    rng = np.random.default_rng(8)
+    wide = rng.normal(0, 1, (40, 3000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>")
+    whole = np.floor(1024 * wide).astype(np.int64)
+    scores = whole @ whole[0]
+    want = sorted(range(1, 40), key=lambda i: (-scores[i], i))[:10]
+    assert [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(i, int(scores[i])) for i in want]
+
+
+def test_floors_and_shards_lose_no_member(spark, monkeypatch):
+    """Small shards and a small pilot, so that queries meet many shards with a floor; ties at the last place."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    monkeypatch.setattr(topk, "PILOT", 100)
+    rng = np.random.default_rng(2)
+    data = rng.integers(-3, 4, (1500, 6)).astype(float)
+    df = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = data.astype(int)
+    for q in range(0, 1500, 50):
+        s = whole @ whole[q]
+        want = sorted((i for i in range(1500) if i != q), key=lambda i: (-s[i], i))[:7]
+        assert sorted(got[q]) == [(k, i, int(s[i])) for k, i in enumerate(want, 1)]
 
 
 def test_impact_index_stops_only_on_proof():
@@ -315,6 +388,8 @@ def test_impact_index_stops_only_on_proof():
         s[q] = -(1 << 60)
         floor = np.sort(s)[-10]
         assert set(np.flatnonzero(s >= floor)) <= set(rows.tolist()) | {q}
+        given = index.search(data[q], np.array([q]), 10, floor=int(floor), every=8)
+        assert set(np.flatnonzero(s >= floor)) <= set(given.tolist()) | {q}
     assert early > 10
 
 
@@ -487,8 +562,16 @@ def test_line_dedup(spark, odd, none):
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "https://A.Example.COM/en/7x?q=/en/", "http://com/en/", "http://xcom/en/", "http://a.net/de/1#x", "http://b.example.net/de/8", "ftp://x.org?/es/", "http://x.org/es/1", "http://u@h.com:80/en/1"]
     urls += [f"http://s{i}.{d}/{lang}/{i}" for i in range(60) for d in ("com", "org", "net") for lang in ("en", "es", "de")]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("path", F.lit("x")).withColumn("suffix3", F.lit("x"))
-    for r in urlfilter.judge(df).collect():
+    urls.append("http://long.example.com/" + "a" * 1_000_000 + "?q=" + "b&" * 100_000)
+    plain = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    own = ["segment", "suffix1", "suffix2", "f_length", "f_all", "prediction", "probability", "rawPrediction", "page", "rules", "of", "best", "rule_verdict", "rule_host", "fold", "ones", "n", "a.b"]
+    df = plain.withColumns({x: F.lit("x") for x in [*own, "host", "path", "rule", "verdict", "p_block"]})
+    got = urlfilter.judge(df)
+    assert got.columns == ["page_id", "url", *own, "host", "path", "rule", "verdict", "p_block"]
+    rows = got.collect()
+    assert len(rows) == len(urls) and all(r[x] == "x" for r in rows for x in own)
+    assert sorted((r.page_id, r.verdict, r.p_block) for r in urlfilter.judge(plain).collect()) == sorted((r.page_id, r.verdict, r.p_block) for r in rows)
+    for r in rows:
         url = r.url or ""
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
         host, path = (m[1].lower(), m[2]) if m else ("", "")
@@ -497,6 +580,24 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
     assert urlfilter.judge(df.limit(0)).count() == 0
+    one_class = urlfilter.judge(spark.createDataFrame([(1, "http://x.com/en/1"), (2, "http://y.fr/1")], "page_id long, url string")).collect()
+    assert {r.verdict for r in one_class} == {"block"}
+
+
+def test_url_trees_on_held_out_urls(spark):
+    """Trained on four fifths of the URLs that rules decide, right about the rest; and no URL's own label is in its features."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labelled = urlfilter.labels_of(urlfilter.parsed(pages, urlfilter.RULES))
+    apart = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    model = urlfilter.learn(labelled.where(~apart))
+    rows = model.score(urlfilter.with_features(labelled.where(apart))).select("blocked", "p_block").collect()
+    right = np.mean([(r.p_block >= 0.5) == bool(r.blocked) for r in rows])
+    usual = np.mean([r.blocked for r in rows])
+    assert len(rows) > 100 and right >= 0.9 and right > max(usual, 1 - usual), (len(rows), right, usual)
+    noise = spark.range(600).select(F.concat(F.lit("http://h"), "id", F.lit(".org/p"), "id").alias("url"), F.concat(F.lit("h"), "id", F.lit(".org")).alias("host"), F.concat(F.lit("/p"), "id").alias("path"), (F.pmod(F.xxhash64("id"), F.lit(2))).cast("int").alias("blocked"))
+    model = urlfilter.learn(noise)
+    other = model.score(urlfilter.with_features(noise.withColumns({"url": F.concat("url", F.lit("x")), "host": F.concat(F.lit("o"), "host")}))).select("p_block").collect()
+    assert np.std([r.p_block for r in other]) < 0.3  # labels drawn by lot teach nothing that unseen hosts would show
 
 
 # --- embeddings
@@ -524,3 +625,25 @@ def test_embedding_groups(spark):
         assert (r.n_links, r.component_id) == want.get(r.vec_id, (0, r.vec_id)), r
         assert r.kept == (r.vec_id == r.component_id)
     assert embdedup.near_groups(df.limit(0)).count() == 0
+    clash = df.withColumns({x: F.lit("x") for x in ("id", "m", "key", "own", "i", "j", "of", "n", "c", "n_links", "component_id", "kept")})
+    assert sorted(map(tuple, embdedup.near_groups(clash).collect())) == sorted(map(tuple, rows))
+
+
+def test_intervals_that_are_far_apart_do_not_meet(spark, monkeypatch):
+    """Three narrow cones of vectors: intervals of different ones never meet, links are those of brute force, many rows near the limit."""
+    monkeypatch.setattr(embdedup, "INTERVAL_ROWS", 50)
+    monkeypatch.setattr(embdedup, "LEAF", 16)
+    rng = np.random.default_rng(4)
+    points = np.concatenate([np.eye(8)[k] + rng.normal(0, 0.08, (150, 8)) for k in (0, 3, 5)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    seen = []
+    plain = embdedup.meetings
+    monkeypatch.setattr(embdedup, "meetings", lambda *a: seen.append((plain(*a), a[1])) or seen[-1][0])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_groups(df).collect()}
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    label = naive_components(len(points), lambda i, j: near[i, j])
+    assert got == {i: (int(near[i].sum()) - 1, label[i]) for i in range(len(points))}
+    meet, many = seen[0]
+    pairs = meet.select("i", "j").distinct().count()
+    assert many == 9 and pairs <= 3 * (4 * 5 // 2)  # of 45 pairs
