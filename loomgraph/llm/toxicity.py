@@ -26,7 +26,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from .common import materialise
 
-#: Terms that name groups of people; a term may be swapped for any other of its group.
+#: Terms that name groups of people, in the four languages of the corpus; a term may be swapped for any other of its group.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
     ("woman", "man"),
@@ -36,6 +36,24 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "refugees", "citizens", "natives"),
     ("old", "young", "disabled", "elderly"),
+    # German
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heterosexuelle", "transpersonen"),
+    ("einwanderer", "flüchtlinge", "bürger", "einheimische"),
+    # French
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "transgenres"),
+    ("immigrés", "réfugiés", "citoyens", "autochtones"),
+    # Spanish
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "ciudadanos", "nativos"),
 )
 THRESHOLD, PREFIXES = 0.3, (3, 4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
