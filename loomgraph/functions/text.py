@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -21,6 +22,12 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A fixed text with columns in the place of names in braces; null if one of them is."""
+    parts = [values[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p]
+    return F.concat(*parts)
+
+
 # --- names
 
 
@@ -132,7 +139,7 @@ def intent(question: Column) -> Column:
     q, terms = F.lower(question), S.INTENT_TERMS
     return (
         F.when(contains_any(q, terms["CITATION_BASIS"]), "CITATION_BASIS")
-        .when(q.rlike(r"\bhow\b.+\buse[sd]?\b") | contains_any(q, terms["METHOD_USAGE"]) | (q.contains("architecture") & q.contains("how")), "METHOD_USAGE")
+        .when(q.rlike(USAGE_QUESTION) | contains_any(q, terms["METHOD_USAGE"]) | (q.contains("architecture") & q.contains("how")), "METHOD_USAGE")
         .when(contains_any(q, terms["PROBLEM"]), "PROBLEM")
         .when(contains_any(q, terms["RELATION_LOOKUP"]), "RELATION_LOOKUP")
         .otherwise("SUMMARY")
@@ -157,11 +164,18 @@ def disambiguation_terms(question: Column, most: int = 6) -> Column:
 
 # --- references and citations
 
+# fixed values: what is a citation, a year, a lead author and a numbered entry is defined by these patterns as they are
 YEAR = r"\b(?:19|20)\d{2}\b"
 NUMERIC_CITATION = r"\[(\s*\d+(?:\s*[-,]\s*\d+)*\s*)\]"
 AUTHOR_YEAR_BLOCK = r"\(([^()]*\b(?:19|20)\d{2}\b[^()]*)\)"
 AUTHOR_YEAR_LABEL = r"([A-Z][A-Za-z'\-]+)(?:\s+et\s+al\.)?(?:\s+and\s+[A-Z][A-Za-z'\-]+)?\s*,\s*((?:19|20)\d{2})"
 LEAD_AUTHOR = r"([A-Z][A-Za-z'\-]+)(?:\s+et\s+al\.)?.{0,40}\b(?:19|20)\d{2}\b"
+NUMBERED_ENTRY = r"^\s*(?:\[(\d+)\]|(\d+)\.)\s*"
+ENTRY_NUMBER = r"^\[?\d+\]?\.\s*"
+USAGE_QUESTION = r"\bhow\b.+\buse[sd]?\b"
+
+#: A range of more numbers than this stays one key, its bounds; it is joined by its bounds, not spelt out.
+WIDEST_RANGE = 1000
 
 
 def last_year(text: Column) -> Column:
@@ -169,15 +183,16 @@ def last_year(text: Column) -> Column:
 
 
 def title_guess(text: Column) -> Column:
-    parts = F.split(F.regexp_replace(text, r"^\[?\d+\]?\.\s*", ""), r"\.")
+    parts = F.split(F.regexp_replace(text, ENTRY_NUMBER, ""), r"\.")
     guess = F.trim(F.get(parts, 1))
     return F.when((F.size(parts) >= 3) & (F.length(guess) > 10) & (F.length(guess) < 300), guess)
 
 
 def numeric_key(text: Column, order: Column) -> Column:
-    key = F.regexp_extract(text, r"^\s*(?:\[(\d+)\]|(\d+)\.)\s*", 1)
-    key = F.when(key != "", key).otherwise(F.regexp_extract(text, r"^\s*(?:\[(\d+)\]|(\d+)\.)\s*", 2))
-    return F.coalesce(F.try_to_number(F.nullif(key, F.lit("")), F.lit("9999999999")).cast("int"), (order + 1).cast("int"))
+    """The number that an entry begins with, else its place; a number of more than 18 digits is none."""
+    key = F.regexp_extract(text, NUMBERED_ENTRY, 1)
+    key = F.when(key != "", key).otherwise(F.regexp_extract(text, NUMBERED_ENTRY, 2))
+    return F.coalesce(key.try_cast("long"), (order + 1).cast("long"))
 
 
 def lead_author(text: Column) -> Column:
@@ -189,17 +204,32 @@ def author_year_key(author: Column, year: Column) -> Column:
 
 
 def expand_keys(body: Column) -> Column:
-    """Citation numbers of a bracket's body, ranges spelt out, each once and in order."""
+    """Citation numbers of a bracket's body as texts, ranges spelt out, each once and in order.
+
+    A number may have any number of digits. A range of more than WIDEST_RANGE numbers, or with a bound that no 64 bits hold, stays as
+    its bounds, "lower-upper"; :func:`range_bounds` reads them. A part with two hyphens is no number and goes."""
     parts = F.transform(F.split(body, ","), lambda p: F.trim(p))
 
     def numbers(part: Column) -> Column:
-        ends = F.transform(F.split(part, "-", 2), lambda x: F.trim(x).cast("int"))
-        first, last = F.get(ends, 0), F.element_at(ends, -1)
-        return F.sequence(F.least(first, last), F.greatest(first, last))
+        ends = F.transform(F.split(part, "-", 2), lambda x: F.trim(x))
+        one, other = F.get(ends, 0), F.element_at(ends, -1)
+        a, b = one.try_cast("long"), other.try_cast("long")
+        low, high = F.least(a, b), F.greatest(a, b)
+        known = a.isNotNull() & b.isNotNull()
+        spelt = F.when(known & (high - low < WIDEST_RANGE), F.transform(F.sequence(low, high), lambda k: k.cast("string")))
+        bounds = F.when(known, F.concat_ws("-", low, high)).otherwise(F.concat_ws("-", one, other))
+        digits = F.forall(ends, lambda x: x.rlike(r"^\d+$"))
+        return F.when(~digits, F.array().cast("array<string>")).when(F.size(ends) == 1, F.array(one)).otherwise(F.coalesce(spelt, F.array(bounds)))
 
     return F.array_distinct(F.flatten(F.transform(F.filter(parts, lambda p: p != ""), numbers)))
 
 
+def range_bounds(key: Column) -> tuple[Column, Column]:
+    """The bounds of a key that stands for a range; null for other keys."""
+    ends = F.split(key, "-", 2)
+    return F.when(key.contains("-"), F.get(ends, 0).try_cast("long")), F.when(key.contains("-"), F.element_at(ends, -1).try_cast("long"))
+
+
 def label_keys(body: Column) -> Column:
     """surname:year of each label in an author-year block."""
     names = F.regexp_extract_all(body, F.lit(AUTHOR_YEAR_LABEL), F.lit(1))
@@ -208,7 +238,8 @@ def label_keys(body: Column) -> Column:
 
 
 def matches_with_offsets(text: Column, pattern: str) -> Column:
-    """array<struct<raw, start>>: all matches and where they start, from the lengths of what lies between them."""
+    """array<struct<raw, start>>: all matches and where they start, from the lengths of what lies between them. The list is copied
+    for each match; a passage, which is what it is meant for, is 1,600 characters long."""
     raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int>>").alias("found"))

@@ -46,10 +46,13 @@ def sections(pages: DataFrame) -> DataFrame:
     return out.select(short_id("sec:", F.col("document_id"), F.col("ordinal")).alias("section_id"), "document_id", "title", heading_level(F.col("title")).alias("level"), "ordinal", F.col("page_number").alias("page_start"), F.coalesce("next_page", "last_page").alias("page_end"))
 
 
+def is_references(title: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(title)), r"^\d+\.?\d*\.?\s*", "").isin("references", "bibliography")
+
+
 def references_boundary(found: DataFrame) -> DataFrame:
     """document_id, boundary: the ordinal of the last section that is a list of references."""
-    bare = F.regexp_replace(F.lower(F.trim("title")), r"^\d+\.?\d*\.?\s*", "")
-    return found.where(bare.isin("references", "bibliography")).groupBy("document_id").agg(F.max("ordinal").alias("boundary"))
+    return found.where(is_references(F.col("title"))).groupBy("document_id").agg(F.max("ordinal").alias("boundary"))
 
 
 def section_bodies(pages: DataFrame) -> DataFrame:
@@ -58,11 +61,12 @@ def section_bodies(pages: DataFrame) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy("page_number", "pos")
     every = Window.partitionBy("document_id")
     lines = page_lines(pages).withColumn("ordinal", (F.count_if("is_heading").over(order) - 1).cast("int")).withColumn("heads", F.count_if("is_heading").over(every))
+    # the lines hold the headings too: the boundary needs no second pass over the pages
+    lines = lines.withColumn("boundary", F.max(F.when(F.col("is_heading") & is_references(F.col("line")), F.col("ordinal"))).over(every))
     lines = lines.where((F.col("ordinal") >= 0) | (F.col("heads") == 0)).where("not is_heading")
     said = F.array_sort(F.collect_list(F.struct("page_number", "pos", "line")))
     body = F.trim(F.array_join(F.transform(said, lambda x: x["line"]), "\n"))
-    bodies = lines.groupBy("document_id", "ordinal").agg(body.alias("body"))
-    out = bodies.join(references_boundary(sections(pages)), "document_id", "left")
+    out = lines.groupBy("document_id", "ordinal").agg(body.alias("body"), F.first("boundary").alias("boundary"))
     return out.select("document_id", "ordinal", "body", F.coalesce(F.col("ordinal") < F.col("boundary"), F.lit(True)).alias("is_body"))
 
 
@@ -149,8 +153,7 @@ def sliding_chunks(texts: DataFrame, size: int = 1600, overlap: int = 200) -> Da
 
 def reference_block(pages: DataFrame) -> DataFrame:
     """document_id, block: all pages from the boundary's on, without what stands up to the references heading."""
-    found = sections(pages)
-    at = found.join(references_boundary(found).withColumnRenamed("boundary", "ordinal"), ["document_id", "ordinal"]).select("document_id", "page_start")
+    at = sections(pages).where(is_references(F.col("title"))).groupBy("document_id").agg(F.max_by("page_start", "ordinal").alias("page_start"))
     rows = pages.join(at, "document_id").where("page_number >= page_start")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n")
     return rows.groupBy("document_id").agg(F.regexp_replace(text, r"(?is)^(?:.*\n)?\s*(?:\d+\.?\s*)?(?:References|Bibliography)\s*\n", "").alias("block"))
@@ -179,7 +182,7 @@ def inline_citations(found: DataFrame) -> DataFrame:
     dated = F.transform(X.matches_with_offsets(F.col("text"), X.AUTHOR_YEAR_BLOCK), lambda m: F.struct(F.lit("author_year").alias("style"), m["raw"].alias("raw"), m["start"].alias("start")))
     rows = found.select("document_id", "passage_id", F.explode(F.concat(numeric, dated)).alias("c")).select("document_id", "passage_id", "c.*")
     body = F.expr("substring(raw, 2, length(raw) - 2)")
-    keys = F.when(F.col("style") == "numeric_bracket", F.transform(X.expand_keys(body), lambda k: k.cast("string"))).otherwise(F.array().cast("array<string>"))
+    keys = F.when(F.col("style") == "numeric_bracket", X.expand_keys(body)).otherwise(F.array().cast("array<string>"))
     labels = F.when(F.col("style") == "author_year", X.label_keys(body)).otherwise(F.transform(keys, lambda k: F.concat(F.lit("["), k, F.lit("]"))))
     rows = rows.withColumn("keys", keys).withColumn("labels", labels).where((F.size("labels") > 0))
     return rows.select(short_id("cite:", F.col("passage_id"), F.col("start")).alias("citation_id"), "document_id", "passage_id", "style", F.col("raw").alias("raw_text"), F.col("start").alias("start_char"), (F.col("start") + F.length("raw")).alias("end_char"), "keys", "labels")
@@ -187,10 +190,15 @@ def inline_citations(found: DataFrame) -> DataFrame:
 
 def citation_links(citations: DataFrame, references: DataFrame) -> DataFrame:
     """citation_id, document_id, reference_id, confidence: by number at 1.0, else by author and year at 0.7. Of references
-    that share a key, the last counts."""
-    by_number = references.groupBy("document_id", F.col("key_numeric").cast("string").alias("key")).agg(F.max_by("reference_id", "order").alias("reference_id"))
+    that share a key, the last counts. A range that isn't spelt out links to what lies between its bounds."""
+    numbered = references.groupBy("document_id", F.col("key_numeric").alias("number")).agg(F.max_by("reference_id", "order").alias("reference_id"))
+    by_number = numbered.withColumn("key", F.col("number").cast("string")).drop("number")
     by_label = references.where("key_author_year is not null").groupBy("document_id", F.col("key_author_year").alias("key")).agg(F.max_by("reference_id", "order").alias("reference_id"))
-    numbers = citations.select("citation_id", "document_id", F.explode("keys").alias("key")).join(by_number, ["document_id", "key"])
+    low, high = X.range_bounds(F.col("key"))
+    keys = citations.select("citation_id", "document_id", F.explode("keys").alias("key"))
+    ranges = keys.withColumns({"low": low, "high": high}).where("low is not null")
+    numbers = keys.join(by_number, ["document_id", "key"]).select("citation_id", "document_id", "reference_id")
+    numbers = numbers.unionByName(ranges.join(numbered, "document_id").where("number between low and high").select("citation_id", "document_id", "reference_id"))
     labels = citations.where(F.size("keys") == 0).select("citation_id", "document_id", F.explode("labels").alias("key")).join(by_label, ["document_id", "key"])
     return numbers.select("citation_id", "document_id", "reference_id", F.lit(1.0).alias("confidence")).unionByName(labels.select("citation_id", "document_id", "reference_id", F.lit(0.7).alias("confidence"))).distinct()
 
