@@ -28,7 +28,10 @@ def upsert_references(rows: DataFrame) -> DataFrame:
 
 def upsert_entities(rows: DataFrame) -> DataFrame:
     """Entities (uid, type, name, aliases, confidence, seq): first name, all aliases, last confidence."""
-    return rows.groupBy("uid").agg(F.min_by("type", "seq").alias("type"), F.min_by("name", "seq").alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.max_by("confidence", "seq").alias("confidence"))
+    out = rows.groupBy("uid").agg(F.min_by("type", "seq").alias("type"), F.min_by("name", "seq").alias("name"), F.max_by("confidence", "seq").alias("confidence"))
+    # distinct before they are gathered: a hot entity's list is as long as its different aliases, not as its mentions
+    aliases = rows.select("uid", F.explode("aliases").alias("alias")).distinct().groupBy("uid").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    return out.join(aliases, "uid", "left").select("uid", "type", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "confidence")
 
 
 def with_endpoints(rows: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,8 +87,10 @@ def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def effective_confidence(evidence: DataFrame) -> DataFrame:
-    """relation_uid, max_confidence, avg_confidence, n_evidence."""
-    return evidence.groupBy("relation_uid").agg(F.max("confidence").alias("max_confidence"), F.avg("confidence").alias("avg_confidence"), F.count("*").alias("n_evidence"))
+    """relation_uid, max_confidence, avg_confidence, n_evidence. Confidences are added up to six decimals as decimals, so that the
+    average doesn't depend on the order of the rows."""
+    total = F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double")
+    return evidence.groupBy("relation_uid").agg(F.max("confidence").alias("max_confidence"), (total / F.count("confidence")).alias("avg_confidence"), F.count("*").alias("n_evidence"))
 
 
 def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:

@@ -34,7 +34,7 @@ def candidates(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     acronyms = F.when(F.col("entity_type") != "Paper", F.transform("acronyms", F.lower)).otherwise(F.array().cast("array<string>"))
     offered = registry.withColumn("offer", F.explode(F.array_distinct(F.concat(tag("name", F.array("normalized_name")), tag("other", "normalized_aliases"), tag("other", acronyms)))))
     asked = mentions.where("may_link").withColumn("ask", F.explode(F.array_distinct(F.concat(tag("name", F.array("key")), tag("other", F.array("key")), tag("other", "alias_keys")))))
-    right = offered.select(F.col("entity_type").alias("type"), F.col("offer.kind").alias("kind"), F.col("offer.block").alias("block"), "canonical_id", "normalized_name", "normalized_aliases", "acronyms")
+    right = offered.select(F.col("entity_type").alias("type"), F.col("offer.kind").alias("kind"), F.col("offer.block").alias("block"), "canonical_id", "normalized_name", "normalized_aliases", "acronyms", F.col("canonical_name").alias("known_name"), F.col("aliases").alias("known_aliases"))
     pairs = asked.select("*", "ask.kind", "ask.block").drop("ask").join(right, ["type", "kind", "block"]).drop("kind", "block").dropDuplicates(["mention_id", "canonical_id"])
     prefix = F.concat(F.lit("canonical_"), F.lower("type"), F.lit(":"))
     pairs = pairs.where(F.col("canonical_id").startswith(prefix))
@@ -80,16 +80,20 @@ def canonical_id(entity_type: Column, name: Column) -> Column:
 def link(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     """mention_id, type, name, confidence, canonical_id, matched, score, reason, and what it would teach the registry."""
     gated = gate(mentions)
-    hits = accepted(candidates(gated, registry)).select("mention_id", F.col("canonical_id").alias("hit"), "score", "reason")
+    hits = accepted(candidates(gated, registry)).select("mention_id", F.col("canonical_id").alias("hit"), "score", "reason", "known_name", "known_aliases")
     out = gated.join(hits, "mention_id", "left")
     matched = F.col("hit").isNotNull()
     why = F.when(matched, F.col("reason")).when(F.col("may_link"), "new_canonical_no_match").otherwise("new_canonical_low_confidence_or_unsupported_type")
-    learns = matched & (F.col("confidence") >= S.ALIAS_FLOOR) & F.col("reason").isin("normalized_exact_match", "normalized_alias_match")
-    names = F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))
-    acronyms = F.filter(F.array_distinct(F.transform(names, lambda n: F.when(n.rlike("^[A-Z]{2,8}$"), n).otherwise(X.acronym(n)))), lambda a: a.isNotNull())
+    learns = matched & (F.col("score") >= S.ALIAS_FLOOR) & F.col("reason").isin("normalized_exact_match", "normalized_alias_match")
+    canonical = F.coalesce("known_name", "name")
+    # the payload: a sure link brings the canonical's own aliases along
+    own = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a != "")
+    names = F.array_union(merge_aliases(own, F.coalesce("known_aliases", F.array().cast("array<string>")), F.coalesce("score", F.lit(0.0))), F.array("name", canonical))
+    keys = F.filter(F.array_distinct(F.transform(names, X.match_key)), lambda k: k != "")
+    acronyms = F.filter(F.array_distinct(F.transform(F.array("name", canonical), lambda n: F.lower(X.acronym(n)))), lambda a: a.isNotNull())
     return out.select(
         "mention_id", "type", "name", "confidence", F.when(matched, F.col("hit")).otherwise(canonical_id(F.col("type"), F.col("name"))).alias("canonical_id"), matched.alias("matched"), "score", why.alias("reason"),
-        learns.alias("learns_aliases"), F.array_sort(names).alias("new_aliases"), F.array_sort(F.array_distinct(F.concat("alias_keys", F.array("key")))).alias("new_alias_keys"), F.array_sort(acronyms).alias("new_acronyms"),
+        learns.alias("learns_aliases"), F.array_sort(names).alias("new_aliases"), F.array_sort(keys).alias("new_alias_keys"), F.array_sort(acronyms).alias("new_acronyms"),
     )
 
 
@@ -100,13 +104,15 @@ def merge_aliases(old: Column, new: Column, confidence: Column) -> Column:
 
 def upsert_registry(registry: DataFrame, links: DataFrame) -> DataFrame:
     """The next registry: new canonicals with all they bring; known ones with aliases if they may learn and acronyms always."""
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     teach = ~F.col("matched") | F.col("learns_aliases")
     none = F.array().cast("array<string>")
-    gained = links.groupBy("canonical_id").agg(
-        F.min(F.struct("mention_id", "type", "name")).alias("x"),
-        union(F.when(teach, F.col("new_aliases")).otherwise(none)).alias("add_aliases"), union(F.when(teach, F.col("new_alias_keys")).otherwise(none)).alias("add_keys"), union("new_acronyms").alias("add_acronyms"),
-    )
+    tag = lambda kind, names: F.transform(F.coalesce(names, none), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    new = F.concat(tag("alias", F.when(teach, F.col("new_aliases"))), tag("key", F.when(teach, F.col("new_alias_keys"))), tag("acronym", F.col("new_acronyms")))
+    # distinct before they are gathered: a hot canonical's lists are as long as its different names, not as its mentions
+    taught = links.select("canonical_id", F.explode(new).alias("n")).select("canonical_id", "n.*").distinct()
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("name")))
+    lists = taught.groupBy("canonical_id").agg(of("alias").alias("add_aliases"), of("key").alias("add_keys"), of("acronym").alias("add_acronyms"))
+    gained = links.groupBy("canonical_id").agg(F.min(F.struct("mention_id", "type", "name")).alias("x")).join(lists, "canonical_id", "left")
     rows = registry.join(gained, "canonical_id", "full")
     both = lambda old, new: F.array_sort(F.array_union(F.coalesce(old, none), F.coalesce(new, none)))
     name = F.coalesce("canonical_name", "x.name")
