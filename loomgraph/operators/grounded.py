@@ -66,10 +66,13 @@ def interpret(questions: DataFrame) -> DataFrame:
 
 def in_document_scope(hits: DataFrame, entity_documents: DataFrame, instances: DataFrame) -> DataFrame:
     """hits (question_id, document_id, uid, ...) of questions about one document only if the entity, or a peer that shares its
-    canonical, has evidence there."""
-    peers = instances.join(instances.withColumnRenamed("entity_uid", "peer"), "canonical_id").select("entity_uid", "peer")
-    reach = peers.join(entity_documents.withColumnRenamed("entity_uid", "peer"), "peer").select("entity_uid", "document_id").unionByName(entity_documents).distinct()
-    scoped = hits.where("document_id is not null").join(reach.withColumnRenamed("entity_uid", "uid"), ["uid", "document_id"], "left_semi")
+    canonical, has evidence there. Only pairs that are asked for go to their canonicals: peers are never paired with each other."""
+    scoped = hits.where("document_id is not null")
+    asked = scoped.select("uid", "document_id").distinct()
+    itself = asked.join(entity_documents.withColumnRenamed("entity_uid", "uid"), ["uid", "document_id"], "left_semi")
+    reach = instances.join(entity_documents, "entity_uid").select("canonical_id", "document_id").distinct()
+    through = asked.join(instances.withColumnRenamed("entity_uid", "uid"), "uid").join(reach, ["canonical_id", "document_id"], "left_semi").select("uid", "document_id")
+    scoped = scoped.join(itself.unionByName(through).distinct(), ["uid", "document_id"], "left_semi")
     return hits.where("document_id is null").unionByName(scoped.select(*hits.columns))
 
 
@@ -106,19 +109,25 @@ def density(relations: DataFrame, evidence: DataFrame, citations: DataFrame) ->
     return source.groupBy("entity").agg(F.count("*").alias("n_relations")).join(counts, "entity").select(c("entity").alias("uid"), "n_relations", "n_evidence", "n_citations")
 
 
-def fallback_candidates(asked: DataFrame, local: DataFrame, entities: DataFrame, found: DataFrame) -> DataFrame:
+def fallback_candidates(asked: DataFrame, local: DataFrame, entities: DataFrame, found: DataFrame, scope_fallback: bool = False, entity_documents: DataFrame | None = None) -> DataFrame:
     """The densest five entities for questions of two tokens or more that no local candidate answers. Questions that ask for the
-    same node types in the same order share one list."""
+    same node types in the same order share one list. A question's document doesn't restrict its list, so the rule stands, unless
+    ``scope_fallback`` is set: then only entities with evidence in that document are on it (``entity_documents`` tells)."""
     need = asked.where(F.size("tokens") > 1).join(local.select("question_id").distinct(), "question_id", "left_anti")
-    need = need.withColumns({"cited": c("intent") == "CITATION_BASIS", "kinds": F.array_join("node_types", ",")})
-    kinds = need.select("cited", "kinds", "node_types").distinct()
+    scope = F.coalesce("document_id", F.lit("")) if scope_fallback else F.lit("")
+    need = need.withColumns({"cited": c("intent") == "CITATION_BASIS", "kinds": F.array_join("node_types", ","), "scope": scope})
+    kinds = need.select("cited", "kinds", "scope", "node_types").distinct()
     rows = found.join(entities.where(c("type").isin(*S.ENTITY_TYPES)), "uid")
-    lists = rows.join(kinds, (F.size("node_types") == 0) | F.array_contains("node_types", c("type")))
+    fits = (F.size("node_types") == 0) | F.array_contains("node_types", c("type"))
+    lists = rows.join(kinds.where("scope = ''"), fits)
+    if scope_fallback:
+        there = entity_documents.select(c("entity_uid").alias("uid"), c("document_id").alias("scope"))
+        lists = lists.unionByName(rows.join(there, "uid").join(kinds.where("scope <> ''"), "scope").where(fits).select(*lists.columns))
     first = F.when(c("cited"), c("n_citations")).otherwise(c("n_evidence"))
-    order = Window.partitionBy("cited", "kinds").orderBy(first.desc(), F.desc("n_relations"), F.desc("n_evidence"), F.desc("n_citations"), "uid")
+    order = Window.partitionBy("cited", "kinds", "scope").orderBy(first.desc(), F.desc("n_relations"), F.desc("n_evidence"), F.desc("n_citations"), "uid")
     lists = lists.withColumn("pos", F.row_number().over(order)).where(c("pos") <= FALLBACKS)
     score = (c("n_relations") + c("n_evidence") + c("n_citations")).cast("double")
-    return need.select("question_id", "cited", "kinds").join(lists.drop("node_types"), ["cited", "kinds"]).select("question_id", c("uid").alias("entity_id"), "name", "type", score.alias("score"), F.lit("graph_density_fallback").alias("reason"), F.lit("local").alias("source"), "pos")
+    return need.select("question_id", "cited", "kinds", "scope").join(lists.drop("node_types"), ["cited", "kinds", "scope"]).select("question_id", c("uid").alias("entity_id"), "name", "type", score.alias("score"), F.lit("graph_density_fallback").alias("reason"), F.lit("local").alias("source"), "pos")
 
 
 def boosted(candidates: DataFrame, asked: DataFrame) -> DataFrame:
@@ -181,9 +190,10 @@ def best_per_entity(rows: DataFrame, *by: str) -> DataFrame:
     return out.where((c("plain") <= MOST_PER_CANDIDATE) | (c("cites") <= MOST_PER_CANDIDATE))
 
 
-def collect_evidence(candidates: DataFrame, plans: DataFrame, rows: DataFrame) -> DataFrame:
+def collect_evidence(candidates: DataFrame, plans: DataFrame, rows: DataFrame, cap_after_rank: bool = False) -> DataFrame:
     """question_id, pos and the evidence of each question's candidates: one hop, then two where the plan says so, each up to the plan's
-    limit per candidate; repeats go, and the first max_evidence in order of discovery stay."""
+    limit per candidate; repeats go, and the first max_evidence in order of discovery stay, so the rule stands. With
+    ``cap_after_rank`` all of it stays, and :func:`ranked` keeps the best max_evidence."""
     one = rows.withColumn("start", c("source_uid"))
     pairs = rows.select(c("source_uid").alias("from"), c("target_uid").alias("start")).distinct().where(c("from") != c("start"))
 
@@ -202,7 +212,8 @@ def collect_evidence(candidates: DataFrame, plans: DataFrame, rows: DataFrame) -
         found = both if found is None else found.unionByName(both)
     found = found.withColumn("place", F.when(c("citations_first"), c("cites")).otherwise(c("plain"))).where(c("place") <= c("per_candidate"))
     found = nth(found.withColumn("said", same_words(c("snippet"))), "k", "rank", "hop", "place", by=("relation_uid", "evidence_uid", "said"))
-    found = nth(found.where("k = 1"), "pos", "rank", "hop", "place").where(c("pos") <= c("max_evidence"))
+    found = nth(found.where("k = 1"), "pos", "rank", "hop", "place")
+    found = found if cap_after_rank else found.where(c("pos") <= c("max_evidence"))
     return found.select("question_id", "pos", c("start").alias("entity_id"), "entity_name", "relation_uid", "evidence_uid", "relation_type", "page", "snippet", "said", "section", "confidence", "document_id", "document_name", "citation_label", "reference_entry_id")
 
 
@@ -293,10 +304,10 @@ def insights(found: DataFrame, most: int = 5) -> DataFrame:
     """question_id, type, text, confidence, supports, insight_rank."""
     good = reliable(found)
     n2 = lambda x: F.bround(x, 2)
-    common = good.where("frequency >= 2").select("question_id", F.lit("COMMON_PATTERN").alias("type"), F.concat("entity", F.lit(" most commonly appears with "), "relation", F.lit(" patterns.")).alias("text"), n2(F.least(F.lit(0.95), 0.5 + 0.1 * c("frequency"))).alias("confidence"), F.lit(1).cast("long").alias("supports"), F.lit(1).alias("kind"), c("cluster_rank").alias("at"))
+    common = good.where("frequency >= 2").select("question_id", F.lit("COMMON_PATTERN").alias("type"), X.filled(S.INSIGHT_TEXTS["COMMON_PATTERN"], entity=c("entity"), relation=c("relation")).alias("text"), n2(F.least(F.lit(0.95), 0.5 + 0.1 * c("frequency"))).alias("confidence"), F.lit(1).cast("long").alias("supports"), F.lit(1).alias("kind"), c("cluster_rank").alias("at"))
     relation = good.groupBy("question_id", "relation").agg(F.count("*").alias("supports"), F.min("cluster_rank").alias("at")).where("supports >= 2")
-    frequent = relation.select("question_id", F.lit("FREQUENT_RELATION").alias("type"), F.concat("relation", F.lit(" relation is frequently observed across matched entities.")).alias("text"), n2(F.least(F.lit(0.9), 0.45 + 0.08 * c("supports"))).alias("confidence"), "supports", F.lit(2).alias("kind"), "at")
-    trend = good.where("frequency >= 2 and homes >= 2").select("question_id", F.lit("CROSS_DOCUMENT_TREND").alias("type"), F.concat("entity", F.lit(" "), F.lower("relation"), F.lit(" trend repeats in "), "homes", F.lit(" documents.")).alias("text"), n2(F.least(F.lit(0.95), 0.55 + 0.1 * c("homes"))).alias("confidence"), F.lit(1).cast("long").alias("supports"), F.lit(3).alias("kind"), c("cluster_rank").alias("at"))
+    frequent = relation.select("question_id", F.lit("FREQUENT_RELATION").alias("type"), X.filled(S.INSIGHT_TEXTS["FREQUENT_RELATION"], relation=c("relation")).alias("text"), n2(F.least(F.lit(0.9), 0.45 + 0.08 * c("supports"))).alias("confidence"), "supports", F.lit(2).alias("kind"), "at")
+    trend = good.where("frequency >= 2 and homes >= 2").select("question_id", F.lit("CROSS_DOCUMENT_TREND").alias("type"), X.filled(S.INSIGHT_TEXTS["CROSS_DOCUMENT_TREND"], entity=c("entity"), relation=F.lower("relation"), homes=c("homes")).alias("text"), n2(F.least(F.lit(0.95), 0.55 + 0.1 * c("homes"))).alias("confidence"), F.lit(1).cast("long").alias("supports"), F.lit(3).alias("kind"), c("cluster_rank").alias("at"))
     rows = common.unionByName(frequent).unionByName(trend).where("confidence >= 0.55").withColumn("low", F.lower(F.trim("text")))
     rows = nth(rows, "k", F.desc("confidence"), "kind", "at", by=("low",)).where("k = 1")
     return nth(rows, "insight_rank", F.desc("confidence"), "kind", "at").where(c("insight_rank") <= most).select("question_id", "type", "text", "confidence", "supports", "insight_rank")
@@ -344,7 +355,8 @@ def focus_ids(candidates: DataFrame, rows: DataFrame) -> DataFrame:
 
 def answers(asked: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFrame:
     """One row per question: the answer's text and confidence, guardrails, gates, key points and lists."""
-    names = candidates.groupBy("question_id").agg(in_order(c("name"), c("rank")).alias("names"), (F.max((~F.lower("reason").contains("fallback")).cast("int")) == 0).alias("only_fallback"))
+    matched = in_order(F.struct(c("entity_id").alias("id"), "type", c("name").alias("display_name")), c("rank")).alias("matched_entities")
+    names = candidates.groupBy("question_id").agg(in_order(c("name"), c("rank")).alias("names"), matched, (F.max((~F.lower("reason").contains("fallback")).cast("int")) == 0).alias("only_fallback"))
     shown = ordered(rows).join(asked.select("question_id", "include_citations"), "question_id")
     top = distinct_snippets(shown, 3).groupBy("question_id").agg(
         F.min_by("relation_type", "top").alias("first_relation"), in_order(F.trim("snippet"), c("top")).alias("snippets"), F.array_sort(F.collect_set(F.nullif("relation_type", F.lit("")))).alias("rel_types"),
@@ -359,20 +371,16 @@ def answers(asked: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFra
     for part in (names, top, size, cites, importance, said, focus_ids(candidates, shown)):
         out = out.join(part, "question_id", "left")
     n, k = F.coalesce("n_evidence", F.lit(0)), F.coalesce("n_citations", F.lit(0))
-    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     fact, node = F.coalesce(F.get(F.filter("snippets", lambda s: s != ""), 0), F.lit("")), F.get("names", 0)
     rels, first = F.array_join("rel_types", ", "), c("first_relation")
-    relation, target = F.when(rels != "", rels).otherwise(first), F.coalesce(F.get("names", 1), F.lit("its linked context"))
+    relation, target = F.when(rels != "", rels).otherwise(first), F.coalesce(F.get("names", 1), F.lit(S.TARGET_UNKNOWN))
     concepts, cited = F.array_join(F.slice("names", 1, 3), ", "), F.array_join(F.slice("labels", 1, 4), ", ")
     has, intent = fact != "", c("intent")
-    text = (
-        F.when(intent == "SUMMARY", F.when(has, cat(node, " and related concepts (", concepts, ") are grounded by evidence from sections ", F.array_join(F.slice("sections", 1, 3), ", "), ". Core evidence: ", fact)).otherwise(cat(node, " is grounded through relations (", rels, ") with related concepts: ", concepts, ".")))
-        .when(intent == "METHOD_USAGE", F.when(has, cat("Method usage is evidenced as ", node, " connects to ", target, " through ", first, ". Evidence: ", fact)).otherwise(cat("Method usage grounding shows ", node, " linked to ", target, " through ", first, ".")))
-        .when(intent == "PROBLEM", F.when(has, cat("The problem framing centers on ", node, ". Supporting passage: ", fact)).otherwise(cat("The problem framing is grounded around ", node, " with relation pattern ", relation, ".")))
-        .when(intent == "CITATION_BASIS", F.when(cited != "", cat("This answer is based on citation-backed evidence for ", node, ": ", cited, ".")).when(has, cat("Reference-grounded evidence for ", node, " was found: ", fact)).otherwise(cat("Reference evidence exists for ", node, ", but explicit citation labels were not available.")))
-        .otherwise(F.when(has, cat("Relation lookup shows ", node, " connected via ", relation, ". Evidence: ", fact)).otherwise(cat("Relation lookup found ", node, " connected through ", relation, ".")))
-    )
-    found = F.when(n > 0, text).otherwise("We couldn’t find strong supporting evidence for this question in your documents.")
+    values = {"node": node, "concepts": concepts, "sections": F.array_join(F.slice("sections", 1, 3), ", "), "fact": fact, "relations": rels, "target": target, "first": first, "relation": relation, "labels": cited}
+    text = F.when((intent == "CITATION_BASIS") & (cited != ""), X.filled(S.CITED_TEXT, **values))
+    for which, (with_fact, without) in S.ANSWER_TEXTS.items():
+        text = text.when(intent == which, F.when(has, X.filled(with_fact, **values)).otherwise(X.filled(without, **values)))
+    found = F.when(n > 0, text).otherwise(S.NOTHING_FOUND)
     score = F.when(n == 0, 0.0).otherwise(half_even(F.least(F.lit(1.0), 0.45 * F.least(F.lit(1.0), n / 5) + 0.35 * F.coalesce("avg_importance", F.lit(0.0)) + 0.20 * F.least(F.lit(1.0), k / F.greatest(F.lit(1), n)))))
     anchors = F.array_distinct(F.concat(X.question_tokens(c("question")), F.filter("entity_hints", lambda h: F.length(h) >= 3)))
     anchored = F.exists(anchors, lambda t: F.exists("names", lambda m: F.lower(m).contains(t)))
@@ -381,22 +389,24 @@ def answers(asked: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFra
     out = out.withColumns({"gate": gate, "confidence": score, "n_evidence": n, "n_citations": k})
     open_, weak = c("gate").isNull(), (n < 2) | (c("confidence") < 0.45)
     why = F.when(~open_, "no_evidence_hard_gate").when(n == 0, "no_evidence").when((intent == "CITATION_BASIS") & (k == 0), "citation_missing").when(weak, "weak_match")
-    hedge = lambda s: F.when(F.lower(found).contains("limited evidence"), "").otherwise(s)
-    tail = F.when(why == "no_evidence", hedge(" Limited evidence is available for this answer.")).when(why == "citation_missing", " Citation basis could not be verified because no citation links were found.").when(why == "weak_match", hedge(" This answer is based on limited evidence.")).otherwise("")
+    hedged, tails = F.lower(found).contains(S.LIMITED), S.UNCERTAINTY_TEXTS
+    tail = F.when(why == "citation_missing", tails["citation_missing"]).when(hedged, "").when(why == "no_evidence", tails["no_evidence"]).when(why == "weak_match", tails["weak_match"]).otherwise("")
     badge = F.when(c("confidence") >= 0.65, "GROUNDED").when(c("confidence") >= 0.3, "WEAK_GROUNDING").otherwise("NO_GROUNDING")
-    closing = F.when(intent == "RELATION_LOOKUP", "Relations are grouped by canonical entity and relation type.").when(intent == "METHOD_USAGE", "Usage patterns prioritize repeated evidence and citation-backed clusters.").when(intent == "SUMMARY", "Summary is grounded by the highest-importance evidence clusters.")
-    lead = cat("Primary cluster: ", c("first_cluster.entity"), " - ", c("first_cluster.relation"), " (", c("first_cluster.frequency"), " supports).")
-    points = F.slice(F.filter(F.array(lead, cat("Top insight: ", c("first_insight")), closing), lambda p: p.isNotNull()), 1, 3)
+    closing = F.lit(None).cast("string")
+    for which, said_last in S.CLOSING_POINTS.items():
+        closing = F.when(intent == which, said_last).otherwise(closing)
+    lead = X.filled(S.KEY_POINTS[0], entity=c("first_cluster.entity"), relation=c("first_cluster.relation"), frequency=c("first_cluster.frequency").cast("string"))
+    points = F.slice(F.filter(F.array(lead, X.filled(S.KEY_POINTS[1], insight=c("first_insight")), closing), lambda p: p.isNotNull()), 1, 3)
     nothing = F.array().cast("array<string>")
     return out.select(
-        "question_id", "intent", "gate", F.when(open_, F.concat(found, tail)).otherwise("No grounded answer found in the current documents.").alias("answer"), F.when(open_, c("confidence")).otherwise(0.0).alias("confidence"), F.when(open_, badge).otherwise("NO_GROUNDING").alias("badge"),
+        "question_id", "intent", "gate", F.when(open_, F.concat(found, tail)).otherwise(S.NOTHING_GROUNDED).alias("answer"), F.when(open_, c("confidence")).otherwise(0.0).alias("confidence"), F.when(open_, badge).otherwise("NO_GROUNDING").alias("badge"),
         why.isNotNull().alias("limited_evidence"), why.alias("uncertainty_reason"), F.when(open_, points).otherwise(nothing).alias("key_points"), F.when(open_, n).otherwise(0).cast("long").alias("n_evidence"), F.when(open_, k).otherwise(0).cast("long").alias("n_citations"),
-        F.when(open_, F.coalesce("n_insights", F.lit(0))).otherwise(0).cast("long").alias("n_insights"), F.coalesce(F.slice("names", 1, 3), nothing).alias("closest_concepts"), F.coalesce("focus", nothing).alias("focus"),
+        F.when(open_, F.coalesce("n_insights", F.lit(0))).otherwise(0).cast("long").alias("n_insights"), F.coalesce(F.slice("names", 1, 3), nothing).alias("closest_concepts"), F.coalesce("focus", nothing).alias("focus"), "matched_entities",
     )
 
 
 def explanations(asked: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFrame:
-    """question_id, entity_reasons, reasoning_path, sections: how an answer came about."""
+    """question_id, entity_reasons, evidence_reasons, reasoning_path, sections, signals: how an answer came about."""
     shown = ordered(rows)
     n = candidates.groupBy("question_id").agg(F.count("*").alias("n_candidates"))
     size = shown.groupBy("question_id").agg(F.count("*").alias("n_evidence"))
@@ -404,7 +414,13 @@ def explanations(asked: DataFrame, candidates: DataFrame, rows: DataFrame) -> Da
     out = planned(asked)
     for part in (n, size, top):
         out = out.join(part, "question_id", "left")
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    why = F.array(F.when(F.size("entity_hints") > 0, F.concat(F.lit("Selected entities using query hints: "), F.array_join(F.slice("entity_hints", 1, 4), ", "), F.lit("."))), F.concat(F.lit("Candidate selection returned "), zero("n_candidates"), F.lit(" graph entities for intent "), "intent", F.lit(".")))
-    path = F.array(F.concat(F.lit("question_intent:"), "intent"), F.concat(F.lit("candidate_entities:"), zero("n_candidates")), F.concat(F.lit("evidence_candidates:"), zero("n_evidence")), F.concat(F.lit("selected_top_evidence:"), zero("n_top")), F.concat(F.lit("strategy:"), "strategy"))
-    return out.select("question_id", F.filter(why, lambda r: r.isNotNull()).alias("entity_reasons"), path.alias("reasoning_path"), F.coalesce("sections", F.array().cast("array<string>")).alias("sections"))
+    number = lambda x: F.coalesce(x, F.lit(0)).cast("string")
+    directions = F.lit(None).cast("string")
+    for which, said in S.TRAVERSAL_DIRECTIONS.items():
+        directions = F.when(c("intent") == which, said).otherwise(directions)
+    values = {"hints": F.array_join(F.slice("entity_hints", 1, 4), ", "), "candidates": number("n_candidates"), "intent": c("intent"), "evidence": number("n_evidence"), "top": number("n_top"), "strategy": c("strategy"), "directions": directions}
+    why = F.array(F.when(F.size("entity_hints") > 0, X.filled(S.ENTITY_REASONS[0], **values)), X.filled(S.ENTITY_REASONS[1], **values))
+    because = F.array(X.filled(S.EVIDENCE_REASONS[0], **values), F.when(c("n_evidence") > 0, S.EVIDENCE_REASONS[1]))
+    path = F.array(*[X.filled(step, **values) for step in S.REASONING_PATH])
+    said = lambda x: F.filter(x, lambda r: r.isNotNull())
+    return out.select("question_id", said(why).alias("entity_reasons"), said(because).alias("evidence_reasons"), path.alias("reasoning_path"), F.coalesce("sections", F.array().cast("array<string>")).alias("sections"), F.array(*map(F.lit, S.SELECTION_SIGNALS)).alias("signals"))

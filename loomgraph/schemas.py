@@ -59,6 +59,7 @@ TRAVERSAL_PLANS = (
     ("PROBLEM", "problem_context_scan", False, 2, 6, 0, 1),
     ("SUMMARY", "broad_summary_sweep", False, 2, 6, 0, 1),
 )
+TRAVERSAL_DIRECTIONS = {"METHOD_USAGE": "outgoing, incoming", "CITATION_BASIS": "outgoing", "RELATION_LOOKUP": "outgoing, incoming", "PROBLEM": "outgoing", "SUMMARY": "outgoing"}
 SECTION_WEIGHTS = {"abstract": 2.0, "conclusion": 1.2, "methods": 1.0, "results": 1.0, "discussion": 0.8, "references": -0.8}
 #: intent, section, added to the section's weight
 SECTION_ADJUSTMENTS = (
@@ -73,6 +74,42 @@ ALIGNED_RELATIONS = {
     "RELATION_LOOKUP": (("",), 0.8),
     "CITATION_BASIS": (("cite", "support", "reference"), 0.9),
 }
+#: Sentences of answers and explanations; what stands in braces is filled in.
+ANSWER_TEXTS = {
+    "SUMMARY": ("{node} and related concepts ({concepts}) are grounded by evidence from sections {sections}. Core evidence: {fact}", "{node} is grounded through relations ({relations}) with related concepts: {concepts}."),
+    "METHOD_USAGE": ("Method usage is evidenced as {node} connects to {target} through {first}. Evidence: {fact}", "Method usage grounding shows {node} linked to {target} through {first}."),
+    "PROBLEM": ("The problem framing centers on {node}. Supporting passage: {fact}", "The problem framing is grounded around {node} with relation pattern {relation}."),
+    "CITATION_BASIS": ("Reference-grounded evidence for {node} was found: {fact}", "Reference evidence exists for {node}, but explicit citation labels were not available."),
+    "RELATION_LOOKUP": ("Relation lookup shows {node} connected via {relation}. Evidence: {fact}", "Relation lookup found {node} connected through {relation}."),
+}
+CITED_TEXT = "This answer is based on citation-backed evidence for {node}: {labels}."
+NOTHING_FOUND = "We couldn’t find strong supporting evidence for this question in your documents."
+NOTHING_GROUNDED = "No grounded answer found in the current documents."
+TARGET_UNKNOWN = "its linked context"
+LIMITED = "limited evidence"
+UNCERTAINTY_TEXTS = {
+    "no_evidence": " Limited evidence is available for this answer.",
+    "citation_missing": " Citation basis could not be verified because no citation links were found.",
+    "weak_match": " This answer is based on limited evidence.",
+}
+KEY_POINTS = ("Primary cluster: {entity} - {relation} ({frequency} supports).", "Top insight: {insight}")
+CLOSING_POINTS = {
+    "RELATION_LOOKUP": "Relations are grouped by canonical entity and relation type.",
+    "METHOD_USAGE": "Usage patterns prioritize repeated evidence and citation-backed clusters.",
+    "SUMMARY": "Summary is grounded by the highest-importance evidence clusters.",
+}
+INSIGHT_TEXTS = {
+    "COMMON_PATTERN": "{entity} most commonly appears with {relation} patterns.",
+    "FREQUENT_RELATION": "{relation} relation is frequently observed across matched entities.",
+    "CROSS_DOCUMENT_TREND": "{entity} {relation} trend repeats in {homes} documents.",
+}
+ENTITY_REASONS = ("Selected entities using query hints: {hints}.", "Candidate selection returned {candidates} graph entities for intent {intent}.")
+EVIDENCE_REASONS = ("Traversal strategy '{strategy}' prioritized {directions} links.", "Evidence ranking prioritized entity mention, section weight, citation presence, confidence, and relation match.")
+SELECTION_SIGNALS = (
+    "entity_mention_match", "intent_section_priority", "citation_signal_weighted_by_intent", "relation_type_alignment", "confidence_weight",
+    "duplicate_passage_penalty", "duplicate_document_penalty", "diversity_bonus",
+)
+REASONING_PATH = ("question_intent:{intent}", "candidate_entities:{candidates}", "evidence_candidates:{evidence}", "selected_top_evidence:{top}", "strategy:{strategy}")
 INGEST_STAGES = ("uploaded", "parsing", "detecting_sections", "parsing_references", "extracting_semantics", "writing_graph", "completed", "failed")
 BASE_NODES = ("Method", "Concept", "Dataset", "Metric", "Task", "Author", "Institution", "CanonicalEntity", "RelationInstance")
 STRUCTURAL_NODES, EVIDENCE_NODES, CITATION_NODES = ("Document", "Section"), ("Passage", "Evidence"), ("ReferenceEntry", "InlineCitation")
