@@ -81,12 +81,15 @@ def display_name(*choices: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in choices])
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int = 10) -> DataFrame:
-    """id, direction, type, neighbour for up to ``most`` neighbours each way of ids (id), never the node itself."""
+def neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int = 10, scope: DataFrame | None = None) -> DataFrame:
+    """id, direction, type, neighbour for up to ``most`` neighbours each way of ids (id), never the node itself. ``scope`` (id), as
+    :func:`document_scope` gives it, leaves only neighbours in it."""
     out = edges.where("source <> target")
     sides = out.select(F.col("source").alias("id"), F.lit("outgoing").alias("direction"), "type", F.col("target").alias("neighbour"))
     sides = sides.unionByName(out.select(F.col("target").alias("id"), F.lit("incoming").alias("direction"), "type", F.col("source").alias("neighbour")))
     rows = sides.join(ids, "id", "left_semi").distinct().join(nodes.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
+    if scope is not None:
+        rows = rows.join(scope.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
     nth = F.row_number().over(Window.partitionBy("id", "direction").orderBy("type", "neighbour"))
     return rows.withColumn("nth", nth).where(F.col("nth") <= most).select("id", "direction", "type", "neighbour")
 

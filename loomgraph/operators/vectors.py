@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+from loomgraph.operators.structure import chunked, short_id
+
+BLOCK, SHARD, LEAST_SHARDS = 1024, 65_536, 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,16 +23,17 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, positive: bool = Tr
     """query_id, chunk_id, score, rank: the k chunks of largest cosine. A vector of length 0 scores 0; ``positive`` keeps scores
     above 0; ``by_document`` compares only within a query's document_id.
 
-    Queries come in blocks, and each block meets every chunk once: a stated query set against all rows. A task holds no more
-    than one block for each of its chunks, and ranks are cut within tasks before they are shuffled."""
+    A stated query set meets all rows, in blocks of queries and shards of chunks: each pair of them is one key of an equi-join, so that
+    no key grows with the tables and none is hot, whatever document most chunks are of. Ranks are cut within tasks before they are
+    shuffled."""
     q = with_norm(queries).select("query_id", F.col("embedding").alias("ask"), F.col("norm").alias("ask_norm"), *(["document_id"] if by_document else []))
     rows = with_norm(chunks)
-    if by_document:
-        pairs = rows.join(q, "document_id")
-    else:
-        blocks = max(1, -(-queries.count() // BLOCK))
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block")
+    blocks, shards = max(1, -(-queries.count() // BLOCK)), max(LEAST_SHARDS, -(-chunks.count() // SHARD))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    q = q.withColumn("block", dealt("query_id", blocks)).withColumn("shard", every(shards))
+    rows = rows.withColumn("shard", dealt("chunk_id", shards)).withColumn("block", every(blocks))
+    pairs = rows.join(q, ["block", "shard", *(["document_id"] if by_document else [])])
     size = F.col("norm") * F.col("ask_norm")
     rows = pairs.select("query_id", "chunk_id", F.when(size == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("ask")) / size).alias("score"))
     if positive:
@@ -48,6 +51,12 @@ def contexts(hits: DataFrame, chunks: DataFrame, separator: str = "\n\n---\n\n")
     return out.select("query_id", F.array_join(F.transform("x", lambda r: r["said"]), separator).alias("context"), F.transform("x", lambda r: r["source"]).alias("sources"), F.array_distinct(F.transform("x", lambda r: r["document_id"])).alias("document_ids"))
 
 
+def build_chunks(pages: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """chunk_id, document_id, source, page, chunk_no, text for a table of pages (document_id, source, page, text)."""
+    found = chunked(pages.select("document_id", "source", "page", "text"), size, overlap)
+    return found.select(short_id("chunk:", F.col("document_id"), F.col("page"), F.col("chunk_no")).alias("chunk_id"), "document_id", "source", "page", "chunk_no", F.col("chunk").alias("text"))
+
+
 def chunk_table(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks with their vectors; a chunk without one is left out."""
     return chunks.join(vectors, "chunk_id")
