@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,10 +23,13 @@ def split_stages(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    """job_id, stage, status, error, ts, n_events of events (job_id, ts, seq, stage, error): by the last event."""
+    """job_id, stage, status, error, ts, n_events, details of events (job_id, ts, seq, stage, error, details): by the last event. Details
+    are merged, the last value of each key standing, as JSON with sorted keys."""
     last = events.groupBy("job_id").agg(F.max_by(F.struct("stage", "error", "ts"), F.struct("ts", "seq")).alias("x"), F.count("*").alias("n_events"))
     status = F.when(F.col("x.stage") == "completed", "completed").when((F.col("x.stage") == "failed") | F.col("x.error").isNotNull(), "failed").otherwise("running")
-    return last.select("job_id", "x.stage", status.alias("status"), "x.error", "x.ts", "n_events")
+    said = events.select("job_id", "ts", "seq", F.explode("details").alias("key", "value")).groupBy("job_id", "key").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    details = said.groupBy("job_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("details"))
+    return last.join(details, "job_id", "left").select("job_id", "x.stage", status.alias("status"), "x.error", "x.ts", "n_events", F.coalesce("details", F.lit("{}")).alias("details"))
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
@@ -34,19 +40,26 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return runs.select("job_id", "seq", "stage", (F.unix_millis("until") - F.unix_millis("ts")).alias("ms"))
 
 
-STATE, OUTPUT = "stage string, error string, ts timestamp, n long", "job_id string, stage string, status string, error string, n_events long"
+STATE = "stage string, error string, ts timestamp, seq long, n long, details string"
+OUTPUT = "job_id string, stage string, status string, error string, n_events long, details string"
 
 
 def _advance(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stage, error, ts, n = state.get if state.exists else (None, None, pd.Timestamp.min, 0)
+    stage, error, ts, seq, n, held = state.get if state.exists else (None, None, pd.Timestamp.min, -1, 0, "{}")
+    said = {k: tuple(v) for k, v in json.loads(held).items()}  # of each key the value, and when it was said
     for pdf in batches:
         n += len(pdf)
         row = pdf.sort_values(["ts", "seq"]).iloc[-1]
-        if ts is None or row["ts"] >= ts:
-            stage, error, ts = row["stage"], row["error"], row["ts"]
-    state.update((stage, error, ts, n))
+        if ts is None or (row["ts"], row["seq"]) >= (ts, seq):
+            stage, error, ts, seq = row["stage"], row["error"], row["ts"], int(row["seq"])
+        for at, order, found in zip(pdf["ts"], pdf["seq"], pdf["details"], strict=True):
+            for k, v in dict(found if found is not None else {}).items():
+                if (at.value, int(order)) >= said.get(k, (None, -(1 << 63), -1))[1:]:
+                    said[k] = (v, at.value, int(order))
+    state.update((stage, error, ts, seq, n, json.dumps(said)))
+    details = json.dumps({k: said[k][0] for k in sorted(said)}, separators=(",", ":"), ensure_ascii=False)
     status = "completed" if stage == "completed" else "failed" if stage == "failed" or error is not None else "running"
-    yield pd.DataFrame({"job_id": [key[0]], "stage": [stage], "status": [status], "error": [error], "n_events": [n]})
+    yield pd.DataFrame({"job_id": [key[0]], "stage": [stage], "status": [status], "error": [error], "n_events": [n], "details": [details]})
 
 
 def stream_states(events: DataFrame) -> DataFrame:
@@ -60,11 +73,45 @@ def stream_arrivals(arrivals: DataFrame, watermark: str = "1 day") -> DataFrame:
     return arrivals.withWatermark("arrived_at", watermark).dropDuplicatesWithinWatermark(["file_hash"])
 
 
-def upsert_sink(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], keep: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch: the next snapshot of a table from the last one and a batch. A batch that comes again after a
-    failure gives the same snapshot, since seq decides."""
+MANIFEST = "bucket int, at long"
+
+
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> list:
+    """The manifest of the last batch (before a batch): for each bucket the batch that wrote it last. One row a bucket."""
+    every = spark.read.schema(f"{MANIFEST}, batch long").parquet(f"{path}/manifest")
+    every = every if before is None else every.where(F.col("batch") < before)
+    return every.groupBy("batch").agg(F.collect_list(F.struct("bucket", "at")).alias("x")).orderBy(F.desc("batch")).limit(1).collect()
+
+
+def _rows(spark: SparkSession, path: str, schema: T.StructType, where: dict[int, int]) -> DataFrame:
+    """The rows of some buckets, each as its batch wrote them; both are folders, so that only those are read."""
+    found = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/rows")
+    wanted = [(F.col("batch") == at) & (F.col("bucket") == k) for k, at in sorted(where.items())]
+    return found.where(reduce(lambda a, b: a | b, wanted, F.lit(False))).select(*schema.names)
+
+
+def upsert_sink(path: str, keys: list[str], keep: tuple[str, ...] = (), buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that keeps a table under ``path``, cut into buckets by key. A batch rewrites only the buckets that it
+    touches, under its own number; a manifest of a row a bucket tells which batch wrote each last. All state is in the folder: a driver that
+    comes back goes on from it, and a batch that comes again gives the same files, since it starts from the manifest before its number.
+    The folder belongs to one stream's checkpoint."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write(upsert(read(), batch, keys, keep))
+        spark, schema = batch.sparkSession, batch.schema
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        touched = {r.bucket for r in batch.select(bucket).distinct().collect()}  # at most ``buckets``
+        before = _newest(spark, path, batch_id) if batch_id else []
+        at = {x.bucket: x.at for x in before[0].x} if before else {}
+        old = {k: n for k, n in at.items() if k in touched}
+        rows = upsert(_rows(spark, path, schema, old), batch, keys, keep) if old else upsert(batch.limit(0), batch, keys, keep)
+        rows.select(*schema.names, bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={batch_id}")
+        now = sorted((at | dict.fromkeys(touched, batch_id)).items())
+        spark.createDataFrame(now, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
 
     return run
+
+
+def upserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table that an :func:`upsert_sink` keeps, as of its last batch."""
+    found = _newest(spark, path)
+    return _rows(spark, path, schema, {x.bucket: x.at for x in found[0].x} if found else {})
