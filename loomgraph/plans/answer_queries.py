@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -21,9 +22,6 @@ QUERIES, ORACLES = {}, {}
 class Grounded(GraphTables):
     """Questions and each stage of their answers. Stages that several others read are written once."""
 
-    lines = cached_property(lambda self: written(super(Grounded, self).lines, "lines"))
-    relations = cached_property(lambda self: written(super(Grounded, self).relations, "relations"))
-    evidence = cached_property(lambda self: written(super(Grounded, self).evidence, "evidence"))
     entities = cached_property(lambda self: written(super(Grounded, self).entities, "entities"))
     instances = cached_property(lambda self: written(super(Grounded, self).instances, "instances"))
     registry = cached_property(lambda self: written(super(Grounded, self).registry, "registry"))
@@ -206,12 +204,49 @@ ni AS (SELECT question_id, count(*) AS i FROM insights GROUP BY 1),
 a0 AS (SELECT a.*, names, only_fallback, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(imp, 0) AS imp, coalesce(i, 0) AS i FROM asked a LEFT JOIN names_ USING (question_id) LEFT JOIN ne USING (question_id) LEFT JOIN nc USING (question_id) LEFT JOIN im USING (question_id) LEFT JOIN ni USING (question_id)),
 a1 AS (SELECT *, len([t for t in list_concat([w for w in words if length(w) > 2], [h for h in entity_hints if length(h) >= 3]) if len([m for m in names if contains(lower(m), t)]) > 0]) > 0 AS anchored FROM a0),
 a2 AS (SELECT *, CASE WHEN names IS NULL THEN 'no_candidates' WHEN answer_mode = 'answer' AND intent = 'SUMMARY' AND only_fallback AND NOT coalesce(anchored, false) THEN 'weak_fallback' WHEN answer_mode = 'answer' AND n = 0 THEN 'no_evidence' END AS gate,
-  CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round_even(round(100 * least(1.0::DOUBLE, 0.45::DOUBLE * least(1.0::DOUBLE, n / 5.0::DOUBLE) + 0.35::DOUBLE * imp + 0.20::DOUBLE * least(1.0::DOUBLE, k / greatest(1, n)::DOUBLE)), 9), 0) / 100 END AS conf FROM a1)
-SELECT question_id, intent, gate, CASE WHEN gate IS NULL THEN conf ELSE 0 END::DOUBLE AS confidence, CASE WHEN gate IS NOT NULL OR conf < 0.3 THEN 'NO_GROUNDING' WHEN conf >= 0.65 THEN 'GROUNDED' ELSE 'WEAK_GROUNDING' END AS badge,
+  CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round_even(round(100 * least(1.0::DOUBLE, 0.45::DOUBLE * least(1.0::DOUBLE, n / 5.0::DOUBLE) + 0.35::DOUBLE * imp + 0.20::DOUBLE * least(1.0::DOUBLE, k / greatest(1, n)::DOUBLE)), 9), 0) / 100 END AS conf FROM a1)"""
+_ANSWERS = """SELECT question_id, intent, gate, CASE WHEN gate IS NULL THEN conf ELSE 0 END::DOUBLE AS confidence, CASE WHEN gate IS NOT NULL OR conf < 0.3 THEN 'NO_GROUNDING' WHEN conf >= 0.65 THEN 'GROUNDED' ELSE 'WEAK_GROUNDING' END AS badge,
   CASE WHEN gate IS NOT NULL THEN 'no_evidence_hard_gate' WHEN n = 0 THEN 'no_evidence' WHEN intent = 'CITATION_BASIS' AND k = 0 THEN 'citation_missing' WHEN n < 2 OR conf < 0.45 THEN 'weak_match' END AS uncertainty_reason,
   CASE WHEN gate IS NULL THEN n ELSE 0 END AS n_evidence, CASE WHEN gate IS NULL THEN k ELSE 0 END AS n_citations, CASE WHEN gate IS NULL THEN i ELSE 0 END AS n_insights, array_to_string(coalesce(names[1:3], []), '|') AS closest_concepts FROM a2"""
 
 
+def _filled(template: str, **names: str) -> str:
+    """The template as an SQL expression; names in braces become columns."""
+    parts = [names.get(p[1:-1], p[1:-1]) if p.startswith("{") else "'" + p.replace("'", "''") + "'" for p in re.split(r"(\{\w+\})", template) if p]
+    return " || ".join(parts)
+
+
+_TEXT = " ".join(f"WHEN intent = '{i}' AND fact <> '' THEN {_filled(a)} WHEN intent = '{i}' THEN {_filled(b)}" for i, (a, b) in S.ANSWER_TEXTS.items())
+_TEXTS = _ANS + f""",
+t0 AS (SELECT *, row_number() OVER (PARTITION BY question_id, said ORDER BY shown) AS k3 FROM shown),
+t1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shown) AS top FROM t0 WHERE k3 = 1),
+tops AS (
+  SELECT question_id, arg_min(relation_type, top) AS first, list(trim(snippet) ORDER BY top) AS snippets, array_to_string(list_sort(list(DISTINCT relation_type)), ', ') AS relations_, array_to_string(list_sort(list(DISTINCT section))[1:3], ', ') AS sections_,
+    array_to_string(list_sort(list(DISTINCT citation_label) FILTER (citation_label IS NOT NULL))[1:4], ', ') AS labels FROM t1 WHERE top <= 3 GROUP BY 1),
+lead_ AS (SELECT question_id, {_filled(S.KEY_POINTS[0])} AS lead FROM clusters WHERE cluster_rank = 1), first_i AS (SELECT question_id, text AS insight FROM insights WHERE insight_rank = 1),
+a3 AS (
+  SELECT a2.*, coalesce([s for s in snippets if s <> ''][1], '') AS fact, names[1] AS node, coalesce(names[2], '{S.TARGET_UNKNOWN}') AS target, array_to_string(names[1:3], ', ') AS concepts, sections_ AS sections, relations_ AS relations, coalesce(nullif(relations_, ''), first) AS relation,
+    first, coalesce(labels, '') AS labels, lead, insight, CASE WHEN gate IS NOT NULL THEN 'gated' WHEN n = 0 THEN 'no_evidence' WHEN intent = 'CITATION_BASIS' AND k = 0 THEN 'citation_missing' WHEN n < 2 OR conf < 0.45 THEN 'weak_match' END AS why
+  FROM a2 LEFT JOIN tops USING (question_id) LEFT JOIN lead_ USING (question_id) LEFT JOIN first_i USING (question_id)),
+a4 AS (SELECT *, CASE WHEN n = 0 THEN '{S.NOTHING_FOUND}' WHEN intent = 'CITATION_BASIS' AND labels <> '' THEN {_filled(S.CITED_TEXT)} {_TEXT} END AS said_ FROM a3),
+f0 AS (
+  SELECT question_id, entity_id AS id, rank AS spot FROM candidates UNION ALL SELECT question_id, entity_id, 1000 + 3 * shown FROM shown UNION ALL SELECT question_id, relation_uid, 1001 + 3 * shown FROM shown UNION ALL SELECT question_id, reference_entry_id, 1002 + 3 * shown FROM shown),
+f1 AS (SELECT question_id, id, min(spot) AS spot FROM f0 WHERE id IS NOT NULL GROUP BY ALL), focus_ AS (SELECT question_id, array_to_string(list(id ORDER BY spot), '|') AS focus FROM f1 WHERE question_id IN (SELECT question_id FROM candidates) GROUP BY 1)
+SELECT question_id, CASE WHEN gate IS NOT NULL THEN '{S.NOTHING_GROUNDED}' ELSE said_ || CASE WHEN why = 'citation_missing' THEN '{S.UNCERTAINTY_TEXTS['citation_missing']}' WHEN contains(lower(said_), '{S.LIMITED}') THEN '' WHEN why = 'no_evidence' THEN '{S.UNCERTAINTY_TEXTS['no_evidence']}'
+    WHEN why = 'weak_match' THEN '{S.UNCERTAINTY_TEXTS['weak_match']}' ELSE '' END END AS answer,
+  CASE WHEN gate IS NOT NULL THEN '' ELSE array_to_string([p for p in [lead, {_filled(S.KEY_POINTS[1])}, CASE intent {" ".join(f"WHEN '{i}' THEN '{t}'" for i, t in S.CLOSING_POINTS.items())} END] if p IS NOT NULL], '|') END AS key_points, coalesce(focus, '') AS focus
+FROM a4 LEFT JOIN focus_ USING (question_id)"""
+_STRATEGY = "CASE intent " + " ".join(f"WHEN '{p[0]}' THEN '{p[1]}'" for p in S.TRAVERSAL_PLANS) + " END"
+_DIRECTIONS = "CASE intent " + " ".join(f"WHEN '{i}' THEN '{d}'" for i, d in S.TRAVERSAL_DIRECTIONS.items()) + " END"
+_WHY = _CLUS + f""",
+t0 AS (SELECT *, row_number() OVER (PARTITION BY question_id, said ORDER BY shown) AS k3 FROM shown), t1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shown) AS top FROM t0 WHERE k3 = 1),
+t2 AS (SELECT question_id, count(*) AS n_top, array_to_string(list_sort(list(DISTINCT section)), '|') AS sections FROM t1 WHERE top <= 5 GROUP BY 1), nv AS (SELECT question_id, count(*) AS n_ev FROM shown GROUP BY 1), nq AS (SELECT question_id, count(*) AS n_c FROM candidates GROUP BY 1),
+x AS (SELECT a.*, coalesce(n_c, 0) AS candidates, coalesce(n_ev, 0) AS evidence, coalesce(n_top, 0) AS top, coalesce(sections, '') AS sections, array_to_string(entity_hints[1:4], ', ') AS hints, {_STRATEGY} AS strategy, {_DIRECTIONS} AS directions FROM asked a LEFT JOIN nq USING (question_id) LEFT JOIN nv USING (question_id) LEFT JOIN t2 USING (question_id))
+SELECT question_id, array_to_string([r for r in [CASE WHEN len(entity_hints) > 0 THEN {_filled(S.ENTITY_REASONS[0])} END, {_filled(S.ENTITY_REASONS[1])}] if r IS NOT NULL], '|') AS entity_reasons,
+  array_to_string([r for r in [{_filled(S.EVIDENCE_REASONS[0])}, CASE WHEN evidence > 0 THEN '{S.EVIDENCE_REASONS[1]}' END] if r IS NOT NULL], '|') AS evidence_reasons, array_to_string([{", ".join(_filled(p) for p in S.REASONING_PATH)}], '|') AS reasoning_path, sections, '{"|".join(S.SELECTION_SIGNALS)}' AS signals FROM x"""
+
+
+
 def sql(ctes: str, select: str) -> str:
     return with_graph("").rstrip() + "," + ctes + " " + select
 
@@ -304,17 +339,17 @@ def qry42_citations(t: Grounded) -> DataFrame:
     return Q.citations(shown)
 
 
-@query(sql(_ANS, ""))
+@query(sql(_ANS, _ANSWERS))
 def qry43_answers(t: Grounded) -> DataFrame:
     out = flat(Q.answers(t.asked, t.candidates, t.clustered), "closest_concepts")
     return out.select("question_id", "intent", "gate", "confidence", "badge", "uncertainty_reason", "n_evidence", "n_citations", "n_insights", "closest_concepts")
 
 
-@query()
+@query(sql(_TEXTS, ""))
 def qry39_answer_texts(t: Grounded) -> DataFrame:
     return flat(Q.answers(t.asked, t.candidates, t.clustered), "closest_concepts", "key_points", "focus").select("question_id", "answer", "key_points", "focus")
 
 
-@query()
+@query(sql(_WHY, ""))
 def qry47_explanations(t: Grounded) -> DataFrame:
-    return flat(Q.explanations(t.asked, t.candidates, t.clustered), "entity_reasons", "reasoning_path", "sections")
+    return flat(Q.explanations(t.asked, t.candidates, t.clustered), "entity_reasons", "evidence_reasons", "reasoning_path", "sections", "signals")

@@ -11,6 +11,7 @@ from loomgraph.operators import extraction as E
 from loomgraph.operators import graph_build as G
 from loomgraph.operators import identity as N
 from loomgraph.operators import linking as K
+from loomgraph.operators.structure import ingestion_report
 from loomgraph.plans.graph_tables import INITIALS, KEY, SLUG, GraphTables, c, cat, with_graph
 from loomgraph.plans.structure_queries import flat
 from loomgraph.sources.loaders import table
@@ -231,7 +232,22 @@ def lnk10_registry(t: GraphTables) -> DataFrame:
     return nxt.groupBy("canonical_id").agg(F.count("*").alias("n"))
 
 
-@query()
+_PAYLOADS = _LINK + f"""
+, pay AS (
+  SELECT l.canonical_id, l.mention_id, NOT l.matched OR (l.score >= 0.92 AND l.reason IN ('normalized_exact_match', 'normalized_alias_match')) AS teach, l.name, m.alias, coalesce(r.canonical_name, l.name) AS cname, CASE WHEN l.score >= 0.92 THEN r.alias END AS known
+  FROM linked l JOIN m USING (mention_id) LEFT JOIN registry r ON l.matched AND r.canonical_id = l.canonical_id),
+al AS (SELECT DISTINCT canonical_id, a FROM (SELECT canonical_id, unnest([alias, name, cname, known]) AS a FROM pay WHERE teach UNION ALL SELECT canonical_id, alias FROM registry) WHERE a IS NOT NULL AND a <> ''),
+ak AS (SELECT DISTINCT canonical_id, {KEY('a')} AS k FROM al),
+ac AS (SELECT canonical_id, lower(i) AS i FROM (SELECT canonical_id, {INITIALS('name')} AS i FROM pay UNION SELECT canonical_id, {INITIALS('cname')} FROM pay) WHERE regexp_matches(i, '^[A-Z]{{2,8}}$') UNION SELECT canonical_id, acronym FROM registry),
+new AS (SELECT canonical_id, arg_min(name, mention_id) AS name FROM pay GROUP BY 1),
+ids AS (SELECT canonical_id FROM registry UNION SELECT canonical_id FROM pay)
+SELECT canonical_id, coalesce(r.entity_type, 'Method') AS entity_type, coalesce(r.canonical_name, n.name) AS canonical_name, coalesce(r.normalized_name, {KEY('n.name')}) AS normalized_name,
+  coalesce((SELECT array_to_string(list_sort(list(a)), '|') FROM al WHERE al.canonical_id = ids.canonical_id), '') AS aliases, coalesce((SELECT array_to_string(list_sort(list(k)), '|') FROM ak WHERE k <> '' AND ak.canonical_id = ids.canonical_id), '') AS normalized_aliases,
+  coalesce((SELECT array_to_string(list_sort(list(DISTINCT i)), '|') FROM ac WHERE ac.canonical_id = ids.canonical_id), '') AS acronyms
+FROM ids LEFT JOIN registry r USING (canonical_id) LEFT JOIN new n USING (canonical_id)"""
+
+
+@query(_PAYLOADS)
 def lnk09_payloads(t: GraphTables) -> DataFrame:
     nxt = K.upsert_registry(t.registry, K.link(t.mentions, t.registry))
     return flat(nxt, "aliases", "normalized_aliases", "acronyms")
@@ -283,6 +299,16 @@ def grb06_skipped(t: GraphTables) -> DataFrame:
     return G.with_endpoints(t.relation_mentions, t.entities.where("type <> 'Task'"))[1].groupBy("type").agg(F.count("*").alias("n"))
 
 
+@query(with_graph("""SELECT document_id, (SELECT count(*) FROM passages p WHERE p.document_id = d.document_id) AS n_pages, (SELECT count(*) FROM sections s WHERE s.document_id = d.document_id) AS n_sections,
+  (SELECT count(*) FROM rm WHERE rm.document_id = d.document_id AND type NOT IN ('EVALUATED_ON', 'ABOUT')) AS relations_written, (SELECT count(*) FROM rm WHERE rm.document_id = d.document_id AND type IN ('EVALUATED_ON', 'ABOUT')) AS relations_dropped,
+  (SELECT count(*) FROM evidence e JOIN passages p USING (passage_id) WHERE p.document_id = d.document_id) AS evidence_written FROM (SELECT DISTINCT document_id FROM lines) d"""))
+def doc27_written(t: GraphTables) -> DataFrame:
+    """What a document's ingestion has written and dropped; a line item counts as a page, and tasks aren't among the known entities."""
+    kept, skipped = G.with_endpoints(t.relation_mentions, t.entities.where("type <> 'Task'"))
+    evidence = t.evidence.join(t.passages.select("passage_id", "document_id"), "passage_id")
+    return ingestion_report(t.passages, {"n_sections": t.sections, "relations_written": kept, "relations_dropped": skipped, "evidence_written": evidence})
+
+
 @query(with_graph("SELECT * FROM evidence"))
 def grb07_evidence(t: GraphTables) -> DataFrame:
     return flat(t.evidence, "citation_labels")
@@ -294,9 +320,10 @@ def grb08_endpoint_types(t: GraphTables) -> DataFrame:
     return G.endpoint_types(rows, t.entities)
 
 
-@query(with_graph("SELECT passage_id LIKE 'pass:0%' AS written, count(*) AS n FROM citations GROUP BY 1"))
+@query(with_graph("SELECT passage_id IN (SELECT passage_id FROM passages WHERE page_number <= 3) AS written, count(*) AS n FROM citations GROUP BY 1"))
 def grb09_citations(t: GraphTables) -> DataFrame:
-    written, missing = G.split_by_passage(t.citations, t.passages.where("passage_id like 'pass:0%'"))
+    """Passages of the first three pages are written."""
+    written, missing = G.split_by_passage(t.citations, t.passages.where("page_number <= 3"))
     return written.withColumn("written", F.lit(True)).unionByName(missing.withColumn("written", F.lit(False))).groupBy("written").agg(F.count("*").alias("n"))
 
 
@@ -323,9 +350,9 @@ def grb12_repeated_keys(t: GraphTables) -> DataFrame:
     return G.repeated_keys(t.raw("lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query(with_graph("SELECT relation_uid, max(confidence) AS max_confidence, round_even(avg(confidence), 6) AS avg_confidence, count(*) AS n_evidence FROM evidence GROUP BY 1"))
+@query(with_graph("SELECT relation_uid, max(confidence) AS max_confidence, sum(confidence::DECIMAL(18, 6))::DOUBLE / count(confidence) AS avg_confidence, count(*) AS n_evidence FROM evidence GROUP BY 1"))
 def grb13_effective_confidence(t: GraphTables) -> DataFrame:
-    return G.effective_confidence(t.evidence).withColumn("avg_confidence", F.bround("avg_confidence", 6))
+    return G.effective_confidence(t.evidence)
 
 
 _DELETED = """, gone AS (SELECT document_id FROM documents_ WHERE year < 1996), ev2 AS (SELECT * FROM evidence WHERE passage_id NOT IN (SELECT passage_id FROM passages WHERE document_id IN (SELECT document_id FROM gone))), rel2 AS (SELECT * FROM relations WHERE uid IN (SELECT relation_uid FROM ev2))"""
@@ -351,13 +378,10 @@ def grb15_orphans(t: GraphTables) -> DataFrame:
 @query()
 def src08_snapshot(t: GraphTables) -> DataFrame:
     """Writes the graph's tables to the shared folder and counts what is read back."""
-    import tempfile
-    import uuid
-
     from loomgraph.sources import loaders as L
+    from loomgraph.sources.shared import new_path
 
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{shared}/graph-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "graph")
     L.write_snapshot({"entities": t.entities, "relations": t.relations, "evidence": t.evidence}, path)
     L.write_chunks(t.passages, f"{path}/chunks")
     return G.write_counts(**L.read_snapshot(t.spark, path, ["entities", "relations", "evidence", "chunks"]))

@@ -3,11 +3,14 @@ suppliers and nations entities. Each has a SQL twin of the same name in ``CTES``
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.sources.loaders import table
+from loomgraph.sources.shared import written
 
 
 def cat(*parts):  # noqa: ANN002, ANN201
@@ -18,7 +21,7 @@ c = F.col
 
 
 class GraphTables:
-    """Frames by name, built on demand."""
+    """Frames by name, built on demand. What many others are made of is built once and written to the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -30,15 +33,16 @@ class GraphTables:
     def documents(self) -> DataFrame:
         return self.raw("orders").select(cat("doc:", c("o_orderkey")).alias("document_id"), cat("Order ", c("o_orderkey")).alias("title"), F.year("o_orderdate").alias("year"))
 
-    @property
+    @cached_property
     def lines(self) -> DataFrame:
-        """Line items, repeats dropped, with their part, customer and supplier names."""
+        """Line items, repeats dropped, with their part, customer and supplier names; read by most of the other frames."""
         rows = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.round(c("l_discount") * 100).cast("int").alias("pct")).distinct()
         rows = rows.join(self.raw("part").select(c("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey").join(self.raw("supplier").select(c("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
         rows = rows.join(self.raw("orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(self.raw("customer").select(c("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
         key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "pct")
         section = F.when(c("l_returnflag") == "A", "Abstract").when(c("l_returnflag") == "N", "Methods").otherwise("Results")
-        return rows.withColumns({"passage_id": cat("pass:", F.md5(key)), "document_id": cat("doc:", c("l_orderkey")), "section_title": section, "section_id": cat("sec:", c("l_orderkey"), ":", c("l_returnflag")), "confidence": (100 - 5 * c("pct")) / 100})
+        rows = rows.withColumns({"passage_id": cat("pass:", F.md5(key)), "document_id": cat("doc:", c("l_orderkey")), "section_title": section, "section_id": cat("sec:", c("l_orderkey"), ":", c("l_returnflag")), "confidence": (100 - 5 * c("pct")) / 100})
+        return written(rows, "lines")
 
     @property
     def sections(self) -> DataFrame:
@@ -65,11 +69,11 @@ class GraphTables:
         rel = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), uid(*s).alias("source_uid"), uid(*o).alias("target_uid")) for t, s, o in made]))
         return self.lines.select("document_id", "passage_id", "confidence", rel.alias("r")).select("document_id", "passage_id", "r.*", "confidence", c("passage_id").alias("seq"))
 
-    @property
+    @cached_property
     def relations(self) -> DataFrame:
         from loomgraph.operators import graph_build as G
 
-        return G.upsert_relations(self.relation_mentions)
+        return written(G.upsert_relations(self.relation_mentions), "relations")
 
     @property
     def citations(self) -> DataFrame:
@@ -89,11 +93,11 @@ class GraphTables:
 
         return citation_summary(self.citations)
 
-    @property
+    @cached_property
     def evidence(self) -> DataFrame:
         from loomgraph.operators import graph_build as G
 
-        return G.upsert_evidence(self.relation_mentions, self.citation_summary)
+        return written(G.upsert_evidence(self.relation_mentions, self.citation_summary), "evidence")
 
     @property
     def registry(self) -> DataFrame:

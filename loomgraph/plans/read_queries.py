@@ -53,14 +53,15 @@ def grr01_node_types(t: GraphTables) -> DataFrame:
     return t.nodes.where(c("type").isin(types)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-#: Two undirected steps from the documents whose id has a prefix; instances don't lead back, as they do over four.
-_SCOPE = G + """, und AS (SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges), seeds AS (SELECT document_id AS id FROM documents_ WHERE document_id LIKE 'doc:1%'),
+#: Two undirected steps from the documents of one year; instances don't lead back, as they do over four.
+_SCOPE = G + """, und AS (SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges), seeds AS (SELECT document_id AS id FROM documents_ WHERE year = 1996),
 h1 AS (SELECT DISTINCT target AS id FROM und JOIN seeds ON source = id), h2 AS (SELECT DISTINCT target AS id FROM und JOIN h1 ON source = id), near AS (SELECT id FROM seeds UNION SELECT id FROM h1 UNION SELECT id FROM h2),
 h3 AS (SELECT DISTINCT target AS id FROM und JOIN near ON source = id), h4 AS (SELECT DISTINCT target AS id FROM und JOIN h3 ON source = id), four AS (SELECT id FROM near UNION SELECT id FROM h3 UNION SELECT id FROM h4),
 peers AS (SELECT entity_uid AS id FROM instances WHERE canonical_id IN (SELECT canonical_id FROM instances WHERE entity_uid IN (SELECT id FROM four)))"""
 
 
-def _seeds(t: GraphTables, some: str = "document_id like 'doc:1%'") -> DataFrame:
+def _seeds(t: GraphTables, some: str = "year = 1996") -> DataFrame:
+    """The documents that a scope is asked for: a scope needs seeds."""
     return t.documents.where(some).select(c("document_id").alias("id"))
 
 
@@ -91,9 +92,9 @@ def grr08_counts(t: GraphTables) -> DataFrame:
     return R.graph_counts(t.nodes, t.edges, R.within_hops(t.edges, _seeds(t), 2).select("id"))
 
 
-#: The same four from all documents of one year.
+#: The same four from another year's.
 _YEAR = "year = 1995"
-_SCOPE_OF_YEAR = _SCOPE.replace("WHERE document_id LIKE 'doc:1%'", f"WHERE {_YEAR}")
+_SCOPE_OF_YEAR = _SCOPE.replace("WHERE year = 1996", f"WHERE {_YEAR}")
 
 
 @query(_SCOPE_OF_YEAR + " SELECT id FROM nodes WHERE id IN (SELECT id FROM four) UNION SELECT id FROM peers")
@@ -118,10 +119,18 @@ def grr08_counts_of_year(t: GraphTables) -> DataFrame:
     return R.graph_counts(t.nodes, t.edges, R.within_hops(t.edges, _seeds(t, _YEAR), 2).select("id"))
 
 
-@query("SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges, 'empty_scope' AS warning WHERE (SELECT count(*) FROM orders) > 0")
+@query(G + """, kinds AS (SELECT unnest(['Nothing', 'Method', 'Evidence,Passage']) AS kinds), picked AS (SELECT k.kinds, n.id FROM kinds k JOIN nodes n ON list_contains(string_split(k.kinds, ','), n.type)),
+c AS (SELECT kinds, (SELECT count(*) FROM picked p WHERE p.kinds = k.kinds) AS nodes,
+  (SELECT count(*) FROM (SELECT DISTINCT source, target, type FROM edges WHERE source IN (SELECT id FROM picked p WHERE p.kinds = k.kinds) AND target IN (SELECT id FROM picked p WHERE p.kinds = k.kinds))) AS edges FROM kinds k)
+SELECT kinds, nodes, edges, CASE WHEN nodes = 0 THEN 'empty_scope' WHEN edges = 0 THEN 'nodes_without_edges' END AS warning FROM c""")
 def grr09_warnings(t: GraphTables) -> DataFrame:
-    none = t.nodes.where("type = 'Nothing'")
-    return R.graph_counts(none, R.induced(t.edges, none), none.select("id")).select("nodes", "edges", "warning")
+    """A scope without nodes, one of nodes that no edge joins, and one that has both."""
+    out = None
+    for kinds in ("Nothing", "Method", "Evidence,Passage"):
+        some = t.nodes.where(c("type").isin(*kinds.split(",")))
+        found = R.graph_counts(some, R.induced(t.edges, some), some.select("id")).select(F.lit(kinds).alias("kinds"), "nodes", "edges", "warning")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN lang ELSE ' ' END), ''), source) AS name FROM documents")
@@ -144,6 +153,13 @@ def grr11_neighbours(t: GraphTables) -> DataFrame:
     return _neighbours(t)
 
 
+@query(_SCOPE + _NEAR[len(G):].replace("FROM sides WHERE id IN", "FROM sides WHERE neighbour IN (SELECT id FROM nodes WHERE id IN (SELECT id FROM four) UNION SELECT id FROM peers) AND neighbour IN (SELECT id FROM nodes) AND id IN") + " SELECT * FROM kept")
+def grr11_neighbours_in_scope(t: GraphTables) -> DataFrame:
+    """Neighbours within four hops of the documents of one year."""
+    ids = t.entities.where("type in ('Method', 'Task')").select(c("uid").alias("id"))
+    return R.neighbours(t.edges, t.nodes, ids, scope=R.document_scope(t.nodes, t.edges, t.instances, _seeds(t)))
+
+
 @query(_NEAR.replace("FROM sides WHERE id IN", "FROM sides WHERE neighbour IN (SELECT id FROM nodes) AND id IN") + " SELECT id, type, count(*) AS n, array_to_string(list_sort(list(DISTINCT neighbour)), '|') AS neighbours FROM kept GROUP BY ALL")
 def grr12_neighbour_groups(t: GraphTables) -> DataFrame:
     return flat(R.neighbour_groups(_neighbours(t)), "neighbours")
@@ -187,13 +203,13 @@ def grr16_summaries(t: GraphTables) -> DataFrame:
     return flat(R.node_summary(t.relations, t.evidence, t.citations), "dominant")
 
 
-def terms(t: GraphTables, some: str = "p_partkey % 3 = 0") -> DataFrame:
-    """question_id, token: the words of part names, one question for each part brand."""
-    rows = t.raw("part").where(some).select(c("p_brand").alias("question_id"), F.explode(F.split("p_name", " ")).alias("token"))
+def terms(t: GraphTables, by: str = "p_brand") -> DataFrame:
+    """question_id, token: the words of all part names, one question for each part brand (or type)."""
+    rows = t.raw("part").select(c(by).alias("question_id"), F.explode(F.split("p_name", " ")).alias("token"))
     return rows.where("length(token) >= 3").distinct()
 
 
-_TERMS = G + ", terms AS (SELECT DISTINCT p_brand AS question_id, unnest(string_split(p_name, ' ')) AS token FROM part WHERE p_partkey % 3 = 0), tok AS (SELECT * FROM terms WHERE length(token) >= 3)"
+_TERMS = G + ", terms AS (SELECT DISTINCT p_brand AS question_id, unnest(string_split(p_name, ' ')) AS token FROM part), tok AS (SELECT * FROM terms WHERE length(token) >= 3)"
 
 
 @query(_TERMS + " SELECT DISTINCT question_id, uid FROM tok JOIN entities ON contains(lower(name), token) WHERE type IN ('Method', 'Dataset')")
@@ -249,7 +265,9 @@ def grr26_display_graph(t: GraphTables) -> DataFrame:
 
 @query(G + " SELECT DISTINCT r.target_uid AS task_uid, d.document_id, d.year FROM relations r JOIN evidence e ON e.relation_uid = r.uid JOIN passages p USING (passage_id) JOIN documents_ d USING (document_id) WHERE r.type = 'EVALUATED_ON'")
 def grr27_task_documents(t: GraphTables) -> DataFrame:
-    rows = R.provenance(t.evidence, t.relations, t.passages, t.sections, t.documents).where("relation_type = 'EVALUATED_ON'").select(c("target_uid").alias("task_uid"), "document_id").distinct()
+    some = t.relations.where("type = 'EVALUATED_ON'").withColumn("source_uid", c("target_uid"))
+    evidence = t.evidence.join(some.select(c("uid").alias("relation_uid")), "relation_uid", "left_semi")
+    rows = R.entity_documents(some, evidence, t.passages).select(c("entity_uid").alias("task_uid"), "document_id")
     return rows.join(t.documents.select("document_id", "year"), "document_id").select("task_uid", "document_id", "year")
 
 
@@ -265,9 +283,9 @@ def grr29_term_neighbourhood(t: GraphTables) -> DataFrame:
     return R.term_neighbourhood(nodes, t.edges, terms(t))
 
 
-#: The three lookups with the terms of all parts.
-_ALL = "true"
-_ALL_TERMS = _TERMS.replace(" WHERE p_partkey % 3 = 0", "")
+#: The three lookups with one question for each part type.
+_ALL = "p_type"
+_ALL_TERMS = _TERMS.replace("p_brand AS question_id", "p_type AS question_id")
 
 
 @query(_ALL_TERMS + " SELECT DISTINCT question_id, uid FROM tok JOIN entities ON contains(lower(name), token) WHERE type IN ('Method', 'Dataset')")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from loomgraph.operators import vectors as V
 from loomgraph.plans.graph_tables import GraphTables, c, cat
 from loomgraph.plans.structure_queries import flat
 from loomgraph.sources import loaders as L
-from loomgraph.sources.shared import written
+from loomgraph.sources.shared import new_path
 from loomgraph.streaming import jobs as J
 
 QUERIES, ORACLES = {}, {}
@@ -66,6 +63,13 @@ def vec05_chunk_table(t: GraphTables) -> DataFrame:
     return V.chunk_table(texts, t.raw("embeddings").select(c("vec_id").alias("chunk_id"), "embedding", "label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query()
+def vec05_built_chunks(t: GraphTables) -> DataFrame:
+    """Every document's chunks of 1,000 characters, each 200 into the one before."""
+    pages = t.raw("documents").select(cat("doc:", c("doc_id")).alias("document_id"), "source", F.lit(1).alias("page"), "text")
+    return V.build_chunks(pages).select("chunk_id", "document_id", "source", "page", "chunk_no", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
 # --- evaluation: parts as labelled cases, with answers that are right or wrong by rule
 
 
@@ -124,12 +128,12 @@ def src06_cases(t: GraphTables) -> DataFrame:
 def job_events(t: GraphTables) -> DataFrame:
     kind = c("event_type")
     stage = F.when(kind == "signup", "uploaded").when(kind == "view", "parsing").when(kind == "click", "extracting_semantics").when(kind == "purchase", "completed").otherwise("unheard_of")
-    return t.raw("events").select(cat("job:", c("user_id")).alias("job_id"), c("ts").cast("timestamp").alias("ts"), c("event_id").alias("seq"), stage.alias("stage"), F.when(c("value") > 90, "slow").alias("error"))
+    return t.raw("events").select(cat("job:", c("user_id")).alias("job_id"), c("ts").cast("timestamp").alias("ts"), c("event_id").alias("seq"), stage.alias("stage"), F.when(c("value") > 90, "slow").alias("error"), F.create_map(kind, c("event_id").cast("string")).alias("details"))
 
 
-_JOBS = """WITH e AS (SELECT 'job:' || user_id AS job_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'extracting_semantics' WHEN 'purchase' THEN 'completed' END AS stage, CASE WHEN value > 90 THEN 'slow' END AS error FROM events),
+_JOBS = """WITH e AS (SELECT 'job:' || user_id AS job_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'extracting_semantics' WHEN 'purchase' THEN 'completed' END AS stage, CASE WHEN value > 90 THEN 'slow' END AS error, event_type AS detail FROM events),
 k AS (SELECT * FROM e WHERE stage IS NOT NULL)"""
-_LAST = _JOBS + ", l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS nth, count(*) OVER (PARTITION BY job_id) AS n_events FROM k) SELECT job_id, stage, CASE WHEN stage = 'completed' THEN 'completed' WHEN error IS NOT NULL THEN 'failed' ELSE 'running' END AS status, error, n_events FROM l WHERE nth = 1"
+_LAST = _JOBS + """, d1 AS (SELECT job_id, detail, arg_max(seq, {'ts': ts, 'seq': seq}) AS said FROM k GROUP BY ALL), d AS (SELECT job_id, '{' || string_agg('"' || detail || '":"' || said || '"', ',' ORDER BY detail) || '}' AS details FROM d1 GROUP BY 1)""" + ", l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS nth, count(*) OVER (PARTITION BY job_id) AS n_events FROM k) SELECT job_id, stage, CASE WHEN stage = 'completed' THEN 'completed' WHEN error IS NOT NULL THEN 'failed' ELSE 'running' END AS status, error, n_events, details FROM l JOIN d USING (job_id) WHERE nth = 1"
 
 
 @query(_LAST)
@@ -151,8 +155,7 @@ def str03_durations(t: GraphTables) -> DataFrame:
 
 def _drained(t: GraphTables, source: DataFrame, build, mode: str) -> DataFrame:  # noqa: ANN001
     """Runs a stream over the rows of a frame, as files in the shared folder, until it has read them all; gives what it wrote."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = new_path(t.spark, "stream")
     source.repartition(3).write.parquet(f"{at}/in")
     stream = build(t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
     sink = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/{n}")
@@ -164,7 +167,7 @@ def _drained(t: GraphTables, source: DataFrame, build, mode: str) -> DataFrame:
 def str01_job_stream(t: GraphTables) -> DataFrame:
     """The same states from a stream with a state per job; each job's last row counts."""
     out = _drained(t, job_events(t), J.stream_states, "update")
-    return out.groupBy("job_id").agg(F.max_by(F.struct("stage", "status", "error", "n_events"), "batch").alias("x")).select("job_id", "x.*")
+    return out.groupBy("job_id").agg(F.max_by(F.struct("stage", "status", "error", "n_events", "details"), "batch").alias("x")).select("job_id", "x.*")
 
 
 @query("SELECT count(DISTINCT md5(text)) AS n FROM documents")
@@ -175,13 +178,11 @@ def str04_arrivals(t: GraphTables) -> DataFrame:
 
 @query("SELECT source AS document_id, arg_max(md5(text), doc_id) AS file_hash, arg_max(lang, doc_id) AS lang FROM documents GROUP BY 1")
 def str05_upserts(t: GraphTables) -> DataFrame:
-    """Batches of documents upserted into a snapshot that starts empty."""
+    """Batches of documents upserted into a table that starts empty."""
     rows = t.raw("documents").select(c("source").alias("document_id"), F.md5("text").alias("file_hash"), "lang", c("doc_id").alias("seq"))
-    held = {"now": written(rows.limit(0))}
-    sink = J.upsert_sink(lambda: held["now"], lambda df: held.update(now=written(df)), ["document_id"])
-    base = t.spark.conf.get("spark.checkpoint.dir")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = new_path(t.spark, "stream")
+    sink = J.upsert_sink(f"{at}/table", ["document_id"])
     rows.repartition(3).write.parquet(f"{at}/in")
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     stream.writeStream.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    return held["now"].drop("seq")
+    return J.upserted(t.spark, f"{at}/table", rows.schema).drop("seq")

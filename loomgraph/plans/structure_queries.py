@@ -82,6 +82,13 @@ def doc27_ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.ingestion_report(found, {"n_sections": D.sections(found), "n_references": references, "n_citations": citations, "n_links": links})
 
 
+def doc27_passage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the passages, with the citations in them."""
+    found = pages(spark, sf_dir)
+    passages = D.passages(found)
+    return D.ingestion_report(found, {"n_sections": D.sections(found), "n_passages": passages, "n_citations": D.inline_citations(passages)})
+
+
 def doc28_raw_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = L.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("document_id"), "text")
     return D.raw_passages(docs).select("passage_id", "document_id", "index", F.length("text").alias("n_chars"))
@@ -123,7 +130,7 @@ def src09_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.document_picker(docs)
 
 
-_ALL = (doc01_sections, doc05_boundary, doc06_bodies, doc08_passages, doc08_sliding_chunks, doc11_references, doc19_citations, doc24_links, doc26_link_summary, doc27_ingestion_report, doc28_raw_passages, src01_hashes, src02_pages, src03_duplicates, src04_metadata, src05_payloads, src09_picker)
+_ALL = (doc01_sections, doc05_boundary, doc06_bodies, doc08_passages, doc08_sliding_chunks, doc11_references, doc19_citations, doc24_links, doc26_link_summary, doc27_ingestion_report, doc27_passage_report, doc28_raw_passages, src01_hashes, src02_pages, src03_duplicates, src04_metadata, src05_payloads, src09_picker)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # --- SQL
@@ -160,7 +167,7 @@ refs AS (
   SELECT document_id, "order", raw_text, list_extract(regexp_extract_all(raw_text, '\b(?:19|20)\d{2}\b'), -1)::INT AS year,
          string_split(regexp_replace(raw_text, '^\[?\d+\]?\.\s*', ''), '.') AS parts,
          nullif(regexp_extract(raw_text, '([A-Z][A-Za-z''\-]+)(?:\s+et\s+al\.)?.{0,40}\b(?:19|20)\d{2}\b', 1), '') AS author_guess,
-         coalesce(nullif(regexp_extract(raw_text, '^\s*(?:\[(\d+)\]|(\d+)\.)\s*', 1), ''), nullif(regexp_extract(raw_text, '^\s*(?:\[(\d+)\]|(\d+)\.)\s*', 2), ''), ("order" + 1)::VARCHAR)::INT AS key_numeric
+         coalesce(nullif(regexp_extract(raw_text, '^\s*(?:\[(\d+)\]|(\d+)\.)\s*', 1), ''), nullif(regexp_extract(raw_text, '^\s*(?:\[(\d+)\]|(\d+)\.)\s*', 2), ''), ("order" + 1)::VARCHAR)::BIGINT AS key_numeric
   FROM entries),
 references_ AS (
   SELECT document_id, "order", raw_text, year, CASE WHEN len(parts) >= 3 AND length(trim(parts[2])) > 10 AND length(trim(parts[2])) < 300 THEN trim(parts[2]) END AS title_guess,
