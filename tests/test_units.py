@@ -1,5 +1,7 @@
 """Literal inputs and their exact results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,11 +19,33 @@ def one(spark, expr, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(expr.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("body", "keys"), [("1", [1]), ("2,5,8", [2, 5, 8]), ("3-6", [3, 4, 5, 6]), (" 10 , 12-11, 10", [10, 11, 12])])
+@pytest.mark.parametrize(
+    ("body", "keys"),
+    [
+        ("1", ["1"]), ("2,5,8", ["2", "5", "8"]), ("3-6", ["3", "4", "5", "6"]), (" 10 , 12-11, 10", ["10", "11", "12"]), ("12345678901", ["12345678901"]), ("1-2000000000", ["1-2000000000"]), ("9-1000000000000, 3", ["9-1000000000000", "3"]),
+        ("1" * 30, ["1" * 30]), ("1-" + "9" * 30, ["1-" + "9" * 30]), ("1-3-5, 7", ["7"]), ("007", ["007"]), ("07-09", ["7", "8", "9"]), ("1-1000", [str(k) for k in range(1, 1001)]), ("1-1001", ["1-1001"]),
+    ],
+)
 def test_numeric_keys(spark, body, keys):
     assert one(spark, X.expand_keys(F.col("b")), b=body) == keys
 
 
+def test_entry_numbers_of_any_length(spark):
+    rows = [("[12] A", 0), ("9999999998. B", 1), ("12345678901. C", 2), ("1" * 30 + ". D", 3), ("no number", 4)]
+    got = spark.createDataFrame(rows, "t string, o int").select(X.numeric_key(F.col("t"), F.col("o")).alias("k")).collect()
+    assert [r.k for r in got] == [12, 9999999998, 12345678901, 4, 5]
+
+
+def test_citations_of_long_numbers_and_wide_ranges(spark):
+    said = "As in [2], [12345678901], [3-2000000000] and [1-" + "9" * 40 + "]; [4-2]."
+    passages = spark.createDataFrame([("d", "p", said), ("e", "q", "[1-5000]")], "document_id string, passage_id string, text string")
+    cites = D.inline_citations(passages)
+    assert sorted((r.raw_text, r.keys) for r in cites.where("document_id = 'd'").collect())[0] == ("[1-" + "9" * 40 + "]", ["1-" + "9" * 40])
+    refs = spark.createDataFrame([("d", f"r{k}", i, k, None) for i, k in enumerate((1, 2, 3, 4, 12345678901, 2000000001))] + [("e", "s1", 0, 4999, None), ("e", "s2", 1, 5001, None)], "document_id string, reference_id string, `order` int, key_numeric long, key_author_year string")
+    got = sorted((r.raw_text, r.reference_id) for r in D.citation_links(cites, refs).join(cites.drop("document_id"), "citation_id").collect())
+    assert got == sorted([("[12345678901]", "r12345678901"), ("[1-5000]", "s1"), ("[2]", "r2"), ("[3-2000000000]", "r3"), ("[3-2000000000]", "r4"), ("[4-2]", "r2"), ("[4-2]", "r3"), ("[4-2]", "r4")])
+
+
 def test_author_year_labels(spark):
     assert one(spark, X.label_keys(F.col("b")), b="Vaswani et al., 2017") == ["vaswani:2017"]
     assert one(spark, X.label_keys(F.col("b")), b="Smith, 2020; Doe, 2021") == ["smith:2020", "doe:2021"]
@@ -87,6 +111,56 @@ def test_chunks():
     assert not text[at:].strip() and D.chunk("") == [] and D.chunk("a") == ["a"]
 
 
+def plain_chunks(text, size, overlap):
+    """The chunker by its rule: cut at the first separator that does, fill up, start again with a tail."""
+
+    def cut(t, marks):
+        if len(t) <= size:
+            return [t]
+        if not marks:
+            return [t[i : i + size] for i in range(0, len(t), size)]
+        parts = t.split(marks[0])
+        return [y for k, x in enumerate(parts) for y in ([z for z in cut(x + (marks[0] if k + 1 < len(parts) else ""), marks[1:])] if x or k + 1 < len(parts) else [])]
+
+    pieces = cut(text, ["\n\n", "\n", ". ", " "])
+    out, first, at = [], 0, 0
+    while at < len(pieces):
+        to = at
+        while to < len(pieces) and (to == at or sum(map(len, pieces[first : to + 1])) <= size):
+            to += 1
+        out.append("".join(pieces[first:to]).strip())
+        at = to
+        while at < len(pieces) and first < at and (sum(map(len, pieces[first:at])) > overlap or sum(map(len, pieces[first : at + 1])) > size):
+            first += 1
+    return [c for c in out if c]
+
+
+def test_chunks_against_the_plain_rule(spark):
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choice(["word ", "longerword", ". ", "\n", "\n\n", "x", " ", "é"]) * rng.randint(1, 3) for _ in range(rng.randint(0, 60)))
+        assert D.chunk(t, 40, 12) == plain_chunks(t, 40, 12), t
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.concat(F.lit("doc:"), "doc_id").alias("document_id"), "text")
+    want = {r.document_id: plain_chunks(r.text, 1600, 200) for r in docs.collect()}
+    got = {}
+    for r in D.raw_passages(docs).collect():
+        got.setdefault(r.document_id, {})[r["index"]] = r.text
+        assert len(r.text) <= 1600 and r.page_number == 0
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    again = {(r.document_id, r["index"]): r.passage_id for r in D.raw_passages(docs.repartition(5)).collect()}
+    assert again == {(r.document_id, r["index"]): r.passage_id for r in D.raw_passages(docs).collect()} and len(set(again.values())) == len(again)
+
+
+def test_passages_of_bodies_only(spark):
+    """Passages are the chunks of each body section in order; references have none; without headings, pages do."""
+    body = " ".join(f"word{i}" for i in range(600)) + "."
+    pages = spark.createDataFrame([("d", 1, f"Abstract\n{body}\nMethods\nShort."), ("d", 2, "References\n[1] A. Title of it. 2001."), ("e", 1, body), ("e", 2, "")], "document_id string, page_number int, text string")
+    got = [(r.document_id, r["index"], r.ordinal, r.text) for r in D.passages(pages).orderBy("document_id", "index").collect()]
+    chunks = plain_chunks(body, 1600, 200)
+    want = [("d", i, 0, t) for i, t in enumerate(chunks)] + [("d", len(chunks), 1, "Short.")] + [("e", i, -1, t) for i, t in enumerate(chunks)]
+    assert got == want
+
+
 def test_cleaning(spark):
     rows = [("p", 0, "Method", "the transformer model", None, ["T"], 0.91), ("p", 1, "Method", "Transformer", None, [], 0.95), ("p", 2, "Method", "method", None, [], 0.99), ("p", 3, "Dataset", "WMT", None, [], 0.5), ("p", 4, "Dataset", "wmt 14", None, [], 0.9)]
     clean = N.clean_entities(spark.createDataFrame(rows, "passage_id string, pos int, type string, name string, canonical_name string, aliases array<string>, confidence double"))
@@ -110,6 +184,24 @@ def test_linking(spark):
     assert got["5"] == ("canonical_method:biobert", "new_canonical_no_match") and got["6"] == ("canonical_method:bert", "new_canonical_no_match")
 
 
+def test_canonical_payload(spark):
+    """Aliases, match keys and acronyms that a link brings, and what the registry learns from it."""
+    registry = spark.createDataFrame(
+        [("canonical_method:bidirectional-encoder", "Method", "Bidirectional Encoder", "bidirectional encoder", ["Bi Encoder"], ["bi encoder"], ["BE"])],
+        "canonical_id string, entity_type string, canonical_name string, normalized_name string, aliases array<string>, normalized_aliases array<string>, acronyms array<string>",
+    )
+    rows = [("1", "Method", "Bidirectional Encoders", ["BiEnc"], 0.91), ("2", "Method", "BE", ["Boosted Ensemble"], 0.99), ("3", "Method", "Graph Net", ["", "GN"], 0.95)]
+    links = K.link(spark.createDataFrame(rows, "mention_id string, type string, name string, aliases array<string>, confidence double"), registry)
+    got = {r.mention_id: (r.learns_aliases, r.new_aliases, r.new_alias_keys, r.new_acronyms) for r in links.collect()}
+    known = ["Bi Encoder", "Bidirectional Encoder"]
+    assert got["1"] == (True, sorted([*known, "BiEnc", "Bidirectional Encoders"]), sorted(["bi encoder", "bidirectional encoder", "bienc"]), ["be"])  # by the link's score, not the mention's
+    assert got["2"] == (False, sorted([*known, "BE", "Boosted Ensemble"]), sorted(["bi encoder", "bidirectional encoder", "be", "boosted ensemble"]), ["be"])
+    assert got["3"] == (False, ["GN", "Graph Net"], ["gn", "graph net"], ["gn"])
+    nxt = {r.canonical_id: r for r in K.upsert_registry(registry, links).collect()}
+    assert nxt["canonical_method:bidirectional-encoder"].aliases == sorted([*known, "BiEnc", "Bidirectional Encoders"])  # nothing from the acronym's link
+    assert nxt["canonical_method:graph-net"].aliases == ["GN", "Graph Net"] and nxt["canonical_method:graph-net"].canonical_name == "Graph Net"
+
+
 def test_citation_summary(spark):
     rows = [("p", "c1", ["[12]"]), ("q", "c2", ["[3]", "[3]"])]
     got = {r.passage_id: (r.citation_count, r.citation_labels) for r in E.citation_summary(spark.createDataFrame(rows, "passage_id string, citation_id string, labels array<string>")).collect()}
@@ -168,3 +260,117 @@ def test_zero_vectors(spark):
     asked = spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, embedding array<double>")
     got = lambda p: [(r.chunk_id, r.score) for r in V.top_k(asked, chunks, 3, positive=p).orderBy("rank").collect()]
     assert got(True) == [(1, 1.0)] and got(False) == [(1, 1.0), (2, 0.0), (3, -1.0)]
+
+
+# --- answers
+
+ASKED = "question_id string, question string, document_id string, node_types array<string>, max_evidence int, include_citations boolean, answer_mode string"
+CANDIDATES = "question_id string, entity_id string, name string, type string, reason string, rank int"
+
+
+def grounded(spark, question, rows, names, mode="answer"):
+    asked = Q.interpret(Q.with_defaults(spark.createDataFrame([("q", question, None, None, 5, True, mode)], ASKED)))
+    candidates = spark.createDataFrame([("q", f"n{i}", n, "Method", "name_match", i) for i, n in enumerate(names, 1)], CANDIDATES)
+    clustered = Q.clustered(Q.ranked(spark.createDataFrame(rows, EVIDENCE), asked, candidates))
+    return Q.answers(asked, candidates, clustered).first(), Q.explanations(asked, candidates, clustered).first()
+
+
+def test_answer_texts(spark):
+    rows = [item(1, "Graphs help a lot", label="[4]"), item(2, "graphs  help a LOT", document="d2"), item(3, "Nets help too", document="d3")]
+    got, why = grounded(spark, "How is Ent used?", rows, ["Ent", "Net", "More", "Last"])
+    assert got.intent == "METHOD_USAGE" and got.gate is None
+    assert got.answer.startswith("Method usage is evidenced as Ent connects to Net through USES. Evidence: ")
+    assert got.closest_concepts == ["Ent", "Net", "More"] and [m.display_name for m in got.matched_entities] == ["Ent", "Net", "More", "Last"]
+    # snippets that differ in case and spaces only are one of a cluster: its better item stays
+    assert got.focus[:5] == ["n1", "n2", "n3", "n4", "e"] and set(got.focus[5:]) in ({"r1", "r3"}, {"r2", "r3"}) and got.n_evidence == 2
+    assert got.key_points[0].startswith("Primary cluster: Ent - USES (") and got.key_points[-1] == "Usage patterns prioritize repeated evidence and citation-backed clusters."
+    assert why.entity_reasons[0].startswith("Selected entities using query hints: ") and why.entity_reasons[1] == "Candidate selection returned 4 graph entities for intent METHOD_USAGE."
+    assert why.evidence_reasons[0] == "Traversal strategy 'method_centered_scan' prioritized outgoing, incoming links." and len(why.evidence_reasons) == 2
+    assert why.reasoning_path == ["question_intent:METHOD_USAGE", "candidate_entities:4", "evidence_candidates:2", "selected_top_evidence:2", "strategy:method_centered_scan"] and why.sections == ["Results"] and len(why.signals) == 8
+
+
+def test_answers_without_evidence(spark):
+    got, why = grounded(spark, "Tell me about Ent", [], ["Ent"])
+    assert (got.gate, got.answer, got.confidence, got.badge, got.uncertainty_reason, got.key_points) == ("no_evidence", "No grounded answer found in the current documents.", 0.0, "NO_GROUNDING", "no_evidence_hard_gate", [])
+    got, why = grounded(spark, "Tell me about Ent", [], ["Ent"], mode="explore")
+    assert got.gate is None and got.answer == "We couldn’t find strong supporting evidence for this question in your documents. Limited evidence is available for this answer." and got.focus == ["n1"]
+    assert len(why.evidence_reasons) == 1 and why.sections == []
+    got, _ = grounded(spark, "Which citation supports Ent?", [item(1, "All of it", label="[7]"), item(2, "More of it", label="[3]")], ["Ent"])
+    assert got.answer.startswith("This answer is based on citation-backed evidence for Ent: [3], [7].")
+    got, _ = grounded(spark, "Which citation supports Ent?", [item(1, "All of it")], ["Ent"])
+    assert got.answer == "Reference-grounded evidence for Ent was found: All of it Citation basis could not be verified because no citation links were found."
+
+
+ROWS = "source_uid string, target_uid string, relation_uid string, evidence_uid string, relation_type string, page int, snippet string, section string, confidence double, document_id string, document_name string, citation_label string, reference_entry_id string, citation_id string"
+
+
+def test_cap_before_or_after_ranking(spark):
+    rows = spark.createDataFrame([("n1", f"t{i}", f"r{i}", f"ev{i}", "USES", 1, f"text {i}", "Results", 1 - i / 10, "d", "d", None, None, None) for i in range(4)], ROWS)
+    plans = Q.planned(Q.interpret(Q.with_defaults(spark.createDataFrame([("q", "Tell me about it", None, None, 2, True, "answer")], ASKED))))
+    candidates = spark.createDataFrame([("q", "n1", "Ent", "Method", "name_match", 1)], CANDIDATES)
+    assert [r.evidence_uid for r in Q.collect_evidence(candidates, plans, rows).orderBy("pos").collect()] == ["ev0", "ev1"]
+    assert [r.evidence_uid for r in Q.collect_evidence(candidates, plans.withColumn("per_candidate", F.lit(3)), rows, cap_after_rank=True).orderBy("pos").collect()] == ["ev0", "ev1", "ev2"]
+
+
+def test_fallbacks_by_document(spark):
+    asked = Q.interpret(Q.with_defaults(spark.createDataFrame([("q", "Tell nothing known", "d1", None, 5, True, "answer"), ("r", "Tell nothing known", None, None, 5, True, "answer")], ASKED)))
+    entities = spark.createDataFrame([(f"m{i}", f"Name {i}", "Method") for i in range(3)], "uid string, name string, type string")
+    found = spark.createDataFrame([(f"m{i}", 5 - i, 5 - i, 0) for i in range(3)], "uid string, n_relations long, n_evidence long, n_citations long")
+    there = spark.createDataFrame([("m2", "d1"), ("m0", "d2")], "entity_uid string, document_id string")
+    none = spark.createDataFrame([], "question_id string")
+    names = lambda df: {q: [r.entity_id for r in df.where(F.col("question_id") == q).orderBy("pos").collect()] for q in ("q", "r")}
+    assert names(Q.fallback_candidates(asked, none, entities, found)) == {"q": ["m0", "m1", "m2"], "r": ["m0", "m1", "m2"]}
+    assert names(Q.fallback_candidates(asked, none, entities, found, True, there)) == {"q": ["m2"], "r": ["m0", "m1", "m2"]}
+
+
+def test_document_scope_through_canonicals(spark):
+    hits = spark.createDataFrame([("q", "d1", "a"), ("q", "d1", "b"), ("q", "d1", "c"), ("r", None, "c")], "question_id string, document_id string, uid string")
+    there = spark.createDataFrame([("a", "d1"), ("c", "d2")], "entity_uid string, document_id string")
+    instances = spark.createDataFrame([("a", "k"), ("b", "k"), ("c", "l")], "entity_uid string, canonical_id string")
+    assert sorted(map(tuple, Q.in_document_scope(hits, there, instances).collect()), key=str) == [("q", "d1", "a"), ("q", "d1", "b"), ("r", None, "c")]
+
+
+# --- streams and the shared folder
+
+
+def test_upserts_by_bucket(spark, tmp_path):
+    """Batches rewrite the buckets they touch; a driver that comes back goes on; a batch that comes again changes nothing."""
+    from loomgraph.streaming import jobs as J
+
+    path, schema = str(tmp_path), "id string, v string, first string, seq long"
+    batches = [[("a", "1", "x", 1), ("b", "1", "x", 2)], [("a", "2", "y", 3)], [], [("c", "3", "z", 4), ("a", "0", "w", 0)]]
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    want = [("a", "2", "x", 3), ("b", "1", "x", 2), ("c", "3", "z", 4)]
+    for n, df in enumerate(frames):
+        J.upsert_sink(path, ["id"], ("first",), buckets=8)(df, n)  # a new sink each time: nothing is held by the driver
+    table = lambda: sorted(map(tuple, J.upserted(spark, path, frames[0].schema).collect()))
+    assert table() == want
+    written = [p.name for p in (tmp_path / "rows" / "batch=1").iterdir() if p.name.startswith("bucket=")]
+    assert len(written) == 1
+    J.upsert_sink(path, ["id"], ("first",), buckets=8)(frames[3], 3)
+    assert table() == want
+
+
+def test_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from loomgraph.sources import shared
+
+    def session(master, folder):
+        conf = {"spark.checkpoint.dir": folder} if folder else {}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+
+    assert shared.shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y/loomgraph-app-1"
+    assert "spark-shared-" in shared.shared_dir(session("local[4]", None))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(session(master, None))
+
+
+def test_stages_can_be_dropped(spark, monkeypatch, tmp_path):
+    from loomgraph.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda s: str(tmp_path / "app"))  # not the folder of the other tests
+    assert shared.written(spark.range(3)).count() == 3 and list((tmp_path / "app").iterdir())
+    shared.drop_stages(spark)
+    assert not (tmp_path / "app").exists() and tmp_path.exists()
