@@ -67,11 +67,13 @@ class Vocabulary:
 
 
 class TrieEncoder:
-    """Encodes distinct words in sorted order over one stack of last-token states; keeps a bounded cache of words."""
+    """Encodes distinct words in sorted order over one stack of last-token states; keeps a bounded cache of words, in two halves: when the
+    newer one is full the older one goes, but for the words that were seen again."""
 
-    def __init__(self, vocabulary: Vocabulary, cache_words: int = 200_000):
-        self.v, self.limit = vocabulary, cache_words
+    def __init__(self, vocabulary: Vocabulary, cache_words: int = 300_000):
+        self.v, self.half = vocabulary, cache_words // 2
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.follows: dict[int, bool] = {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) + ")") if vocabulary.specials else None
 
@@ -138,11 +140,19 @@ class TrieEncoder:
             yield tuple(out)
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > self.limit:  # the words of these texts stay, so that all of them are known
-            self.words = {w: self.words[w] for w in words if w in self.words}
-        new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in new)
-        self.words.update(zip((w for _, w in new), self.insert([b for b, _ in new]), strict=True))
+        """Puts all words of some texts into the newer half."""
+        if len(self.words) > self.half:
+            self.words, self.older = {}, self.words
+        known, older, new = self.words, self.older, []
+        for w in words:
+            if w not in known:
+                found = older.get(w)
+                if found is None:
+                    new.append((w.encode("utf-8", "surrogatepass"), w))
+                else:
+                    known[w] = found
+        new.sort()
+        known.update(zip((w for _, w in new), self.insert([b for b, _ in new]), strict=True))
 
     def parts(self, text: str) -> list[str]:
         """A text cut at special tokens, which stay as parts."""
@@ -151,16 +161,18 @@ class TrieEncoder:
     def encode_all(self, texts: list[str], piece: int = 1 << 20) -> Iterator[list[int]]:
         """Token ids of whole texts, in order. The distinct words of all texts of up to ``piece`` characters go into one
         trie; longer texts are encoded piece by piece of their list of words."""
-        special, known = self.v.specials, self.words
+        special = self.v.specials
         split = [[x if x in special else WORD.findall(x) for x in self.parts(t)] if len(t) <= piece else None for t in texts]
         self._learn({w for parts in split if parts for x in parts if x.__class__ is list for w in x})
+        group = self.words  # holds these texts' words, whatever a long text between them needs
         for text, parts in zip(texts, split, strict=True):
             ids: list[int] = []
             for x in parts if parts is not None else self._pieces(text, piece // 8):
                 if x.__class__ is list:
+                    known = group
                     if parts is None:
                         self._learn(set(x))
-                    known = self.words
+                        known = self.words
                     ids.extend(chain.from_iterable(map(known.__getitem__, x)))
                 else:
                     ids.append(special[x])
