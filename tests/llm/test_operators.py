@@ -540,6 +540,17 @@ def test_long_texts_in_pieces():
     assert next(e.encode_all([t], piece=1000)) == next(e.encode_all([t]))
 
 
+def test_a_small_cache_between_short_and_long_texts():
+    """Long texts between short ones turn the cache over again and again; no word of a short text gets lost."""
+    v = bpe.Vocabulary.load(tokenizer_path())
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeiou") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(rng.choice([3, 8, 400]))) for _ in range(40)]
+    small, large = bpe.TrieEncoder(v, cache_words=6), bpe.TrieEncoder(v)
+    for _ in range(2):
+        assert list(small.encode_all(texts, piece=200)) == list(large.encode_all(texts))
+
+
 # --- line dedup
 
 
