@@ -141,17 +141,21 @@ class VantageTree:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int),) * 2 + (np.empty(0, bool),)
 
 
-def near_stars(points: np.ndarray, home: np.ndarray, max_bits: int) -> np.ndarray:
-    """Edges that span the groups of points linked at max_bits or fewer; a pair needs one point at home."""
+def near_stars(points: np.ndarray, home: np.ndarray, max_bits: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Edges that span the groups of points linked at max_bits or fewer. A pair needs one point at home, and one that is the
+    shard's ``own``: visitors of a shard needn't be compared with each other."""
     linked = np.zeros(len(points), dtype=bool)
-    at_home = np.flatnonzero(home)
-    step = max(1, min(256, (1 << 21) // max(1, len(points))))  # rows at a time, for bounded memory
-    for a in range(0, len(at_home), step):
-        rows = at_home[a : a + step]
-        near = np.bitwise_count(points[rows, None] ^ points[None, :]) <= max_bits
-        near[np.arange(len(rows)), rows] = False
-        linked |= near.any(axis=0)
-        linked[rows] |= near.any(axis=1)
+    own = np.ones(len(points), dtype=bool) if own is None else own
+    for mine, theirs in ((home & own, np.ones(len(points), dtype=bool)), (home & ~own, own)):
+        at, others = np.flatnonzero(mine), np.flatnonzero(theirs)
+        step = max(1, min(256, (1 << 21) // max(1, len(others))))  # rows at a time, for bounded memory
+        for a in range(0, len(at), step):
+            rows = at[a : a + step]
+            near = np.bitwise_count(points[rows, None] ^ points[None, others]) <= max_bits
+            if own[rows[0]]:  # all points are the others of the shard's own, each in its place
+                near[np.arange(len(rows)), rows] = False
+            linked[others] |= near.any(axis=0)
+            linked[rows] |= near.any(axis=1)
     some = points[linked]
     stars = spanning_stars(len(some), lambda i, rest: np.bitwise_count(some[i] ^ some[rest]) <= max_bits)
     return some[stars].view(np.int64).reshape(-1, 2)
@@ -166,7 +170,7 @@ def shard_stars(points: np.ndarray, home: np.ndarray, mask: int, radius: int, ma
     at, leaves, inside = tree.route(points)
     order = np.argsort(leaves, kind="stable")
     at, inside, ends = at[order], inside[order], np.flatnonzero(np.diff(leaves[order])) + 1
-    found = [near_stars(points[a], i, max_bits) for a, i in zip(np.split(at, ends), np.split(inside, ends), strict=True)]
+    found = [near_stars(points[a], i, max_bits, home[a]) for a, i in zip(np.split(at, ends), np.split(inside, ends), strict=True)]
     return np.unique(np.concatenate(found), axis=0)
 
 
