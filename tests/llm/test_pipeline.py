@@ -37,7 +37,7 @@ def test_stages(spark):
     kept = P.materialise(step["language ID"](spark, docs, SF), "t")
     rows = kept.collect()
     assert kept.columns == columns and len(rows) >= 0.995 * docs.count()
-    junk = spark.createDataFrame([(-i, t, "en", "src1", len(t)) for i, t in enumerate(JUNK, 1)], DOC).select(*columns)
+    junk = spark.createDataFrame([(-i, t, None, "src1", len(t)) for i, t in enumerate(JUNK, 1)], DOC).select(*columns)
     assert sorted(r.doc_id for r in step["language ID"](spark, docs.unionByName(junk), SF).collect()) == sorted(r.doc_id for r in rows)
 
     lines = P.materialise(step["line dedup"](spark, kept, SF), "t")
