@@ -36,9 +36,10 @@ class GraphTables:
     @cached_property
     def lines(self) -> DataFrame:
         """Line items, repeats dropped, with their part, customer and supplier names; read by most of the other frames."""
+        uid = lambda kind, col: X.entity_uid(F.lit(kind), c(col)).alias(f"{col}_uid")  # noqa: E731  once a name, not once a line
         rows = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.round(c("l_discount") * 100).cast("int").alias("pct")).distinct()
-        rows = rows.join(self.raw("part").select(c("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey").join(self.raw("supplier").select(c("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
-        rows = rows.join(self.raw("orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(self.raw("customer").select(c("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
+        rows = rows.join(self.raw("part").select(c("p_partkey").alias("l_partkey"), "p_name", "p_brand", uid("Method", "p_name"), uid("Dataset", "p_brand")), "l_partkey").join(self.raw("supplier").select(c("s_suppkey").alias("l_suppkey"), "s_name", uid("Institution", "s_name")), "l_suppkey")
+        rows = rows.join(self.raw("orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(self.raw("customer").select(c("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", uid("Author", "c_name"), uid("Task", "c_mktsegment")), "o_custkey")
         key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "pct")
         section = F.when(c("l_returnflag") == "A", "Abstract").when(c("l_returnflag") == "N", "Methods").otherwise("Results")
         rows = rows.withColumns({"passage_id": cat("pass:", F.md5(key)), "document_id": cat("doc:", c("l_orderkey")), "section_title": section, "section_id": cat("sec:", c("l_orderkey"), ":", c("l_returnflag")), "confidence": (100 - 5 * c("pct")) / 100})
@@ -64,9 +65,8 @@ class GraphTables:
     @property
     def relation_mentions(self) -> DataFrame:
         """document_id, passage_id, type, source_uid, target_uid, confidence, seq of four relations per line item."""
-        uid = lambda kind, col: F.struct(X.entity_uid(F.lit(kind), c(col)).alias("uid"))["uid"]
-        made = [("USES", ("Method", "p_name"), ("Dataset", "p_brand")), ("EVALUATED_ON", ("Method", "p_name"), ("Task", "c_mktsegment")), ("AFFILIATED_WITH", ("Author", "c_name"), ("Institution", "s_name")), ("ABOUT", ("Dataset", "p_brand"), ("Task", "c_mktsegment"))]
-        rel = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), uid(*s).alias("source_uid"), uid(*o).alias("target_uid")) for t, s, o in made]))
+        made = [("USES", "p_name", "p_brand"), ("EVALUATED_ON", "p_name", "c_mktsegment"), ("AFFILIATED_WITH", "c_name", "s_name"), ("ABOUT", "p_brand", "c_mktsegment")]
+        rel = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), c(f"{s}_uid").alias("source_uid"), c(f"{o}_uid").alias("target_uid")) for t, s, o in made]))
         return self.lines.select("document_id", "passage_id", "confidence", rel.alias("r")).select("document_id", "passage_id", "r.*", "confidence", c("passage_id").alias("seq"))
 
     @cached_property
