@@ -374,3 +374,19 @@ def test_stages_can_be_dropped(spark, monkeypatch, tmp_path):
     assert shared.written(spark.range(3)).count() == 3 and list((tmp_path / "app").iterdir())
     shared.drop_stages(spark)
     assert not (tmp_path / "app").exists() and tmp_path.exists()
+
+
+def test_chunk_queries(spark):
+    """The queries that have no SQL, over whole tables, by the plain rule."""
+    import hashlib
+
+    from loomgraph.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {(f"doc:{r.doc_id}", i, hashlib.md5(t.encode()).hexdigest()) for r in docs for i, t in enumerate(plain_chunks(r.text or "", 1000, 200))}
+    rows = registry.QUERIES["vec05_built_chunks"](spark, sf).collect()
+    assert {(r.document_id, r.chunk_no, r.text_md5) for r in rows} == want and len({r.chunk_id for r in rows}) == len(rows) == len(want)
+    passages = registry.QUERIES["doc08_passages"](spark, sf).groupBy("document_id").count().collect()
+    report = {r.document_id: r.n_passages for r in registry.QUERIES["doc27_passage_report"](spark, sf).collect()}
+    assert {r.document_id: r["count"] for r in passages} == {k: v for k, v in report.items() if v} and len(report) == len(docs)
