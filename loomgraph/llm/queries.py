@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, langid, linededup, mixing, pii, simhash, topk, toxicity, urlfilter
+from . import bpe, codes, embdedup, langid, license, linededup, mixing, pii, simhash, topk, toxicity, urlfilter, whitening
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,5 +67,26 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_groups(read(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_pii, op2_simhash, op3_toxicity, op4_topk, op5_mixing, op6_language_id, op7_bpe, op8_line_dedup, op9_url_filter, op10_embedding_dedup)
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(read(spark, sf_dir, "documents"))
+    said = lambda c: F.array_join(c, ",").alias(f"{c}_labels" if c == "base" else c)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", said("base"), said("labels"), "score")
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    # a label may hold any share of the rows: its sum is made before it meets them
+    per_label = found.rows.groupBy("label").agg(F.sum("error").alias("label_error"))
+    rows = found.rows.alias("r").join(per_label.alias("l"), F.col("r.label").eqNullSafe(F.col("l.label")))
+    long = lambda c: F.expr(f"try_cast({c} AS long)").alias(c)
+    digest = hashlib.sha256(codes.numbers_of(found.books).encode()).hexdigest()
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), long("error"), long("label_error"), F.lit(digest).alias("codebooks_sha256"))
+
+
+_ALL = (op1_pii, op2_simhash, op3_toxicity, op4_topk, op5_mixing, op6_language_id, op7_bpe, op8_line_dedup, op9_url_filter, op10_embedding_dedup, op11_whitening, op12_license, op13_codes)
 QUERIES = {f.__name__: f for f in _ALL}

@@ -1,5 +1,8 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from .codes import ENTRIES, PARTS, ROUNDS, SCALE
+from .license import CONTAINMENT, PHRASES, TEMPLATES
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 #: The same thresholds by a running sum over sorted hashes, and the level by the same closed form.
@@ -59,4 +62,59 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_topk": TOP_K, "op5_mixing": MIXING, "op8_line_dedup": LINE_DEDUP}
+
+
+def _licenses() -> str:
+    """All blocks with all templates: the shares of their words, without a filter."""
+    split = lambda text: "regexp_extract_all(translate(coalesce(" + text + r", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    rows = lambda pairs: ", ".join(f"({i}, '{text}', '{label}')" for i, (text, label) in enumerate(pairs))
+    return rf"""
+WITH phrases AS (SELECT i, string_split(t, ' ') AS p, label FROM (VALUES {rows(PHRASES)}) AS v(i, t, label)),
+templates AS (
+  SELECT i, list_distinct(string_split(t, ' ')) AS ws, (2 ** ceil(log2(len(string_split(t, ' ')))))::BIGINT AS step, label FROM (VALUES {rows(TEMPLATES)}) AS v(i, t, label)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {split("text")} AS ws FROM documents),
+words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM docs),
+base AS (
+  SELECT words.rid, pos, label FROM words JOIN phrases ON w = p[1] JOIN docs ON docs.rid = words.rid WHERE docs.ws[pos + 1 : pos + len(p)] = p),
+based AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY rid),
+held AS (SELECT i, label, step, len(ws) AS m, unnest(ws) AS w FROM templates),
+near AS (
+  SELECT rid, i, label, pos // step - back AS block, count(DISTINCT words.w) / max(m) AS share
+  FROM words JOIN held ON held.w = words.w, (VALUES (0), (1)) AS b(back) WHERE pos // step >= back GROUP BY rid, i, label, block),
+more AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS best FROM near WHERE share >= {CONTAINMENT} - 1e-9 GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(based.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(coalesce(based.labels, []) || coalesce(more.labels, []))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM docs LEFT JOIN based USING (rid) LEFT JOIN more USING (rid)
+"""
+
+
+def _codes() -> str:
+    """Every round written out, every part compared with every entry."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""near{r} AS (
+  SELECT rid, part, min((d, entry)) AS best FROM (
+    SELECT rid, p.part, entry, (list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c))::BIGINT AS d FROM parts p JOIN book{r} b ON b.part = p.part) GROUP BY rid, part)""")
+        if r < ROUNDS:
+            steps.append(f"""mean{r} AS (
+  SELECT part, entry, list(m ORDER BY pos) AS c FROM (
+    SELECT part, best[2] AS entry, pos, floor(sum(v) / count(*))::DOUBLE AS m FROM (
+      SELECT p.part, best, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM parts p JOIN near{r} n ON n.rid = p.rid AND n.part = p.part) GROUP BY part, best[2], pos) GROUP BY part, entry),
+book{r + 1} AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON m.part = b.part AND m.entry = b.entry)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, [floor({SCALE} * x::DOUBLE) for x in embedding]) - 1 AS rid, vec_id, label, [floor({SCALE} * x::DOUBLE) for x in embedding] AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT rid, part, ints[part * (len(ints) // {PARTS}) + 1 : (part + 1) * (len(ints) // {PARTS})] AS x FROM kept, range({PARTS}) AS t(part)),
+book0 AS (SELECT part, rid AS entry, x AS c FROM parts WHERE rid < {ENTRIES}),
+{", ".join(steps)},
+codes AS (
+  SELECT rid, string_agg(lower(printf('%02x', best[2])), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM near{ROUNDS} GROUP BY rid),
+said AS (SELECT sha256(string_agg(array_to_string([v::BIGINT for v in c], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN codes USING (rid), said
+"""
+
+
+ORACLES: dict[str, str] = {"op4_topk": TOP_K, "op5_mixing": MIXING, "op8_line_dedup": LINE_DEDUP, "op12_license": _licenses(), "op13_codes": _codes()}
