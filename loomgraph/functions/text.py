@@ -54,7 +54,7 @@ def simplify_name(name: Column, entity_type: Column) -> Column:
 def canonical_name(name: Column, entity_type: Column) -> Column:
     name = simplify_name(clean_name(name), entity_type)
     acronym = (F.length(name) <= 6) & (F.upper(name) == name) & (F.lower(name) != name)
-    hyphened = F.array_join(F.transform(F.split(name, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1_000_000)))), "-")
+    hyphened = F.array_join(F.transform(F.split(name, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "-")
     lower = (F.lower(name) == name) & (F.upper(name) != name)
     return F.when(acronym, name).when(name.contains("-"), hyphened).when(lower, title_case(name)).otherwise(name)
 
@@ -104,7 +104,7 @@ def match_key(name: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
     words = F.transform(words, singular)
     articles = F.array(*map(F.lit, S.ARTICLES))
-    words = F.when((F.size(words) >= 2) & F.array_contains(articles, F.get(words, 0)), F.slice(words, 2, 1_000_000)).otherwise(words)
+    words = F.when((F.size(words) >= 2) & F.array_contains(articles, F.get(words, 0)), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
     words = F.when((F.size(words) >= 2) & F.array_contains(articles, F.element_at(words, -1)), F.slice(words, F.lit(1), F.size(words) - 1)).otherwise(words)
     return F.array_join(words, " ")
 

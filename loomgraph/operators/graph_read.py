@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import schemas as S
-from loomgraph.sources.shared import written
+from loomgraph.sources.shared import bucketed, written
 
 
 def node_types(structural: bool = False, evidence: bool = False, citations: bool = False, wanted: list[str] | None = None) -> list[str]:
@@ -30,20 +32,44 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
 
 
-def within_hops(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
-    """id, hops for all nodes within a number of undirected steps of the seeds (id): a frontier that only grows by what it
-    hasn't seen, written between rounds so that plans stay short."""
-    links = both_ways(edges)
-    seen = written(seeds.select("id", F.lit(0).alias("hops")).distinct())
-    frontier = seen
+#: Edges at one end that make a node a hub, whose edges lie in several parts.
+HUB = 100_000
+
+
+class Links:
+    """All edges from both ends: source, part, target, type, direction. Written once, in buckets by source and part, so that whatever joins
+    them by source moves its own rows only, however often. A hub's edges are dealt over as many parts as they have ``hub`` rows."""
+
+    def __init__(self, edges: DataFrame, hub: int = HUB):
+        out = edges.select("source", "target", "type", F.lit("outgoing").alias("direction"))
+        back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "type", F.lit("incoming").alias("direction"))
+        rows = written(out.unionByName(back).distinct(), "links-rows")
+        parts = rows.groupBy("source").agg(F.ceil(F.count("*") / F.lit(hub)).cast("int").alias("parts"))
+        self.hubs = written(parts.where("parts > 1"), "links-hubs")  # one row for every ``hub`` edges at most
+        part = F.pmod(F.xxhash64("target"), F.coalesce("parts", F.lit(1))).cast("int")
+        self.rows = bucketed(rows.join(self.hubs, "source", "left").select("source", part.alias("part"), "target", "type", "direction"), ["source", "part"], "links")
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """The links whose source is among distinct ids (id), with id in the place of source."""
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        asked = ids.select(F.col("id").alias("source")).join(self.hubs, "source", "left").select("source", parts)
+        return asked.join(self.rows, ["source", "part"]).select(F.col("source").alias("id"), "target", "type", "direction")
+
+
+def within_hops(edges: DataFrame | Links, seeds: DataFrame, hops: int = 4) -> DataFrame:
+    """id, hops for all nodes within a number of undirected steps of the seeds (id). A step goes on from what the step before it found,
+    and what it finds has been found before only by that step or the one before: no further back is looked. Steps are written, so plans stay short."""
+    links = edges if isinstance(edges, Links) else Links(edges.select("source", "target", F.lit("").alias("type")))
+    found = [written(seeds.select("id", F.lit(0).alias("hops")).distinct())]
     for k in range(1, hops + 1):
-        new = frontier.select(F.col("id").alias("source")).join(links, "source").select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = written(new.withColumn("hops", F.lit(k)))
-        seen = seen.unionByName(frontier)
-    return seen
+        new = links.of(found[-1]).select(F.col("target").alias("id")).distinct()
+        for seen in found[-2:]:
+            new = new.join(seen, "id", "left_anti")
+        found.append(written(new.withColumn("hops", F.lit(k))))
+    return reduce(DataFrame.unionByName, found)
 
 
-def document_scope(nodes: DataFrame, edges: DataFrame, instances: DataFrame, documents: DataFrame, hops: int = 4, peers: bool = True) -> DataFrame:
+def document_scope(nodes: DataFrame, edges: DataFrame | Links, instances: DataFrame, documents: DataFrame, hops: int = 4, peers: bool = True) -> DataFrame:
     """Ids of nodes in the scope of documents (id): the documents, what lies within some steps, and peers that share a canonical
     entity with an entity among these."""
     near = within_hops(edges, documents, hops).select("id")
@@ -54,11 +80,12 @@ def document_scope(nodes: DataFrame, edges: DataFrame, instances: DataFrame, doc
     return out
 
 
-def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges both of whose ends are among ids (id), each once."""
+def induced(edges: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """Edges both of whose ends are among ids (id), each once; of many the first ``most`` by source, target and type."""
     for end in ("source", "target"):
         edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_semi")
-    return edges.select("source", "target", "type").distinct()
+    out = edges.select("source", "target", "type").distinct()
+    return out if most is None else out.orderBy("source", "target", "type").limit(most)
 
 
 def edge_scope(edges: DataFrame, scope: DataFrame) -> DataFrame:
@@ -81,13 +108,11 @@ def display_name(*choices: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in choices])
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int = 10, scope: DataFrame | None = None) -> DataFrame:
+def neighbours(edges: DataFrame | Links, nodes: DataFrame, ids: DataFrame, most: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """id, direction, type, neighbour for up to ``most`` neighbours each way of ids (id), never the node itself. ``scope`` (id), as
     :func:`document_scope` gives it, leaves only neighbours in it."""
-    out = edges.where("source <> target")
-    sides = out.select(F.col("source").alias("id"), F.lit("outgoing").alias("direction"), "type", F.col("target").alias("neighbour"))
-    sides = sides.unionByName(out.select(F.col("target").alias("id"), F.lit("incoming").alias("direction"), "type", F.col("source").alias("neighbour")))
-    rows = sides.join(ids, "id", "left_semi").distinct().join(nodes.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
+    links = edges if isinstance(edges, Links) else Links(edges)
+    rows = links.of(ids.select("id").distinct()).where("id <> target").withColumnRenamed("target", "neighbour").join(nodes.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
     if scope is not None:
         rows = rows.join(scope.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
     nth = F.row_number().over(Window.partitionBy("id", "direction").orderBy("type", "neighbour"))
@@ -102,10 +127,12 @@ def neighbour_groups(found: DataFrame) -> DataFrame:
 def node_evidence(relations: DataFrame, evidence: DataFrame, passages: DataFrame, most: int = 8) -> DataFrame:
     """id, evidence_uid, relation_uid, passage_id, section_id, document_id, text: evidence of relations that a node is the
     source or target of, or is itself; the surest few per node."""
+    nth = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("confidence"), "evidence_uid"))
+    # of a relation no node takes more than the surest few: cut before each piece of evidence goes to the relation's three nodes
+    sure = evidence.select(F.col("uid").alias("evidence_uid"), "relation_uid", "passage_id", "confidence").withColumn("nth", nth("relation_uid")).where(F.col("nth") <= most).drop("nth")
     about = relations.select(F.explode(F.array_distinct(F.array("source_uid", "target_uid", "uid"))).alias("id"), F.col("uid").alias("relation_uid")).distinct()
-    rows = about.join(evidence.select(F.col("uid").alias("evidence_uid"), "relation_uid", "passage_id", "confidence"), "relation_uid")
-    best = Window.partitionBy("id").orderBy(F.desc("confidence"), "evidence_uid")
-    rows = rows.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most).drop("nth")  # before texts join
+    rows = about.join(sure, "relation_uid")
+    rows = rows.withColumn("nth", nth("id")).where(F.col("nth") <= most).drop("nth")  # before texts join
     rows = rows.join(passages.select("passage_id", "section_id", "document_id", "text"), "passage_id", "left")
     return rows.select("id", "evidence_uid", "relation_uid", "passage_id", "section_id", "document_id", F.substring("text", 1, 420).alias("text"), "confidence")
 
@@ -142,8 +169,8 @@ def node_summary(relations: DataFrame, evidence: DataFrame, citations: DataFrame
 
 
 def entities_by_tokens(entities: DataFrame, tokens: DataFrame, types: list[str] | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """question_id, uid: entities whose name contains a token of the question. A token is part of a name if it starts at some
-    character of it, so short names meet tokens by their first three characters: an equi-join, not all pairs."""
+    """question_id, uid: entities whose name contains a token of the question. They meet by the token's rarest
+    three characters: an equi-join, not all pairs."""
     if types:
         entities = entities.where(F.col("type").isin(types))
     if scope is not None:
@@ -151,14 +178,34 @@ def entities_by_tokens(entities: DataFrame, tokens: DataFrame, types: list[str]
     return contains_join(entities, "uid", "name", tokens)
 
 
+def grams(text: Column, *sizes: int) -> Column:
+    """The different runs of some numbers of characters."""
+    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
+def contains_probes(rows: DataFrame, key: str, name: str, words: DataFrame) -> DataFrame:
+    """token, key, said: names (in lower case) to look for a token in. A token is part of a name only if all its runs of three characters are
+    (of two, for a token of two), so it meets the names that hold the rarest of them; a token with a run that no name holds meets none. A run
+    that is still in many names is split by adaptive execution, since what follows needs no name's rows together."""
+    low = F.lower(F.col(name))
+    left = rows.select(F.col(key), low.alias("said"), F.explode(grams(low, 2, 3)).alias("gram"))
+    asked = words.select("token").distinct().where(F.length("token") >= 2).withColumn("runs", F.when(F.length("token") >= 3, grams(F.col("token"), 3)).otherwise(F.array("token")))
+    # only runs that are asked for are counted
+    wanted = asked.select("token", F.size("runs").alias("n_runs"), F.explode("runs").alias("gram"))
+    counted = left.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("names"))
+    rarest = wanted.join(counted, "gram").groupBy("token", "n_runs").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"), F.count("*").alias("held")).where("held = n_runs")
+    return left.join(rarest.select("token", "gram"), "gram").select("token", key, "said")
+
+
+def contains_hits(rows: DataFrame, key: str, name: str, words: DataFrame) -> DataFrame:
+    """token, key, each pair once, for names that contain a token (token) of two characters or more."""
+    return contains_probes(rows, key, name, words).where(F.col("said").contains(F.col("token"))).select("token", key).distinct()
+
+
 def contains_join(rows: DataFrame, key: str, name: str, tokens: DataFrame) -> DataFrame:
     """question_id, key for names that contain a token (question_id, token) of two characters or more."""
-    low = F.lower(F.col(name))
-    grams = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    left = rows.select(F.col(key), low.alias("said"), F.explode(F.array_union(grams(2), grams(3))).alias("gram"))
-    words = tokens.select("token").distinct().select("token", F.substring("token", 1, 3).alias("gram")).where(F.length("token") >= 2)
-    hits = left.join(words, "gram").where(F.col("said").contains(F.col("token"))).select("token", key).distinct()
-    return hits.join(tokens, "token").select("question_id", key).distinct()
+    return contains_hits(rows, key, name, tokens).join(tokens, "token").select("question_id", key).distinct()
 
 
 def canonicals_by_tokens(registry: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -190,8 +237,16 @@ def bounded(edges: DataFrame, highlighted: DataFrame, most_nodes: int = 300, mos
     return induced(edges, ranked).orderBy("source", "target", "type").limit(most_edges)
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    return both_ways(edges).groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_set("target")).alias("neighbours"))
+def adjacency(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """id, part, neighbours: of a node's different neighbours, in lists of up to ``most``. A hub's neighbours are dealt over tasks by a hash
+    before they are listed, so neither a list nor a task grows with the hub."""
+    pairs = written(both_ways(edges).distinct(), "adjacency")
+    hubs = pairs.groupBy("source").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("dealt")).where("dealt > 1")
+    rows = pairs.join(hubs, "source", "left").withColumn("dealt", F.coalesce("dealt", F.lit(1)))
+    rows = rows.withColumn("hand", F.pmod(F.xxhash64("target"), F.col("dealt")))
+    nth = F.row_number().over(Window.partitionBy("source", "hand").orderBy("target"))
+    part = F.when(F.col("dealt") == 1, F.lit(0)).otherwise(F.col("hand") + F.col("dealt") * F.floor((nth - 1) / F.lit(most))).cast("long")
+    return rows.select(F.col("source").alias("id"), part.alias("part"), "target").groupBy("id", "part").agg(F.array_sort(F.collect_list("target")).alias("neighbours"))
 
 
 def entity_documents(relations: DataFrame, evidence: DataFrame, passages: DataFrame) -> DataFrame:

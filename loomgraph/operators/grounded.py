@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import schemas as S
 from loomgraph.functions import text as X
-from loomgraph.operators.graph_read import contains_join
+from loomgraph.operators.graph_read import contains_hits
 from loomgraph.sources.shared import written
 
 MOST_CANDIDATES, FALLBACKS, MOST_PER_CANDIDATE = 20, 5, 10
@@ -78,23 +78,38 @@ def in_document_scope(hits: DataFrame, entity_documents: DataFrame, instances: D
 
 def local_candidates(asked: DataFrame, entities: DataFrame, entity_documents: DataFrame, instances: DataFrame) -> DataFrame:
     """question_id, entity_id, name, type, score, reason, source, pos: entities whose name contains a token. (A name that contains
-    all tokens together contains the first of them.)"""
-    tokens = asked.select("question_id", F.explode("tokens").alias("token"))
-    hits = contains_join(entities.where(c("type").isin(*S.ENTITY_TYPES)), "uid", "name", tokens)
-    rows = hits.join(asked.select("question_id", "document_id", "node_types"), "question_id").join(entities, "uid").where((F.size("node_types") == 0) | F.array_contains("node_types", c("type")))
-    rows = nth(in_document_scope(rows, entity_documents, instances), "pos", "uid").where(c("pos") <= MOST_CANDIDATES)
+    all tokens together contains the first of them.) Of a token's entities of one type no question takes more than the first 20, so
+    lists of 20 a token and type meet the questions; only questions about one document, which may pass over any of them, meet all."""
+    known = entities.where(c("type").isin(*S.ENTITY_TYPES))
+    tokens = asked.select("question_id", "document_id", "node_types", F.explode("tokens").alias("token"))
+    free, scoped = tokens.where("document_id is null"), tokens.where("document_id is not null")
+    hits = contains_hits(known, "uid", "name", free).join(known.select("uid", "type"), "uid")
+    first = F.row_number().over(Window.partitionBy("token", "type").orderBy("uid"))
+    lists = hits.withColumn("k", first).where(c("k") <= MOST_CANDIDATES).drop("k")
+    every = contains_hits(known, "uid", "name", scoped).join(known.select("uid", "type"), "uid")
+    fits = (F.size("node_types") == 0) | F.array_contains("node_types", c("type"))
+    met = lambda side, found: side.join(found, "token").where(fits).select("question_id", "document_id", "uid").distinct()
+    rows = met(free, lists).unionByName(in_document_scope(met(scoped, every), entity_documents, instances))
+    rows = nth(rows, "pos", "uid").where(c("pos") <= MOST_CANDIDATES).join(known, "uid")
     return rows.select("question_id", c("uid").alias("entity_id"), "name", "type", F.lit(1.0).alias("score"), F.lit("name_match").alias("reason"), F.lit("local").alias("source"), "pos")
 
 
 def canonical_candidates(asked: DataFrame, entities: DataFrame, entity_documents: DataFrame, instances: DataFrame, registry: DataFrame) -> DataFrame:
-    """As local_candidates, through canonical names, aliases and acronyms; more documents, higher score."""
+    """As local_candidates, through canonical names, aliases and acronyms; more documents, higher score. Of a canonical's entities, which
+    share its documents, the first 20 can count, and of a token's the best 20: questions meet lists of 20 a token."""
     tokens = asked.select("question_id", F.explode(F.array_distinct(F.transform("tokens", X.match_key))).alias("token")).where("token <> ''")
-    part = contains_join(registry, "canonical_id", "canonical_name", tokens)
-    exact = registry.select("canonical_id", F.explode(F.array_union("normalized_aliases", "acronyms")).alias("token")).join(tokens, "token").select("question_id", "canonical_id")
+    words = tokens.select("token").distinct()
+    part = contains_hits(registry, "canonical_id", "canonical_name", words)
+    exact = registry.select("canonical_id", F.explode(F.array_union("normalized_aliases", "acronyms")).alias("token")).join(words, "token").select("token", "canonical_id")
     reach = instances.join(entity_documents, "entity_uid").groupBy("canonical_id").agg(F.count_distinct("document_id").alias("documents"))
-    rows = part.unionByName(exact).distinct().join(instances, "canonical_id").join(reach, "canonical_id", "left").join(registry.select("canonical_id", "canonical_name"), "canonical_id")
-    rows = rows.join(entities.select(c("uid").alias("entity_uid"), "type"), "entity_uid").withColumn("documents", F.coalesce("documents", F.lit(0)))
-    rows = nth(rows, "pos", F.desc("documents"), "entity_uid").where(c("pos") <= MOST_CANDIDATES)
+    first = F.row_number().over(Window.partitionBy("canonical_id").orderBy("entity_uid"))
+    members = instances.join(entities.select(c("uid").alias("entity_uid"), "type"), "entity_uid").withColumn("k", first).where(c("k") <= MOST_CANDIDATES).drop("k")
+    members = members.join(reach, "canonical_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+    best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("documents"), "entity_uid", "canonical_id"))
+    lists = part.unionByName(exact).distinct().join(members, "canonical_id").withColumn("k", best).where(c("k") <= MOST_CANDIDATES).drop("k")
+    rows = tokens.join(lists, "token").drop("token").distinct()
+    rows = nth(rows, "pos", F.desc("documents"), "entity_uid", "canonical_id").where(c("pos") <= MOST_CANDIDATES)
+    rows = rows.join(registry.select("canonical_id", "canonical_name"), "canonical_id")
     score = F.greatest(F.lit(0.8), F.least(F.lit(1.0), 0.8 + c("documents") * 0.02))
     return rows.select("question_id", c("entity_uid").alias("entity_id"), c("canonical_name").alias("name"), "type", score.alias("score"), F.lit("canonical_linked_match").alias("reason"), F.lit("canonical-ready").alias("source"), (c("pos") + MOST_CANDIDATES).alias("pos"))
 
@@ -116,18 +131,20 @@ def fallback_candidates(asked: DataFrame, local: DataFrame, entities: DataFrame,
     need = asked.where(F.size("tokens") > 1).join(local.select("question_id").distinct(), "question_id", "left_anti")
     scope = F.coalesce("document_id", F.lit("")) if scope_fallback else F.lit("")
     need = need.withColumns({"cited": c("intent") == "CITATION_BASIS", "kinds": F.array_join("node_types", ","), "scope": scope})
-    kinds = need.select("cited", "kinds", "scope", "node_types").distinct()
-    rows = found.join(entities.where(c("type").isin(*S.ENTITY_TYPES)), "uid")
-    fits = (F.size("node_types") == 0) | F.array_contains("node_types", c("type"))
-    lists = rows.join(kinds.where("scope = ''"), fits)
+    every = F.array(*map(F.lit, S.ENTITY_TYPES))
+    kinds = need.select("cited", "kinds", "scope", F.explode(F.array_distinct(F.when(F.size("node_types") == 0, every).otherwise(c("node_types")))).alias("type")).distinct()
+    rows = found.join(entities.where(c("type").isin(*S.ENTITY_TYPES)), "uid").withColumn("scope", F.lit(""))
     if scope_fallback:
         there = entity_documents.select(c("entity_uid").alias("uid"), c("document_id").alias("scope"))
-        lists = lists.unionByName(rows.join(there, "uid").join(kinds.where("scope <> ''"), "scope").where(fits).select(*lists.columns))
+        rows = rows.unionByName(rows.drop("scope").join(there, "uid").select(*rows.columns))
+    rows = rows.withColumn("cited", F.explode(F.array(F.lit(True), F.lit(False))))
     first = F.when(c("cited"), c("n_citations")).otherwise(c("n_evidence"))
-    order = Window.partitionBy("cited", "kinds", "scope").orderBy(first.desc(), F.desc("n_relations"), F.desc("n_evidence"), F.desc("n_citations"), "uid")
-    lists = lists.withColumn("pos", F.row_number().over(order)).where(c("pos") <= FALLBACKS)
+    densest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(first.desc(), F.desc("n_relations"), F.desc("n_evidence"), F.desc("n_citations"), "uid"))
+    # the densest five of some types are among the densest five of each: lists of five a type meet the questions' types
+    of_type = rows.withColumn("pos", densest("cited", "scope", "type")).where(c("pos") <= FALLBACKS).drop("pos")
+    lists = of_type.join(kinds, ["cited", "scope", "type"]).withColumn("pos", densest("cited", "kinds", "scope")).where(c("pos") <= FALLBACKS)
     score = (c("n_relations") + c("n_evidence") + c("n_citations")).cast("double")
-    return need.select("question_id", "cited", "kinds", "scope").join(lists.drop("node_types"), ["cited", "kinds", "scope"]).select("question_id", c("uid").alias("entity_id"), "name", "type", score.alias("score"), F.lit("graph_density_fallback").alias("reason"), F.lit("local").alias("source"), "pos")
+    return need.select("question_id", "cited", "kinds", "scope").join(lists, ["cited", "kinds", "scope"]).select("question_id", c("uid").alias("entity_id"), "name", "type", score.alias("score"), F.lit("graph_density_fallback").alias("reason"), F.lit("local").alias("source"), "pos")
 
 
 def boosted(candidates: DataFrame, asked: DataFrame) -> DataFrame:

@@ -24,22 +24,32 @@ def gate(mentions: DataFrame) -> DataFrame:
     return mentions.withColumns({"key": X.match_key(F.col("name")), "alias_keys": keys, "may_link": may})
 
 
+def blocks(registry: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """type, kind, block, canonical_id: of each blocking key the few smallest ids. No mention looks at more, so a key that a large share of the
+    registry offers is cut where its rows are, before any join."""
+    tag = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("block")))
+    acronyms = F.when(F.col("entity_type") != "Paper", F.transform("acronyms", F.lower)).otherwise(F.array().cast("array<string>"))
+    known = registry.where(F.col("canonical_id").startswith(F.concat(F.lit("canonical_"), F.lower("entity_type"), F.lit(":"))))
+    offers = F.explode(F.array_distinct(F.concat(tag("name", F.array("normalized_name")), tag("other", "normalized_aliases"), tag("other", acronyms))))
+    offered = known.select(F.col("entity_type").alias("type"), "canonical_id", offers.alias("offer")).select("type", "offer.kind", "offer.block", "canonical_id")
+    nth = F.dense_rank().over(Window.partitionBy("type", "kind", "block").orderBy("canonical_id"))
+    return offered.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
 def candidates(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     """Pairs of gated mentions and registry rows that share a blocking key.
 
     A registry row offers its name, its aliases and (for papers not) its acronyms; a mention asks for its name among all
     three, and for its aliases among aliases and acronyms. Exploding both makes the lookup an equi-join; an OR of conditions
-    would compare everything with everything."""
+    would compare everything with everything. Keys meet ids only, 25 a key; what is known of an id joins the 25 that a mention keeps."""
     tag = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("block")))
-    acronyms = F.when(F.col("entity_type") != "Paper", F.transform("acronyms", F.lower)).otherwise(F.array().cast("array<string>"))
-    offered = registry.withColumn("offer", F.explode(F.array_distinct(F.concat(tag("name", F.array("normalized_name")), tag("other", "normalized_aliases"), tag("other", acronyms)))))
-    asked = mentions.where("may_link").withColumn("ask", F.explode(F.array_distinct(F.concat(tag("name", F.array("key")), tag("other", F.array("key")), tag("other", "alias_keys")))))
-    right = offered.select(F.col("entity_type").alias("type"), F.col("offer.kind").alias("kind"), F.col("offer.block").alias("block"), "canonical_id", "normalized_name", "normalized_aliases", "acronyms", F.col("canonical_name").alias("known_name"), F.col("aliases").alias("known_aliases"))
-    pairs = asked.select("*", "ask.kind", "ask.block").drop("ask").join(right, ["type", "kind", "block"]).drop("kind", "block").dropDuplicates(["mention_id", "canonical_id"])
-    prefix = F.concat(F.lit("canonical_"), F.lower("type"), F.lit(":"))
-    pairs = pairs.where(F.col("canonical_id").startswith(prefix))
+    asks = F.explode(F.array_distinct(F.concat(tag("name", F.array("key")), tag("other", F.array("key")), tag("other", "alias_keys"))))
+    asked = mentions.where("may_link").select("mention_id", "type", asks.alias("ask")).select("mention_id", "type", "ask.kind", "ask.block")
+    met = asked.join(blocks(registry), ["type", "kind", "block"]).select("mention_id", "canonical_id").distinct()
     nth = F.row_number().over(Window.partitionBy("mention_id").orderBy("canonical_id"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= MOST_CANDIDATES).drop("nth")
+    kept = met.withColumn("nth", nth).where(F.col("nth") <= MOST_CANDIDATES).drop("nth")
+    known = registry.dropDuplicates(["canonical_id"]).select("canonical_id", "normalized_name", "normalized_aliases", "acronyms", F.col("canonical_name").alias("known_name"), F.col("aliases").alias("known_aliases"))
+    return mentions.join(kept, "mention_id").join(known, "canonical_id")
 
 
 def expands(short: Column, long: Column) -> Column:

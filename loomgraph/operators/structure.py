@@ -164,7 +164,7 @@ def reference_entries(pages: DataFrame) -> DataFrame:
     block = F.concat(F.lit("\n"), F.col("block"))
     bracket, dotted = (F.split(block, rf"\n(?={p})") for p in (r"\[\d+\]", r"\d+\.\s"))
     blank = F.filter(F.split("block", r"\n\s*\n"), lambda e: F.trim(e) != "")
-    numbered = lambda parts: F.slice(parts, 2, 1_000_000)  # noqa: E731  what stands before the first number is no entry
+    numbered = lambda parts: F.slice(parts, F.lit(2), F.size(parts))  # noqa: E731  what stands before the first number is no entry
     entries = F.when(F.size(bracket) > 2, numbered(bracket)).when(F.size(dotted) > 2, numbered(dotted)).otherwise(blank)
     rows = reference_block(pages).select("document_id", F.posexplode(entries).alias("order", "raw"))
     rows = rows.withColumn("raw_text", F.btrim("raw", F.lit(" \n\r\t"))).where(F.length("raw_text") >= 10)

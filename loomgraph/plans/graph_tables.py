@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.operators.graph_read import Links
 from loomgraph.sources.loaders import table
 from loomgraph.sources.shared import written
 
@@ -151,6 +152,11 @@ class GraphTables:
             out = out.unionByName(f)
         return out
 
+    @cached_property
+    def links(self) -> Links:
+        """The edges from both ends, written once for all hops of a query."""
+        return Links(self.edges)
+
 
 # --- SQL twins
 

@@ -67,12 +67,12 @@ def _seeds(t: GraphTables, some: str = "year = 1996") -> DataFrame:
 
 @query(_SCOPE + " SELECT id FROM nodes WHERE id IN (SELECT id FROM four) UNION SELECT id FROM peers")
 def grr04_document_scope(t: GraphTables) -> DataFrame:
-    return R.document_scope(t.nodes, t.edges, t.instances, _seeds(t))
+    return R.document_scope(t.nodes, t.links, t.instances, _seeds(t))
 
 
 @query(_SCOPE + " SELECT DISTINCT id FROM nodes WHERE id IN (SELECT id FROM near)")
 def grr05_in_scope(t: GraphTables) -> DataFrame:
-    return R.document_scope(t.nodes, t.edges, t.instances, _seeds(t), hops=2, peers=False).distinct()
+    return R.document_scope(t.nodes, t.links, t.instances, _seeds(t), hops=2, peers=False).distinct()
 
 
 @query(G + ", ids AS (SELECT id FROM nodes WHERE type IN ('Method', 'RelationInstance', 'Dataset')) SELECT DISTINCT source, target, type FROM edges WHERE source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids)")
@@ -80,16 +80,22 @@ def grr06_induced(t: GraphTables) -> DataFrame:
     return R.induced(t.edges, t.nodes.where("type in ('Method', 'RelationInstance', 'Dataset')"))
 
 
+@query(G + ", ids AS (SELECT id FROM nodes) SELECT DISTINCT source, target, type FROM edges WHERE source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids) ORDER BY source, target, type LIMIT 10000")
+def grr06_induced_first(t: GraphTables) -> DataFrame:
+    """Of the whole graph's edges the first 10,000, which is the feature."""
+    return R.induced(t.edges, t.nodes.select("id"), most=10_000)
+
+
 @query(_SCOPE + " SELECT type, CASE WHEN source IN (SELECT id FROM near) AND target IN (SELECT id FROM near) THEN 'in_scope' ELSE 'bridged' END AS scope, count(*) AS n FROM edges GROUP BY ALL")
 def grr07_edge_scope(t: GraphTables) -> DataFrame:
-    scope = R.within_hops(t.edges, _seeds(t), 2).select("id")
+    scope = R.within_hops(t.links, _seeds(t), 2).select("id")
     return R.edge_scope(t.edges, scope).groupBy("type", "scope").agg(F.count("*").alias("n"))
 
 
 @query(_SCOPE + """ SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE id IN (SELECT id FROM near)) AS in_scope_nodes, count(*) AS edges,
   count(*) FILTER (WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)) AS in_scope_edges, count(*) FILTER (WHERE NOT (source IN (SELECT id FROM near) AND target IN (SELECT id FROM near))) AS bridged_edges, NULL::VARCHAR AS warning FROM edges""")
 def grr08_counts(t: GraphTables) -> DataFrame:
-    return R.graph_counts(t.nodes, t.edges, R.within_hops(t.edges, _seeds(t), 2).select("id"))
+    return R.graph_counts(t.nodes, t.edges, R.within_hops(t.links, _seeds(t), 2).select("id"))
 
 
 #: The same four from another year's.
@@ -99,24 +105,24 @@ _SCOPE_OF_YEAR = _SCOPE.replace("WHERE year = 1996", f"WHERE {_YEAR}")
 
 @query(_SCOPE_OF_YEAR + " SELECT id FROM nodes WHERE id IN (SELECT id FROM four) UNION SELECT id FROM peers")
 def grr04_document_scope_of_year(t: GraphTables) -> DataFrame:
-    return R.document_scope(t.nodes, t.edges, t.instances, _seeds(t, _YEAR))
+    return R.document_scope(t.nodes, t.links, t.instances, _seeds(t, _YEAR))
 
 
 @query(_SCOPE_OF_YEAR + " SELECT DISTINCT id FROM nodes WHERE id IN (SELECT id FROM near)")
 def grr05_in_scope_of_year(t: GraphTables) -> DataFrame:
-    return R.document_scope(t.nodes, t.edges, t.instances, _seeds(t, _YEAR), hops=2, peers=False).distinct()
+    return R.document_scope(t.nodes, t.links, t.instances, _seeds(t, _YEAR), hops=2, peers=False).distinct()
 
 
 @query(_SCOPE_OF_YEAR + " SELECT type, CASE WHEN source IN (SELECT id FROM near) AND target IN (SELECT id FROM near) THEN 'in_scope' ELSE 'bridged' END AS scope, count(*) AS n FROM edges GROUP BY ALL")
 def grr07_edge_scope_of_year(t: GraphTables) -> DataFrame:
-    scope = R.within_hops(t.edges, _seeds(t, _YEAR), 2).select("id")
+    scope = R.within_hops(t.links, _seeds(t, _YEAR), 2).select("id")
     return R.edge_scope(t.edges, scope).groupBy("type", "scope").agg(F.count("*").alias("n"))
 
 
 @query(_SCOPE_OF_YEAR + """ SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE id IN (SELECT id FROM near)) AS in_scope_nodes, count(*) AS edges,
   count(*) FILTER (WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)) AS in_scope_edges, count(*) FILTER (WHERE NOT (source IN (SELECT id FROM near) AND target IN (SELECT id FROM near))) AS bridged_edges, NULL::VARCHAR AS warning FROM edges""")
 def grr08_counts_of_year(t: GraphTables) -> DataFrame:
-    return R.graph_counts(t.nodes, t.edges, R.within_hops(t.edges, _seeds(t, _YEAR), 2).select("id"))
+    return R.graph_counts(t.nodes, t.edges, R.within_hops(t.links, _seeds(t, _YEAR), 2).select("id"))
 
 
 @query(G + """, kinds AS (SELECT unnest(['Nothing', 'Method', 'Evidence,Passage']) AS kinds), picked AS (SELECT k.kinds, n.id FROM kinds k JOIN nodes n ON list_contains(string_split(k.kinds, ','), n.type)),
@@ -145,7 +151,7 @@ kept AS (SELECT id, direction, type, neighbour FROM near10 WHERE nth <= 10)"""
 
 
 def _neighbours(t: GraphTables) -> DataFrame:
-    return R.neighbours(t.edges, t.nodes, t.entities.where("type in ('Method', 'Task')").select(c("uid").alias("id")))
+    return R.neighbours(t.links, t.nodes, t.entities.where("type in ('Method', 'Task')").select(c("uid").alias("id")))
 
 
 @query(_NEAR.replace("UNION SELECT DISTINCT target, 'incoming', type, source FROM edges WHERE source <> target)", "UNION SELECT DISTINCT target, 'incoming', type, source FROM edges WHERE source <> target), have AS (SELECT id FROM nodes)").replace("FROM sides WHERE id IN", "FROM sides WHERE neighbour IN (SELECT id FROM have) AND id IN") + " SELECT * FROM kept")
@@ -157,7 +163,7 @@ def grr11_neighbours(t: GraphTables) -> DataFrame:
 def grr11_neighbours_in_scope(t: GraphTables) -> DataFrame:
     """Neighbours within four hops of the documents of one year."""
     ids = t.entities.where("type in ('Method', 'Task')").select(c("uid").alias("id"))
-    return R.neighbours(t.edges, t.nodes, ids, scope=R.document_scope(t.nodes, t.edges, t.instances, _seeds(t)))
+    return R.neighbours(t.links, t.nodes, ids, scope=R.document_scope(t.nodes, t.links, t.instances, _seeds(t)))
 
 
 @query(_NEAR.replace("FROM sides WHERE id IN", "FROM sides WHERE neighbour IN (SELECT id FROM nodes) AND id IN") + " SELECT id, type, count(*) AS n, array_to_string(list_sort(list(DISTINCT neighbour)), '|') AS neighbours FROM kept GROUP BY ALL")
@@ -247,7 +253,16 @@ def grr22_bounded(t: GraphTables) -> DataFrame:
 
 @query(G + ", u AS (SELECT source_uid AS id, target_uid AS o FROM relations UNION SELECT target_uid, source_uid FROM relations) SELECT id, array_to_string(list_sort(list(DISTINCT o)), '|') AS neighbours FROM u GROUP BY 1")
 def grr23_adjacency(t: GraphTables) -> DataFrame:
-    return flat(R.adjacency(t.relations.select(c("source_uid").alias("source"), c("target_uid").alias("target"))), "neighbours")
+    """Every list's parts put together again, as the SQL has them."""
+    parts = R.adjacency(t.relations.select(c("source_uid").alias("source"), c("target_uid").alias("target")))
+    return flat(parts.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("neighbours"))).alias("neighbours")), "neighbours")
+
+
+@query(G + ", u AS (SELECT source_uid AS id, target_uid AS o FROM relations UNION SELECT target_uid, source_uid FROM relations) SELECT id, o AS neighbour FROM u")
+def grr23_adjacency_parts(t: GraphTables) -> DataFrame:
+    """The same in parts of eight: no part is longer, and each neighbour is in one."""
+    parts = R.adjacency(t.relations.select(c("source_uid").alias("source"), c("target_uid").alias("target")), most=8)
+    return parts.where(F.size("neighbours") <= 8).select("id", F.explode("neighbours").alias("neighbour"))
 
 
 @query(PROVENANCE.replace("SELECT e.uid", "SELECT DISTINCT p.document_id, r.source_uid AS method_uid, e.uid AS evidence_uid, e.confidence FROM evidence e JOIN relations r ON r.uid = e.relation_uid JOIN passages p ON p.passage_id = e.passage_id WHERE r.type = 'USES' --") .split("--")[0])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.operators import evaluation as E
 from loomgraph.operators import vectors as V
@@ -153,36 +154,75 @@ def str03_durations(t: GraphTables) -> DataFrame:
     return J.stage_durations(J.split_stages(job_events(t))[0])
 
 
-def _drained(t: GraphTables, source: DataFrame, build, mode: str) -> DataFrame:  # noqa: ANN001
-    """Runs a stream over the rows of a frame, as files in the shared folder, until it has read them all; gives what it wrote."""
+def _fed(t: GraphTables, source: DataFrame, by: str, times: int = 3) -> tuple[str, DataFrame]:
+    """A folder, and a stream of the rows of a frame that reads one of a few files a batch: one after another in the order of a column."""
     at = new_path(t.spark, "stream")
-    source.repartition(3).write.parquet(f"{at}/in")
-    stream = build(t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
-    sink = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/{n}")
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    source.repartitionByRange(times, by).sortWithinPartitions(by).withColumn("nth", F.spark_partition_id()).write.partitionBy("nth").parquet(f"{at}/all")
+    for k in range(times):  # the stream reads the oldest file first
+        part = t.spark.read.schema(T.StructType([*source.schema.fields, T.StructField("nth", T.IntegerType())])).parquet(f"{at}/all").where(c("nth") == k)
+        part.select(*source.columns).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return at, t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+def _run(stream: DataFrame, at: str, sink, mode: str = "append") -> None:  # noqa: ANN001
+    """Until it has read all there is: a state with timeouts would else ask for one batch without data after another."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(sink).start()
+    conf.set(name, before)
+    query.awaitTermination()
+
+
+def _drained(t: GraphTables, source: DataFrame, build, mode: str, by: str) -> DataFrame:  # noqa: ANN001
+    """What a stream over the rows of a frame wrote, with the number of its batch."""
+    at, stream = _fed(t, source, by)
+    _run(build(stream), at, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/{n}"), mode)
     return t.spark.read.parquet(f"{at}/out/*")
 
 
 @query(_LAST)
 def str01_job_stream(t: GraphTables) -> DataFrame:
-    """The same states from a stream with a state per job; each job's last row counts."""
-    out = _drained(t, job_events(t), J.stream_states, "update")
+    """The same states from a stream with a state per job, its events in no order; each job's last row counts."""
+    rows = job_events(t).withColumn("mixed", F.xxhash64("seq"))
+    out = _drained(t, rows, J.stream_states, "update", "mixed")
     return out.groupBy("job_id").agg(F.max_by(F.struct("stage", "status", "error", "n_events", "details"), "batch").alias("x")).select("job_id", "x.*")
 
 
-@query("SELECT count(DISTINCT md5(text)) AS n FROM documents")
+@query(ORACLES["str03_durations"])
+def str03_duration_stream(t: GraphTables) -> DataFrame:
+    """The same durations from a stream of the events in their order."""
+    return _drained(t, job_events(t), J.stream_durations, "append", "ts").drop("batch")
+
+
+def _arrivals(t: GraphTables) -> DataFrame:
+    """Documents as they arrive, some a day: copies come within the watermark and long after it."""
+    day = F.make_interval(days=(c("doc_id") * 60 / F.lit(1000)).cast("int"))
+    return L.text_hashes(t.raw("documents")).select("doc_id", "file_hash", (F.lit("2024-01-01").cast("timestamp") + day).alias("arrived_at"))
+
+
+@query("SELECT DISTINCT md5(text) AS file_hash FROM documents")
 def str04_arrivals(t: GraphTables) -> DataFrame:
-    rows = L.text_hashes(t.raw("documents")).select("doc_id", "file_hash", F.lit("2024-01-01").cast("timestamp").alias("arrived_at"))
-    return _drained(t, rows, J.stream_arrivals, "append").agg(F.count("*").alias("n"))
+    """Each hash once: near repeats go in the stream's state, later ones by the registry."""
+    rows = _arrivals(t)
+    at, stream = _fed(t, rows, "doc_id")
+    _run(J.stream_arrivals(stream), at, J.arrivals_sink(f"{at}/registry"))
+    return J.registered(t.spark, f"{at}/registry", rows.schema).select("file_hash")
+
+
+@query("SELECT md5(text) AS file_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def str04_first_arrivals(t: GraphTables) -> DataFrame:
+    """The first document of each hash: no state in the stream, the registry alone decides."""
+    rows = _arrivals(t)
+    at, stream = _fed(t, rows, "doc_id")
+    _run(J.stream_arrivals(stream, watermark=None), at, J.arrivals_sink(f"{at}/registry", first=("doc_id",)))
+    return J.registered(t.spark, f"{at}/registry", rows.schema).select("file_hash", "doc_id")
 
 
 @query("SELECT source AS document_id, arg_max(md5(text), doc_id) AS file_hash, arg_max(lang, doc_id) AS lang FROM documents GROUP BY 1")
 def str05_upserts(t: GraphTables) -> DataFrame:
     """Batches of documents upserted into a table that starts empty."""
     rows = t.raw("documents").select(c("source").alias("document_id"), F.md5("text").alias("file_hash"), "lang", c("doc_id").alias("seq"))
-    at = new_path(t.spark, "stream")
-    sink = J.upsert_sink(f"{at}/table", ["document_id"])
-    rows.repartition(3).write.parquet(f"{at}/in")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    stream.writeStream.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    at, stream = _fed(t, rows, "seq")
+    _run(stream, at, J.upsert_sink(f"{at}/table", ["document_id"]))
     return J.upserted(t.spark, f"{at}/table", rows.schema).drop("seq")

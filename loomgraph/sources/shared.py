@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.sources.files import Files
+
 
 #: Temporary folders of local sessions, by application.
 _LOCAL: dict[str, str] = {}
@@ -19,7 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="spark-shared-")
+        found = _LOCAL[application]
     return f"{found.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
 
 
@@ -28,14 +33,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Deletes all that this application has written there. Frames that read it can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: What was written, in order: paths by application.
+_STAGES: dict[str, list[str]] = {}
+
+
+def mark(spark: SparkSession) -> int:
+    """The place in the list of stages, for :func:`drop_stages`."""
+    return len(_STAGES.get(spark.sparkContext.applicationId, []))
+
+
+def drop_stages(spark: SparkSession, since: int | None = None, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes what this application has written there: all, or what was written since a mark, but for the stages that some frames
+    read. Other frames that read it can't be used any more."""
+    files, stages = Files(spark), _STAGES.setdefault(spark.sparkContext.applicationId, [])
+    if since is None:
+        files.delete(shared_dir(spark))
+        stages.clear()
+        return
+    read = {f for df in keep for f in df.inputFiles()}
+    stay = [p for p in stages[since:] if any(f"/{p.rpartition('/')[2]}/" in f for f in read)]
+    for path in stages[since:]:
+        if path not in stay:
+            files.delete(path)
+    stages[since:] = stay
+
+
+def _new_stage(spark: SparkSession, name: str) -> str:
+    path = new_path(spark, name)
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """The frame, written to the shared folder and read back: it is computed once, and what follows is planned by its real size."""
-    path = new_path(df.sparkSession, name)
+    path = _new_stage(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str = "buckets", buckets: int | None = None) -> DataFrame:
+    """As :func:`written`, in buckets by some keys and sorted within them: a join by these keys moves the other side only. There are as many
+    buckets as shuffle partitions."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"loomgraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", _new_stage(spark, name)).saveAsTable(table)
+    return spark.table(table)
