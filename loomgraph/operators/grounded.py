@@ -135,7 +135,7 @@ def fallback_candidates(asked: DataFrame, local: DataFrame, entities: DataFrame,
     kinds = need.select("cited", "kinds", "scope", F.explode(F.array_distinct(F.when(F.size("node_types") == 0, every).otherwise(c("node_types")))).alias("type")).distinct()
     rows = found.join(entities.where(c("type").isin(*S.ENTITY_TYPES)), "uid").withColumn("scope", F.lit(""))
     if scope_fallback:
-        there = entity_documents.select(c("entity_uid").alias("uid"), c("document_id").alias("scope"))
+        there = entity_documents.select(c("entity_uid").alias("uid"), c("document_id").alias("scope")).distinct()
         rows = rows.unionByName(rows.drop("scope").join(there, "uid").select(*rows.columns))
     rows = rows.withColumn("cited", F.explode(F.array(F.lit(True), F.lit(False))))
     first = F.when(c("cited"), c("n_citations")).otherwise(c("n_evidence"))
