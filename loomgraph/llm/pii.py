@@ -53,7 +53,7 @@ def _luhn(digits: str) -> bool:
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at = 0
-    while "@" in text:
+    while text.find("@", at) >= 0:
         m = (at and _EMAIL_HERE.match(text, at)) or _EMAIL.search(text, at)
         if not m:
             return

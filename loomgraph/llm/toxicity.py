@@ -96,6 +96,18 @@ def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.array(r, dtype=np.int64) for r in rows] or [np.empty(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
+def penalised(theta: np.ndarray, bias: float, y: np.ndarray, w: np.ndarray, texts: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], strength: float, l2: float) -> tuple[float, np.ndarray]:
+    """The loss and its gradient: the weighted log loss of the texts, ``strength`` times the weighted square of the change to their
+    counterfactuals' scores, and half of l2 times the squared weights. Texts and others are the rows and columns of their features."""
+    (rows, cols), (rows2, cols2), n, d = texts, others, len(y), len(theta)
+    p = 1 / (1 + np.exp(-(np.bincount(rows, theta[cols], n) + bias)))
+    p2 = 1 / (1 + np.exp(-(np.bincount(rows2, theta[cols2], n) + bias)))
+    loss = -(w * (y * np.log(np.maximum(p, 1e-300)) + (1 - y) * np.log(np.maximum(1 - p, 1e-300)))).sum() + strength * (w * (p - p2) ** 2).sum() + l2 / 2 * (theta**2).sum()
+    gap = 2 * strength * w * (p - p2)
+    g1, g2 = w * (p - y) + gap * p * (1 - p), -gap * p2 * (1 - p2)
+    return float(loss), np.append(np.bincount(cols, g1[rows], d) + np.bincount(cols2, g2[rows2], d) + l2 * theta, g1.sum() + g2.sum())
+
+
 def fit(texts: list[str], toxic: list[int], weight: list[float], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, strength: float = 2.0, n_features: int = 4000, min_texts: int = 3, rounds: int = 400, rate: float = 0.05, l2: float = 3e-4, seed: int = 3) -> ToxicityModel:
     """Adam over all sample texts at once, with class weights as given and the counterfactual penalty."""
     y, w = np.array(toxic, dtype=np.float64), np.array(weight, dtype=np.float64)
@@ -131,15 +143,11 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], groups: tuple[t
             other.append(ws | {terms[rng.integers(len(terms))]})
     cols, rows = _csr([sorted(at[x] for x in of(ws) if x in at) for ws in words])
     cols2, rows2 = _csr([sorted(at[x] for x in of(ws) if x in at) for ws in other])
-    n, d = len(texts), len(common)
+    d = len(common)
     theta, bias = np.zeros(d), np.log(share / (1 - share))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(rows, theta[cols], n) + bias)))
-        p2 = 1 / (1 + np.exp(-(np.bincount(rows2, theta[cols2], n) + bias)))
-        gap = 2 * strength * w * (p - p2)
-        g1, g2 = w * (p - y) + gap * p * (1 - p), -gap * p2 * (1 - p2)
-        grad = np.append(np.bincount(cols, g1[rows], d) + np.bincount(cols2, g2[rows2], d) + l2 * theta, g1.sum() + g2.sum())
+        _, grad = penalised(theta, bias, y, w, (rows, cols), (rows2, cols2), strength, l2)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         theta, bias = theta - step[:-1], bias - step[-1]
@@ -152,7 +160,8 @@ def held_out(doc_id):  # noqa: ANN001, ANN201
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> ToxicityModel:
     """Fit on about ``per_class`` labelled texts of each class (the documented bound), drawn by hash from rows that aren't
-    held out and weighted back to the classes' shares. Copies of a text count once. Texts become sets of words where they are: what goes
+    held out and weighted back to the classes' shares. Where ids repeat with ever other texts, a hash of the texts thins what was drawn to
+    about four times ``per_class`` in all, which is the bound then. Copies of a text count once. Texts become sets of words where they are: what goes
     to the driver is bounded by a text's different words, not by its length."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
@@ -170,7 +179,6 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Toxicity
     # ids are distinct, so that the draw's shares are its bound: the drawn labels are few and go to the documents, whose texts needn't move
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
     rows = materialise(rows.mapInPandas(sets, "key string, toxic int, words string").distinct(), "toxicity-sample")
-    # ids that repeat with ever other texts can bring more rows than were drawn
     thin = F.pmod(F.xxhash64(F.lit("thin"), "key"), F.lit(1_000_000)) * F.lit(rows.count()) < F.lit(1_000_000 * 4 * per_class)
     texts = sorted((r.key, r.toxic, r.words) for r in rows.where(thin).toLocalIterator())
     return fit([t for *_, t in texts], [x for _, x, _ in texts], [1 / share[x] for _, x, _ in texts])

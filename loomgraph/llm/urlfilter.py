@@ -47,10 +47,13 @@ def rule_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = RU
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """of, rules: for each distinct host that a rule's host fits, those rules, the longest first.
 
-    A host is looked up by its suffixes, so a rule list of any size is an equi-join; paths are compared later, row by row."""
+    A host is looked up by its suffixes, so a rule list of any size is an equi-join; paths are compared later, row by row. No suffix has
+    more labels than the longest host of a rule, whatever the host has."""
     labels = F.split("of", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = hosts.where("of <> ''").distinct().withColumn("rule_host", F.explode(suffixes))
+    most = rules.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1
+    last = F.slice(labels, -F.least(F.lit(most), F.size(labels)), most)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("last")), lambda i: F.array_join(F.slice("last", -i, i), "."))
+    keys = hosts.where("of <> ''").distinct().withColumn("last", last).select("of", F.explode(suffixes).alias("rule_host"))
     name = F.concat("rule_host", "rule_path")
     rule = F.struct(F.length(name).alias("n"), F.length("rule_host").alias("h"), name.alias("rule"), F.col("rule_path").alias("start"), F.col("rule_verdict").alias("verdict"))
     return keys.join(rules, "rule_host").groupBy("of").agg(F.sort_array(F.collect_list(rule), asc=False).alias("rules"))
