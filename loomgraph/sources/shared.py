@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +34,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: What was written, in order: paths by application.
-_STAGES: dict[str, list[str]] = {}
+#: What was written, in order: paths by application and thread.
+_STAGES: dict[tuple[str, int], list[str]] = {}
+
+
+def _stages(spark: SparkSession) -> list[str]:
+    return _STAGES.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def mark(spark: SparkSession) -> int:
-    """The place in the list of stages, for :func:`drop_stages`."""
-    return len(_STAGES.get(spark.sparkContext.applicationId, []))
+    """The place in this thread's list of stages, for :func:`drop_stages`."""
+    return len(_stages(spark))
 
 
 def drop_stages(spark: SparkSession, since: int | None = None, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Deletes what this application has written there: all, or what was written since a mark, but for the stages that some frames
-    read. Other frames that read it can't be used any more."""
-    files, stages = Files(spark), _STAGES.setdefault(spark.sparkContext.applicationId, [])
+    """Deletes what this application has written there: all, or what this thread has written since a mark, but for the stages that some
+    frames read. Other frames that read it can't be used any more."""
+    files, stages = Files(spark), _stages(spark)
     if since is None:
         files.delete(shared_dir(spark))
         stages.clear()
@@ -60,7 +65,7 @@ def drop_stages(spark: SparkSession, since: int | None = None, keep: tuple[DataF
 
 def _new_stage(spark: SparkSession, name: str) -> str:
     path = new_path(spark, name)
-    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _stages(spark).append(path)
     return path
 
 

@@ -372,6 +372,11 @@ def test_stages_can_be_dropped(spark, monkeypatch, tmp_path):
 
     monkeypatch.setattr(shared, "shared_dir", lambda s: str(tmp_path / "app"))  # not the folder of the other tests
     assert shared.written(spark.range(3)).count() == 3 and list((tmp_path / "app").iterdir())
+    since = shared.mark(spark)
+    gone, kept = shared.written(spark.range(4), "gone"), shared.written(spark.range(5), "kept")
+    shared.drop_stages(spark, since, keep=(kept,))
+    names = sorted(p.name.split("-")[0] for p in (tmp_path / "app").iterdir())
+    assert names == ["kept", "stage"] and kept.count() == 5 and gone is not None
     shared.drop_stages(spark)
     assert not (tmp_path / "app").exists() and tmp_path.exists()
 
