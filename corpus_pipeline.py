@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import bpe, langid, linededup, mixing, simhash
 from loomgraph.llm.common import fresh, materialise
 from loomgraph.llm.queries import tokenizer_path
+from loomgraph.sources.shared import drop_stages, mark
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet and read again. What led to a stage's rows is deleted once they are written."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark(spark)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-").lower())
+        drop_stages(spark, since, keep=(docs,))
     return docs
