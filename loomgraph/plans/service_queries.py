@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from loomgraph.operators import evaluation as E
 from loomgraph.operators import vectors as V
+from loomgraph.plans.chunk_sql import chunks as chunk_sql
 from loomgraph.plans.graph_tables import GraphTables, c, cat
 from loomgraph.plans.structure_queries import flat
 from loomgraph.sources import loaders as L
@@ -64,7 +65,10 @@ def vec05_chunk_table(t: GraphTables) -> DataFrame:
     return V.chunk_table(texts, t.raw("embeddings").select(c("vec_id").alias("chunk_id"), "embedding", "label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query()
+_CHUNK_TEXTS = "texts AS (SELECT 'doc:' || doc_id AS rid, source, coalesce(text, '') AS text FROM documents)"
+
+
+@query(f"WITH RECURSIVE {_CHUNK_TEXTS}, {chunk_sql('texts', 1000, 200)} SELECT 'chunk:' || md5(rid || '|1|' || chunk_no)[:12] AS chunk_id, rid AS document_id, source, 1 AS page, chunk_no, md5(chunk) AS text_md5, length(chunk)::INT AS n_chars FROM chunks JOIN texts USING (rid)")
 def vec05_built_chunks(t: GraphTables) -> DataFrame:
     """Every document's chunks of 1,000 characters, each 200 into the one before."""
     pages = t.raw("documents").select(cat("doc:", c("doc_id")).alias("document_id"), "source", F.lit(1).alias("page"), "text")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import structure as D
+from loomgraph.plans.chunk_sql import chunks
 from loomgraph.sources import loaders as L
 
 
@@ -196,7 +197,22 @@ links AS (
   UNION
   SELECT DISTINCT c.document_id, c.passage_id, c.start_char, r."order", 0.7::DOUBLE FROM (SELECT *, unnest(labels) AS key FROM citations WHERE len(keys) = 0) c JOIN by_label r USING (document_id, key))"""
 
+_BODIES = _LINES + """,
+o AS (SELECT *, (count(*) FILTER (WHERE is_heading) OVER (PARTITION BY document_id ORDER BY page_number, pos) - 1)::INT AS ordinal FROM lines),
+bodies AS (SELECT document_id, ordinal, trim(string_agg(line, chr(10) ORDER BY page_number, pos)) AS body FROM o WHERE ordinal >= 0 AND NOT is_heading GROUP BY ALL),
+texts AS (SELECT document_id || '#' || ordinal AS rid, document_id, ordinal, body AS text FROM bodies LEFT JOIN boundary USING (document_id) WHERE coalesce(ordinal < boundary, true))"""
+_PASSAGES = _BODIES + ",\n" + chunks("texts", 1600, 200) + """,
+passages AS (
+  SELECT 'pass:' || md5(document_id || '|' || i)[:12] AS passage_id, document_id, i AS index, ordinal, chunk AS text FROM (
+    SELECT document_id, ordinal, chunk, (row_number() OVER (PARTITION BY document_id ORDER BY ordinal, chunk_no) - 1)::INT AS i FROM chunks JOIN texts USING (rid)))"""
+_PASSAGE_CITES = _PASSAGES + _CITES[len(_REFS) :].replace("document_id || ':' || page_number", "passage_id").replace("FROM pages", "FROM passages")
+_RAW_TEXTS = "texts AS (SELECT 'doc:' || doc_id AS rid, coalesce(text, '') AS text FROM documents)"
+
 ORACLES = {
+    "doc08_passages": f"WITH RECURSIVE {_PASSAGES} SELECT passage_id, document_id, index, ordinal, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM passages",
+    "doc27_passage_report": f"""WITH RECURSIVE {_PASSAGE_CITES} SELECT document_id, 3::BIGINT AS n_pages, (SELECT count(*) FROM sections s WHERE s.document_id = d.document_id) AS n_sections,
+      (SELECT count(*) FROM passages s WHERE s.document_id = d.document_id) AS n_passages, (SELECT count(*) FROM citations s WHERE s.document_id = d.document_id) AS n_citations FROM base d""",
+    "doc28_raw_passages": f"WITH RECURSIVE {_RAW_TEXTS}, {chunks('texts', 1600, 200)} SELECT 'pass:' || md5(rid || '|' || chunk_no)[:12] AS passage_id, rid AS document_id, chunk_no AS index, length(chunk)::INT AS n_chars FROM chunks",
     "doc01_sections": f"WITH {_LINES} SELECT * FROM sections",
     "doc05_boundary": f"WITH {_LINES} SELECT * FROM boundary",
     "doc06_bodies": f"""WITH {_LINES},
