@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from loomgraph.operators import graph_read as R
 from loomgraph.operators import grounded as Q
 from loomgraph.operators import linking as K
 from loomgraph.operators import structure as D
+from loomgraph.operators import vectors as V
 
 ASKED = "question_id string, document_id string, node_types array<string>, tokens array<string>, intent string"
 
@@ -188,3 +190,31 @@ def test_nothing_goes_beyond_a_million(spark):
     assert (r.n, r.w) == (1_200_002, 1_100_000)
     pages = spark.createDataFrame([("d", 1, "References\n" + "\n".join(f"[{i}] entry {i}" for i in range(1_050_000)))], "document_id string, page_number int, text string")
     assert D.reference_entries(pages).agg(F.max("order")).first()[0] == 1_049_999
+
+
+def test_top_k_from_the_shards_that_may_win(spark, monkeypatch):
+    """Equal to all pairs on odd vectors, and fewer pairs where vectors lie together."""
+    monkeypatch.setattr(V, "SHARD", 64)
+    monkeypatch.setattr(V, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 16))
+    shares = {}
+    for n in (600, 2400):
+        x = centres[rng.integers(0, 12, n)] + 0.05 * rng.standard_normal((n, 16))
+        x[:40], x[40:44], x[44:60] = x[0], 0, rng.standard_normal((16, 16))
+        rows = [(i, [float(v) for v in r], f"d{i % 3}" if i % 5 else "hot") for i, r in enumerate(x)] + [(-1, None, "d0"), (-2, [None, 1.0], "d0")]
+        chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, document_id string").repartition(5)
+        asked = chunks.where("chunk_id % 20 = 0 or chunk_id < 45").select(F.col("chunk_id").alias("query_id"), "embedding", "document_id")
+        norm = np.linalg.norm(x, axis=1)
+        near = np.divide(x @ x.T, np.outer(norm, norm), out=np.zeros((n, n)), where=np.outer(norm, norm) > 0).round(9)
+        for positive, by in ((True, False), (False, False), (True, True)):
+            want = set()
+            for q in [i for i in range(n) if i % 20 == 0 or i < 45]:
+                order = sorted((-near[q, i], i) for i in range(n) if (not positive or near[q, i] > 0) and (not by or rows[i][2] == rows[q][2]))[:6]
+                want |= {(q, i, k, round(-s, 6)) for k, (s, i) in enumerate(order, 1)}
+            got = {(r.query_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in V.top_k(asked, chunks, 6, positive, by).collect()}
+            assert got == want
+        shares[n] = V.pairs_scored(asked, chunks, 6) / asked.where("query_id >= 0").count() / n
+    assert shares[2400] < 0.5, shares
+    none = spark.createDataFrame([], "chunk_id long, embedding array<double>, document_id string")
+    assert V.top_k(asked, none).count() == 0 and V.top_k(none.withColumnRenamed("chunk_id", "query_id"), chunks).count() == 0
