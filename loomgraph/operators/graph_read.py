@@ -265,6 +265,23 @@ def provenance(evidence: DataFrame, relations: DataFrame, passages: DataFrame, s
     return rows.join(documents.select("document_id", F.col("title").alias("document_title")), "document_id")
 
 
+#: How the tables of traces lie: evidence with its relation, and passages with their section and document, both by passage.
+TRACE_KEYS = {"traced_evidence": ["passage_id"], "traced_passages": ["passage_id"]}
+
+
+def trace_tables(evidence: DataFrame, relations: DataFrame, passages: DataFrame, sections: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a snapshot from which traces are read without moving a row: what :func:`provenance` joins by other keys than the passage is
+    joined when the snapshot is written, once for all reads."""
+    of = relations.select(F.col("uid").alias("relation_uid"), F.col("type").alias("relation_type"), "source_uid", "target_uid")
+    where = passages.select("passage_id", "section_id", "document_id", "page_number").join(sections.select("section_id", F.col("title").alias("section_title")), "section_id").join(documents.select("document_id", F.col("title").alias("document_title")), "document_id")
+    return {"traced_evidence": evidence.select(F.col("uid").alias("evidence_uid"), "relation_uid", "passage_id", "confidence").join(of, "relation_uid"), "traced_passages": where}
+
+
+def traces(snapshot: dict[str, DataFrame]) -> DataFrame:
+    """:func:`provenance` from a snapshot of :func:`trace_tables` that lies by :data:`TRACE_KEYS`."""
+    return snapshot["traced_evidence"].join(snapshot["traced_passages"], "passage_id")
+
+
 def one_hop(relations: DataFrame) -> DataFrame:
     """id, direction, type, other: an entity's neighbours through relation instances, both ways."""
     out = relations.select(F.col("source_uid").alias("id"), F.lit("out").alias("direction"), "type", F.col("target_uid").alias("other"))

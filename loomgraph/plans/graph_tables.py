@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators.graph_read import Links
-from loomgraph.sources.loaders import table
-from loomgraph.sources.shared import written
+from loomgraph.operators.graph_read import TRACE_KEYS, Links, trace_tables, traces
+from loomgraph.sources.loaders import read_snapshot, table, write_snapshot
+from loomgraph.sources.shared import new_path, written
 
 
 def cat(*parts):  # noqa: ANN002, ANN201
@@ -157,6 +157,14 @@ class GraphTables:
         """The edges from both ends, written once for all hops of a query."""
         return Links(self.edges)
 
+    @cached_property
+    def traces(self) -> DataFrame:
+        """Traces from a snapshot, written and read back."""
+        path = new_path(self.spark, "snapshot")
+        tables = trace_tables(self.evidence, self.relations, self.passages, self.sections, self.documents)
+        write_snapshot(tables, path, TRACE_KEYS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return traces(read_snapshot(self.spark, path, list(tables)))
+
 
 # --- SQL twins
 

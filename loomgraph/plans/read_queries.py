@@ -286,6 +286,23 @@ def grr27_task_documents(t: GraphTables) -> DataFrame:
     return rows.join(t.documents.select("document_id", "year"), "document_id").select("task_uid", "document_id", "year")
 
 
+@query(PROVENANCE)
+def grr25_traces(t: GraphTables) -> DataFrame:
+    """The same traces from a snapshot that lies by passage."""
+    return t.traces.select("evidence_uid", "relation_uid", "passage_id", "confidence", "relation_type", "source_uid", "target_uid", "section_id", "document_id", "page_number", "section_title", "document_title")
+
+
+@query(ORACLES["grr24_document_methods"])
+def grr24_traced_methods(t: GraphTables) -> DataFrame:
+    return t.traces.where("relation_type = 'USES'").select("document_id", c("source_uid").alias("method_uid"), "evidence_uid", "confidence")
+
+
+@query(ORACLES["grr27_task_documents"])
+def grr27_traced_documents(t: GraphTables) -> DataFrame:
+    rows = t.traces.where("relation_type = 'EVALUATED_ON'").select(c("target_uid").alias("task_uid"), "document_id").distinct()
+    return rows.join(t.documents.select("document_id", "year"), "document_id").select("task_uid", "document_id", "year")
+
+
 @query(G + " SELECT source_uid AS id, 'out' AS direction, type, target_uid AS other FROM relations UNION ALL SELECT target_uid, 'in', type, source_uid FROM relations")
 def grr28_one_hop(t: GraphTables) -> DataFrame:
     return R.one_hop(t.relations)

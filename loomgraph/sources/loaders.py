@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph import schemas as S
+from loomgraph.sources.buckets import read_buckets, write_buckets
+from loomgraph.sources.files import Files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,14 +83,18 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """One distributed write for each table of the graph."""
+def write_snapshot(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] | None = None, buckets: int = 64) -> None:
+    """One distributed write for each table of the graph; those with keys lie in buckets by them, and are joined by them where they lie."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        if keys and name in keys:
+            write_buckets(df, f"{path}/{name}", keys[name], buckets)
+        else:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_snapshot(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    lies = lambda n: Files(spark).read_text(f"{path}/{n}/_layout.json") is not None
+    return {n: read_buckets(spark, f"{path}/{n}") if lies(n) else spark.read.parquet(f"{path}/{n}") for n in names}
 
 
 def said(c: str) -> Column:

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.sources.buckets import read_buckets, write_buckets
 from loomgraph.sources.files import Files
 
 
@@ -80,7 +81,6 @@ def bucketed(df: DataFrame, keys: list[str], name: str = "buckets", buckets: int
     """As :func:`written`, in buckets by some keys and sorted within them: a join by these keys moves the other side only. There are as many
     buckets as shuffle partitions."""
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"loomgraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", _new_stage(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    path = _new_stage(spark, name)
+    write_buckets(df, path, keys, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_buckets(spark, path)

@@ -13,6 +13,8 @@ from loomgraph.operators import grounded as Q
 from loomgraph.operators import linking as K
 from loomgraph.operators import structure as D
 from loomgraph.operators import vectors as V
+from loomgraph.sources import loaders as L
+from loomgraph.sources.buckets import read_buckets
 
 ASKED = "question_id string, document_id string, node_types array<string>, tokens array<string>, intent string"
 
@@ -218,3 +220,29 @@ def test_top_k_from_the_shards_that_may_win(spark, monkeypatch):
     assert shares[2400] < 0.5, shares
     none = spark.createDataFrame([], "chunk_id long, embedding array<double>, document_id string")
     assert V.top_k(asked, none).count() == 0 and V.top_k(none.withColumnRenamed("chunk_id", "query_id"), chunks).count() == 0
+
+
+def test_traces_are_read_where_they_lie(spark, tmp_path):
+    """No row of evidence, relations or passages moves, in a session that has forgotten the names too; a snapshot can be written again."""
+    n = 300
+    evidence = spark.range(n).selectExpr("concat('e', id) uid", "concat('r', id % 40) relation_uid", "concat('p', id % 70) passage_id", "id / 7 confidence")
+    relations = spark.range(40).selectExpr("concat('r', id) uid", "'USES' type", "'a' source_uid", "'b' target_uid")
+    passages = spark.range(60).selectExpr("concat('p', id) passage_id", "concat('s', id % 9) section_id", "concat('d', id % 4) document_id", "1 page_number")
+    sections, documents = spark.range(9).selectExpr("concat('s', id) section_id", "'t' title"), spark.range(4).selectExpr("concat('d', id) document_id", "'u' title")
+    parts = (evidence, relations, passages, sections, documents)
+    want = sorted(map(tuple, R.provenance(*parts).select(*sorted(R.provenance(*parts).columns)).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for path in (f"{tmp_path}/it's one", f"{tmp_path}/two"):
+            for k in (6, 4):
+                L.write_snapshot(R.trace_tables(*parts), path, R.TRACE_KEYS, k)
+                for t in spark.catalog.listTables():
+                    if t.name.startswith("loomgraph_") and not t.isTemporary:
+                        spark.sql(f"DROP TABLE {t.name}")
+                found = R.traces(L.read_snapshot(spark, path, list(R.TRACE_KEYS)))
+                assert "Exchange" not in plan_of(found) and plan_of(found).count("Bucketed: true") == 2
+                assert sorted(map(tuple, found.select(*sorted(found.columns)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError, match="buckets"):
+        read_buckets(spark, str(tmp_path))
