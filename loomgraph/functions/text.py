@@ -188,11 +188,17 @@ def title_guess(text: Column) -> Column:
     return F.when((F.size(parts) >= 3) & (F.length(guess) > 10) & (F.length(guess) < 300), guess)
 
 
-def numeric_key(text: Column, order: Column) -> Column:
-    """The number that an entry begins with, else its place; a number of more than 18 digits is none."""
+def entry_number(text: Column, order: Column) -> Column:
+    """The number that an entry begins with, of any number of digits, as text without leading zeros; else its place."""
     key = F.regexp_extract(text, NUMBERED_ENTRY, 1)
     key = F.when(key != "", key).otherwise(F.regexp_extract(text, NUMBERED_ENTRY, 2))
-    return F.coalesce(key.try_cast("long"), (order + 1).cast("long"))
+    return F.when(key != "", F.regexp_replace(key, r"^0+(?=\d)", "")).otherwise((order + 1).cast("string"))
+
+
+def numeric_key(text: Column, order: Column) -> Column:
+    """The number that an entry begins with, else its place, as a number; its place too for a number of more than 18 digits, which
+    :func:`entry_number` has."""
+    return F.coalesce(entry_number(text, order).try_cast("long"), (order + 1).cast("long"))
 
 
 def lead_author(text: Column) -> Column:

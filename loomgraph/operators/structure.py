@@ -160,7 +160,7 @@ def reference_block(pages: DataFrame) -> DataFrame:
 
 
 def reference_entries(pages: DataFrame) -> DataFrame:
-    """reference_id, document_id, order, raw_text, year, title_guess, author_guess, key_numeric, key_author_year."""
+    """reference_id, document_id, order, raw_text, year, title_guess, author_guess, key_numeric, entry_number, key_author_year."""
     block = F.concat(F.lit("\n"), F.col("block"))
     bracket, dotted = (F.split(block, rf"\n(?={p})") for p in (r"\[\d+\]", r"\d+\.\s"))
     blank = F.filter(F.split("block", r"\n\s*\n"), lambda e: F.trim(e) != "")
@@ -170,7 +170,7 @@ def reference_entries(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("raw_text", F.btrim("raw", F.lit(" \n\r\t"))).where(F.length("raw_text") >= 10)
     raw, order = F.col("raw_text"), F.col("order")
     author, year = X.lead_author(raw), X.last_year(raw)
-    return rows.select(short_id("ref:", F.col("document_id"), order).alias("reference_id"), "document_id", "order", "raw_text", year.alias("year"), X.title_guess(raw).alias("title_guess"), author.alias("author_guess"), X.numeric_key(raw, order).alias("key_numeric"), X.author_year_key(author, year).alias("key_author_year"))
+    return rows.select(short_id("ref:", F.col("document_id"), order).alias("reference_id"), "document_id", "order", "raw_text", year.alias("year"), X.title_guess(raw).alias("title_guess"), author.alias("author_guess"), X.numeric_key(raw, order).alias("key_numeric"), X.entry_number(raw, order).alias("entry_number"), X.author_year_key(author, year).alias("key_author_year"))
 
 
 # --- citations
@@ -191,8 +191,9 @@ def inline_citations(found: DataFrame) -> DataFrame:
 def citation_links(citations: DataFrame, references: DataFrame) -> DataFrame:
     """citation_id, document_id, reference_id, confidence: by number at 1.0, else by author and year at 0.7. Of references
     that share a key, the last counts. A range that isn't spelt out links to what lies between its bounds."""
-    numbered = references.groupBy("document_id", F.col("key_numeric").alias("number")).agg(F.max_by("reference_id", "order").alias("reference_id"))
-    by_number = numbered.withColumn("key", F.col("number").cast("string")).drop("number")
+    said = F.col("entry_number") if "entry_number" in references.columns else F.col("key_numeric").cast("string")
+    by_number = references.groupBy("document_id", said.alias("key")).agg(F.max_by("reference_id", "order").alias("reference_id"))
+    numbered = by_number.withColumn("number", F.col("key").try_cast("long")).drop("key")
     by_label = references.where("key_author_year is not null").groupBy("document_id", F.col("key_author_year").alias("key")).agg(F.max_by("reference_id", "order").alias("reference_id"))
     low, high = X.range_bounds(F.col("key"))
     keys = citations.select("citation_id", "document_id", F.explode("keys").alias("key"))

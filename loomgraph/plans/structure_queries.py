@@ -55,7 +55,7 @@ def doc08_sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc11_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.reference_entries(pages(spark, sf_dir)).drop("reference_id")
+    return D.reference_entries(pages(spark, sf_dir)).drop("reference_id", "entry_number")
 
 
 def doc19_citations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,28 @@ def test_citations_of_long_numbers_and_wide_ranges(spark):
     assert got == sorted([("[12345678901]", "r12345678901"), ("[1-5000]", "s1"), ("[2]", "r2"), ("[3-2000000000]", "r3"), ("[3-2000000000]", "r4"), ("[4-2]", "r2"), ("[4-2]", "r3"), ("[4-2]", "r4")])
 
 
+def test_entries_are_linked_by_numbers_of_any_length(spark):
+    long = "1" * 30
+    pages = spark.createDataFrame([("d", 1, f"Methods\nAs in [{long}] and [7].\nReferences\n[{long}] First entry of them.\n[007] Second entry of them.")], "document_id string, page_number int, text string")
+    entries = D.reference_entries(pages)
+    assert [r.entry_number for r in entries.orderBy("order").collect()] == [long, "7"]
+    cites = D.inline_citations(spark.createDataFrame([("d", "p", f"[{long}], [7], [1]")], "document_id string, passage_id string, text string"))
+    got = D.citation_links(cites, entries).join(cites.drop("document_id"), "citation_id").join(entries.select("reference_id", "order"), "reference_id")
+    assert sorted((r.raw_text, r.order) for r in got.collect()) == [(f"[{long}]", 0), ("[7]", 1)]
+
+
+def test_plans_go_two_steps_for_methods_and_one_for_summaries(spark):
+    asked = spark.createDataFrame([("a", "METHOD_USAGE", 6), ("b", "SUMMARY", 4)], "question_id string, intent string, max_evidence int")
+    assert {r.question_id: r.depth for r in Q.planned(asked).collect()} == {"a": 2, "b": 1}
+
+
+def test_canonical_candidates_come_first_and_once(spark):
+    schema = "question_id string, entity_id string, name string, type string, score double, reason string, source string, pos int"
+    found = spark.createDataFrame([("q", "n-1", "Transformer", "Method", 0.7, "token_match", "local", 1), ("q", "n-1", "Transformer", "Method", 0.92, "canonical_linked_match", "canonical-ready", 21), ("q", "n-2", "Attention", "Concept", 0.88, "canonical_linked_match", "canonical-ready", 22)], schema)
+    got = Q.representatives(Q.merged(found)).orderBy("rank").collect()
+    assert [(r.entity_id, r.source) for r in got] == [("n-1", "canonical-ready"), ("n-2", "canonical-ready")]
+
+
 def test_author_year_labels(spark):
     assert one(spark, X.label_keys(F.col("b")), b="Vaswani et al., 2017") == ["vaswani:2017"]
     assert one(spark, X.label_keys(F.col("b")), b="Smith, 2020; Doe, 2021") == ["smith:2020", "doe:2021"]
