@@ -714,3 +714,13 @@ def test_intervals_that_are_far_apart_do_not_meet(spark, monkeypatch):
     meet, many = seen[0]
     pairs = meet.select("i", "j").distinct().count()
     assert many == 9 and pairs <= 3 * (4 * 5 // 2)  # of 45 pairs
+
+
+def test_lines_at_the_border_are_counted_exactly(spark):
+    """Sketches of thousands of sites are off by some; lines on one site less than the limit stay, those on just the limit go."""
+    limit = 6_000
+    lines = {name: f"this line stands on {name} sites" for name in ("too few", "enough", "many")}
+    upto = {"too few": limit - 1, "enough": limit, "many": 8_000}
+    rows = [(i, "\n".join([f"own words of {i}", *(t for k, t in lines.items() if i < upto[k])]), f"site{i}") for i in range(8_000)]
+    found = linededup.boilerplate(linededup.lines_of(spark.createDataFrame(rows, "doc_id long, text string, source string"), 20), limit).collect()
+    assert sorted(r.n_sites for r in found) == [limit, 8_000] and {(r.keep_id, r.keep_pos) for r in found} == {(0, 2), (0, 3)}
