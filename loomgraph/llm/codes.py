@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import drop_stages, mark
+
 from .common import fresh, materialise
 from .vectors import EXACT, exact_sums, integers, largest, matrix
 
@@ -218,6 +220,7 @@ def compress(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embed
     if not 1 <= entries <= 256 or not 0 <= rounds < 255:
         raise ValueError("up to 256 entries and 254 rounds: codes and rounds are kept in a byte")
     kept = [c for c in vectors.columns if c != vector]
+    spark, since = vectors.sparkSession, mark(vectors.sparkSession)
     x, low, stamp, taken = (fresh(n, [*vectors.columns, code, error]) for n in ("x", "low", "stamp", "taken"))
     rows, dims = integers(vectors, scale, x, vector, parts)
     state = materialise(rows.drop(vector), "codes-rows")
@@ -226,6 +229,7 @@ def compress(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embed
     for r in range(rounds + 1):
         state = materialise(step(state, x, names, books, dims, first=r == 0), "codes-state")
         scanned.append(state.agg(F.sum(F.col(taken).cast("long"))).first()[0] or 0)
+        drop_stages(spark, since, keep=(state,))  # the state before it is of no use any more
         if r < rounds:
             books = next_books(state, x, code, books, dims)
     return Compressed(state.select(*kept, code, error), books, scanned)

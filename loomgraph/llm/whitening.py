@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import drop_stages, mark
+
 from .common import materialise
 from .vectors import exact_sums, gram, integers, largest, matrix
 
@@ -149,6 +151,7 @@ def fit_whitening(fit: DataFrame, x: str, dims: int) -> Whitening:
 
 def whiten(vectors: DataFrame, components: int = COMPONENTS, vector: str = "embedding", keep: tuple[str, ...] = ("vec_id",), scale: int = SCALE) -> DataFrame:
     """The columns to keep, and component, n, deviation (decimal), whitened, explained, identity_error, for each row and component."""
+    since = mark(vectors.sparkSession)
     rows, dims = integers(vectors.select(*keep, vector), scale, "x", vector)
     fit = materialise(rows.select("x").distinct(), "whiten-fit")
     model = fit_whitening(fit, "x", dims)
@@ -169,6 +172,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, vector: str = "embe
     else:
         found = rows.select(*keep, "x").mapInArrow(project, schema(keep))
         error = identity_error(materialise(fit.mapInArrow(project, schema(())), "whiten-check"), min(many, model.positive))
+    drop_stages(vectors.sparkSession, since)
     share = [float(v / model.trace) if model.trace else 0.0 for v in np.maximum(model.values[:many], 0).astype(np.float64)]
     out = found.select(*keep, "deviation", F.posexplode("at").alias("place", "whitened"))
     explained = F.element_at(F.array(*map(F.lit, share or [0.0])), F.col("place") + 1)
