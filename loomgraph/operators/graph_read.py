@@ -43,11 +43,12 @@ class Links:
     def __init__(self, edges: DataFrame, hub: int = HUB):
         out = edges.select("source", "target", "type", F.lit("outgoing").alias("direction"))
         back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "type", F.lit("incoming").alias("direction"))
-        rows = written(out.unionByName(back).distinct(), "links-rows")
+        rows = out.unionByName(back)
         parts = rows.groupBy("source").agg(F.ceil(F.count("*") / F.lit(hub)).cast("int").alias("parts"))
         self.hubs = written(parts.where("parts > 1"), "links-hubs")  # one row for every ``hub`` edges at most
         part = F.pmod(F.xxhash64("target"), F.coalesce("parts", F.lit(1))).cast("int")
-        self.rows = bucketed(rows.join(self.hubs, "source", "left").select("source", part.alias("part"), "target", "type", "direction"), ["source", "part"], "links")
+        dealt = rows.join(self.hubs, "source", "left").select("source", part.alias("part"), "target", "type", "direction")
+        self.rows = bucketed(dealt, ["source", "part"], "links", distinct=True)  # repeats lie together: they go without a shuffle of their own
 
     def of(self, ids: DataFrame) -> DataFrame:
         """The links whose source is among distinct ids (id), with id in the place of source."""

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.sources.files import Files, retried
 
 
-def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
-    """Writes the frame under a path in buckets by some keys, sorted by them, and beside the rows how they lie."""
+def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int, distinct: bool = False) -> None:
+    """Writes the frame (each different row once, if asked for) under a path in buckets by some keys, sorted by them, and beside the rows how
+    they lie."""
     spark, table = df.sparkSession, f"loomgraph_{uuid.uuid4().hex}"
-    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    rows = df.repartition(buckets, *keys)
+    (rows.distinct() if distinct else rows).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     spark.sql(f"DROP TABLE {table}")  # the catalog's name only: the rows are the path's
     retried(lambda: Files(spark).write_text(f"{path}/_layout.json", json.dumps({"keys": keys, "buckets": buckets})))
 

@@ -77,10 +77,10 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: list[str], name: str = "buckets", buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], name: str = "buckets", buckets: int | None = None, distinct: bool = False) -> DataFrame:
     """As :func:`written`, in buckets by some keys and sorted within them: a join by these keys moves the other side only. There are as many
     buckets as shuffle partitions."""
     spark = df.sparkSession
     path = _new_stage(spark, name)
-    write_buckets(df, path, keys, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_buckets(df, path, keys, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), distinct)
     return read_buckets(spark, path)

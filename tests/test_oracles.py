@@ -1,4 +1,4 @@
-"""Every query that has SQL gives the SQL's rows, at the two small scales."""
+"""Every query that has SQL gives the SQL's rows, at the smallest scale; the driver compares them at the next."""
 
 import duckdb
 import pytest
@@ -9,7 +9,6 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SQL = entry.oracle_sql()
 
 
-
 def key(rows):
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
