@@ -122,7 +122,7 @@ def test_streamed_durations_and_a_state_that_ends(spark, tmp_path):
         rows_of(spark, *days[0], schema=EVENT).coalesce(1).write.parquet(f"{at}/in")
         stream = build(spark.readStream.schema(EVENT).parquet(f"{at}/in"), linger=1)
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(processingTime="0 seconds").foreachBatch(lambda df, n, out=out: out.extend(map(tuple, df.collect()))).start()
-        held, until, k = [], time.time() + 90, 1
+        held, until, k = [], time.time() + 180, 1
         try:
             while time.time() < until and not (k == len(days) and held and held[-1] == 0 and len(out) >= (len(want) if name == "durations" else 6)):
                 if k < len(days) and len(held) > 3 * k:
