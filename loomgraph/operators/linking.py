@@ -48,8 +48,8 @@ def candidates(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     met = asked.join(blocks(registry), ["type", "kind", "block"]).select("mention_id", "canonical_id").distinct()
     nth = F.row_number().over(Window.partitionBy("mention_id").orderBy("canonical_id"))
     kept = met.withColumn("nth", nth).where(F.col("nth") <= MOST_CANDIDATES).drop("nth")
-    known = registry.dropDuplicates(["canonical_id"]).select("canonical_id", "normalized_name", "normalized_aliases", "acronyms", F.col("canonical_name").alias("known_name"), F.col("aliases").alias("known_aliases"))
-    return mentions.join(kept, "mention_id").join(known, "canonical_id")
+    known = registry.select("canonical_id", "normalized_name", "normalized_aliases", "acronyms", F.col("canonical_name").alias("known_name"), F.col("aliases").alias("known_aliases"))
+    return mentions.join(kept, "mention_id").join(known, "canonical_id").dropDuplicates(["mention_id", "canonical_id"])
 
 
 def expands(short: Column, long: Column) -> Column:
