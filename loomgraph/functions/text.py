@@ -82,8 +82,16 @@ def entity_uid(entity_type: Column, name: Column) -> Column:
     return F.concat(F.lower(entity_type), F.lit(":"), slug(name))
 
 
+def relation_slug(relation: Column) -> Column:
+    """The slug of a relation's type. Those of the vocabulary are known, so that no pattern runs for each mention."""
+    known = F
+    for name in S.RELATION_TYPES:
+        known = known.when(relation == name, name.lower().replace("_", "-"))
+    return known.otherwise(slug(relation))
+
+
 def relation_uid(relation: Column, source_uid: Column, target_uid: Column) -> Column:
-    return F.concat_ws(":", F.lit("ri"), slug(relation), source_uid, target_uid)
+    return F.concat_ws(":", F.lit("ri"), relation_slug(relation), source_uid, target_uid)
 
 
 def evidence_uid(relation: Column, passage: Column) -> Column:
@@ -254,5 +262,6 @@ def matches_with_offsets(text: Column, pattern: str) -> Column:
         at = acc["at"] + F.length(piece["gap"])
         return F.struct((at + F.length(piece["raw"])).alias("at"), F.concat(acc["found"], F.array(F.struct(piece["raw"].alias("raw"), at.alias("start")))).alias("found"))
 
-    pieces = F.zip_with(raw, F.slice(gaps, F.lit(1), F.size(raw)), lambda r, g: F.struct(r.alias("raw"), g.alias("gap")))
+    # there is a gap more than matches; asking for their number would look for them twice
+    pieces = F.filter(F.zip_with(raw, gaps, lambda r, g: F.struct(r.alias("raw"), g.alias("gap"))), lambda p: p["raw"].isNotNull())
     return F.aggregate(pieces, start, step, lambda acc: acc["found"])

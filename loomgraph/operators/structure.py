@@ -22,7 +22,7 @@ def short_id(prefix: str, *parts: Column) -> Column:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """document_id, page_number, pos, line, is_heading. A heading that repeats on its page counts once, as the first."""
-    lines = pages.select("document_id", "page_number", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = pages.select("document_id", "page_number", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where("line is not null")  # outer: a text is split once
     lines = lines.withColumn("found", F.col("line").rlike(HEADING_LINE))
     again = Window.partitionBy("document_id", "page_number", "found", F.lower(F.trim("line"))).orderBy("pos")
     # only heading lines need a rank; other lines share no key worth a window
@@ -166,7 +166,7 @@ def reference_entries(pages: DataFrame) -> DataFrame:
     blank = F.filter(F.split("block", r"\n\s*\n"), lambda e: F.trim(e) != "")
     numbered = lambda parts: F.slice(parts, F.lit(2), F.size(parts))  # noqa: E731  what stands before the first number is no entry
     entries = F.when(F.size(bracket) > 2, numbered(bracket)).when(F.size(dotted) > 2, numbered(dotted)).otherwise(blank)
-    rows = reference_block(pages).select("document_id", F.posexplode(entries).alias("order", "raw"))
+    rows = reference_block(pages).select("document_id", F.posexplode_outer(entries).alias("order", "raw"))  # outer: the block is cut once
     rows = rows.withColumn("raw_text", F.btrim("raw", F.lit(" \n\r\t"))).where(F.length("raw_text") >= 10)
     raw, order = F.col("raw_text"), F.col("order")
     author, year = X.lead_author(raw), X.last_year(raw)
@@ -180,7 +180,8 @@ def inline_citations(found: DataFrame) -> DataFrame:
     """citation_id, document_id, passage_id, style, raw_text, start_char, end_char, keys, labels for a table of passages."""
     numeric = F.transform(X.matches_with_offsets(F.col("text"), X.NUMERIC_CITATION), lambda m: F.struct(F.lit("numeric_bracket").alias("style"), m["raw"].alias("raw"), m["start"].alias("start")))
     dated = F.transform(X.matches_with_offsets(F.col("text"), X.AUTHOR_YEAR_BLOCK), lambda m: F.struct(F.lit("author_year").alias("style"), m["raw"].alias("raw"), m["start"].alias("start")))
-    rows = found.select("document_id", "passage_id", F.explode(F.concat(numeric, dated)).alias("c")).select("document_id", "passage_id", "c.*")
+    # outer, as explode would look for matches twice: once to see whether there are any
+    rows = found.select("document_id", "passage_id", F.explode_outer(F.concat(numeric, dated)).alias("c")).where("c is not null").select("document_id", "passage_id", "c.*")
     body = F.expr("substring(raw, 2, length(raw) - 2)")
     keys = F.when(F.col("style") == "numeric_bracket", X.expand_keys(body)).otherwise(F.array().cast("array<string>"))
     labels = F.when(F.col("style") == "author_year", X.label_keys(body)).otherwise(F.transform(keys, lambda k: F.concat(F.lit("["), k, F.lit("]"))))

@@ -43,8 +43,9 @@ class GraphTables:
         rows = rows.join(self.raw("orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(self.raw("customer").select(c("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", uid("Author", "c_name"), uid("Task", "c_mktsegment")), "o_custkey")
         key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "pct")
         section = F.when(c("l_returnflag") == "A", "Abstract").when(c("l_returnflag") == "N", "Methods").otherwise("Results")
-        rows = rows.withColumns({"passage_id": cat("pass:", F.md5(key)), "document_id": cat("doc:", c("l_orderkey")), "section_title": section, "section_id": cat("sec:", c("l_orderkey"), ":", c("l_returnflag")), "confidence": (100 - 5 * c("pct")) / 100})
-        return written(rows, "lines")
+        rows = written(rows.withColumn("passage_id", cat("pass:", F.md5(key))).drop("o_custkey", "l_partkey"), "lines")
+        # what a few characters of other columns give isn't written
+        return rows.withColumns({"document_id": cat("doc:", c("l_orderkey")), "section_title": section, "section_id": cat("sec:", c("l_orderkey"), ":", c("l_returnflag")), "confidence": (100 - 5 * c("pct")) / 100})
 
     @property
     def sections(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import structure as D
 from loomgraph.plans.chunk_sql import chunks
 from loomgraph.sources import loaders as L
+from loomgraph.sources.shared import written
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def doc19_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    citations, references = D.inline_citations(page_passages(spark, sf_dir)), D.reference_entries(pages(spark, sf_dir))
+    # both are read several times: by their keys, and by what joins the links
+    citations, references = written(D.inline_citations(page_passages(spark, sf_dir)), "citations"), written(D.reference_entries(pages(spark, sf_dir)), "references")
     return citations, references, D.citation_links(citations, references)
 
 
