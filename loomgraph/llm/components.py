@@ -30,6 +30,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = after.select("id", "label")
 
 
+class Groups:
+    """Components of n local nodes whose links come in arrays, each seen once and not kept. A root is its group's smallest node."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, at: np.ndarray) -> np.ndarray:
+        """The roots of some nodes; the ways there halve as they are gone."""
+        r = at
+        while not np.array_equal(up := self.parent[self.parent[r]], r):
+            self.parent[r] = up
+            r = up
+        self.parent[at] = r
+        return r
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.root(a), self.root(b)
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            apart = low < high
+            a, b = low[apart], high[apart]
+            # a root goes to the smallest root that it is linked to; links that lose to a smaller one come again
+            np.minimum.at(self.parent, b, a)
+
+    def stars(self) -> np.ndarray:
+        """Edges (member, smallest member) that span the groups."""
+        every = np.arange(len(self.parent))
+        root = self.root(every)
+        return np.stack([every, root], axis=1)[root != every]
+
+
 def spanning_stars(n: int, linked) -> np.ndarray:  # noqa: ANN001
     """Edges (member, smallest member) that span the components of n local nodes.
 

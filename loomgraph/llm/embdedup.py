@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise
-from .components import connected_components, spanning_stars
+from .components import Groups, connected_components
 
 COSINE, CELLS, INTERVAL_ROWS, LEAST_INTERVALS, LEAF = 0.95, 6, 32_768, 8, 512
 #: Dimensions on which intervals have bounds; what single precision may be off by, with a wide margin.
@@ -132,15 +132,15 @@ def compare(pdf: pd.DataFrame, i: int, j: int, dims: int, axes: np.ndarray, cosi
     left = np.flatnonzero(own == i)
     right = left if i == j else np.flatnonzero(own == j)
 
+    groups = Groups(len(ids))
+
     def hit(a: np.ndarray, b: np.ndarray) -> None:
+        groups.link(a, b)
         links[:] += np.bincount(a, weight[b], len(ids)).astype(np.int64) + np.bincount(b, weight[a], len(ids)).astype(np.int64)
 
     join_sequences(rows, left, right, i == j, hit)
-    some = np.flatnonzero(links)
-    side = own[some]
-    # a task answers for pairs across its two intervals, which are all its pairs where they are one
-    stars = spanning_stars(len(some), lambda x, rest: rows.linked(some[[x]], some[rest])[0] & ((side[rest] != side[x]) | (i == j)))
-    edges = pd.DataFrame({"a": ids[some][stars[:, 0]], "b": ids[some][stars[:, 1]], "n": np.zeros(len(stars), np.int64)})
+    some, stars = np.flatnonzero(links), groups.stars()
+    edges = pd.DataFrame({"a": ids[stars[:, 0]], "b": ids[stars[:, 1]], "n": np.zeros(len(stars), np.int64)})
     return pd.concat([pd.DataFrame({"a": ids[some], "b": ids[some], "n": links[some]}), edges])
 
 

@@ -288,6 +288,25 @@ def test_components(spark):
 # --- toxicity
 
 
+def test_local_groups_of_links_in_any_order():
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 0), (2, 1), (40, 25), (300, 280), (300, 3000)]:
+        links = rng.integers(0, n, (m, 2))
+        links = np.concatenate([links, links[: m // 2, ::-1]])  # repeats, both ways, and loops
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in links.tolist():
+                label[a] = label[b] = min(label[a], label[b])
+        groups = components.Groups(n)
+        for part in np.array_split(links, 7):
+            groups.link(part[:, 0], part[:, 1])
+        assert sorted(map(tuple, groups.stars().tolist())) == [(i, x) for i, x in enumerate(label) if i != x]
+    chain = components.Groups(100_000)  # from its far end on, as links seldom come
+    at = np.arange(100_000 - 1)[::-1]
+    chain.link(at + 1, at)
+    assert (chain.stars()[:, 1] == 0).all() and len(chain.stars()) == 100_000 - 1
+
+
 def test_toxicity(docs, odd, none, spark):
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
