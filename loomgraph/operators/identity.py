@@ -40,14 +40,16 @@ def name_map(cleaned: DataFrame) -> DataFrame:
     return names.groupBy("passage_id", "surface").agg(F.max_by(F.struct("canonical", "type", "uid"), "pos").alias("x")).select("passage_id", "surface", "x.*")
 
 
-def resolve_relations(relations: DataFrame, names: DataFrame) -> DataFrame:
+def resolve_relations(relations: DataFrame, names: DataFrame, *by: str) -> DataFrame:
     """Relations with the uid and type of each end: by the exact name, else by the first that differs in case only. The
-    name ``__DOCUMENT__`` stands for the passage's document."""
-    exact = names.select("passage_id", "surface", F.struct("canonical", "type", "uid").alias("hit"))
-    loose = names.groupBy("passage_id", F.lower("surface").alias("lowered")).agg(F.min_by(F.struct("canonical", "type", "uid"), "surface").alias("near"))
+    name ``__DOCUMENT__`` stands for the passage's document. Where both lie by columns that a passage has one value of (``by``), they are
+    joined where they are."""
+    at = [*by, "passage_id"]
+    exact = names.select(*at, "surface", F.struct("canonical", "type", "uid").alias("hit"))
+    loose = names.groupBy(*at, F.lower("surface").alias("lowered")).agg(F.min_by(F.struct("canonical", "type", "uid"), "surface").alias("near"))
     for end in ("source", "target"):
-        relations = relations.join(exact.withColumnRenamed("surface", end).withColumnRenamed("hit", f"{end}_hit"), ["passage_id", end], "left")
-        relations = relations.withColumn("lowered", F.lower(end)).join(loose.withColumnRenamed("near", f"{end}_near"), ["passage_id", "lowered"], "left").drop("lowered")
+        relations = relations.join(exact.withColumnRenamed("surface", end).withColumnRenamed("hit", f"{end}_hit"), [*at, end], "left")
+        relations = relations.withColumn("lowered", F.lower(end)).join(loose.withColumnRenamed("near", f"{end}_near"), [*at, "lowered"], "left").drop("lowered")
         document = F.when(F.col(end) == "__DOCUMENT__", F.struct(F.col("document_id").alias("canonical"), F.lit("Document").alias("type"), F.col("document_id").alias("uid")))
         relations = relations.withColumn(f"{end}_at", F.coalesce(document, f"{end}_hit", f"{end}_near")).drop(f"{end}_hit", f"{end}_near")
     fields = [F.col(f"{end}_at.{f}").alias(f"{end}_{f}") for end in ("source", "target") for f in ("uid", "type", "canonical")]
