@@ -74,3 +74,18 @@ def test_focus_of_none_is_every_edge(spark):
     none = spark.createDataFrame([], "id string")
     assert R.focus(edges, none, near=edges.where("false")).count() == 3
     assert {tuple(r) for r in R.focus(edges, spark.createDataFrame([("c",), ("a",)], "id string")).collect()} == {("a", "b", "t"), ("b", "c", "t")}
+
+
+def test_first_induced_goes_on_until_enough_are_found(spark):
+    edges = spark.createDataFrame([(f"{k:02}", f"{k + 1:02}", "t") for k in range(30)] * 2, "source string, target string, type string")
+    ids = spark.createDataFrame([(f"{k:02}",) for k in range(20, 26)], "id string")
+    assert [tuple(r) for r in R.induced(edges, ids, 3).collect()] == [("20", "21", "t"), ("21", "22", "t"), ("22", "23", "t")]
+    assert R.induced(edges, ids, 50).count() == 5
+
+
+def test_links_by_kind_write_what_is_asked_for(spark):
+    frame = lambda *rows: spark.createDataFrame([(*r, "t") for r in rows], "source string, target string, type string")
+    links = R.LinksByKind([("a", "b", frame(("a:1", "b:1"))), ("b", "c", frame(("b:1", "c:1"))), ("c", "d", frame(("c:1", "d:1")))], lambda x: F.substring_index(x, ":", 1))
+    got = {r.id: r.hops for r in R.within_hops(links, spark.createDataFrame([("a:1",)], "id string"), 2).collect()}
+    assert got == {"a:1": 0, "b:1": 1, "c:1": 2} and set(links.made) == {0, 1}
+    assert links.of(spark.createDataFrame([("x:1",)], "id string")).count() == 0
