@@ -7,7 +7,8 @@ from loomgraph.operators import graph_build as G
 from loomgraph.operators import graph_read as R
 from loomgraph.operators import identity as N
 from loomgraph.plans import build_queries as B
-from loomgraph.plans.graph_tables import GraphTables
+from loomgraph.plans.graph_tables import OF_A_DOCUMENT, GraphTables, kind_of
+from loomgraph.sources import loaders as L
 from loomgraph.sources.shared import mark
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +90,21 @@ def test_links_by_kind_write_what_is_asked_for(spark):
     got = {r.id: r.hops for r in R.within_hops(links, spark.createDataFrame([("a:1",)], "id string"), 2).collect()}
     assert got == {"a:1": 0, "b:1": 1, "c:1": 2} and set(links.made) == {0, 1}
     assert links.of(spark.createDataFrame([("x:1",)], "id string")).count() == 0
+
+
+def degrees(df):
+    return {r.id: r.degree for r in df.collect()}
+
+
+def test_degrees_of_a_documents_parts_are_counted_where_they_lie(spark):
+    t = GraphTables(spark, SF)
+    assert degrees(t.degrees) == degrees(R.degrees(t.edges))
+    frames = [(a, b, df) for a, b, df in t.edge_frames if "document_id" in df.columns and "relation" not in b]
+    assert moves(R.degrees_where_they_lie(frames, kind_of, OF_A_DOCUMENT)) == 0
+
+
+def test_degrees_of_frames_that_share_ids(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "document_id int, source string, target string")
+    frames = [("a", "b", frame((1, "a:1", "b:1"), (1, "a:1", "b:2"))), ("b", "c b", frame((1, "b:1", "c:1"), (2, "b:3", "c:1"), (1, "b:1", "b:1"))), ("c", "c", frame((1, "c:1", "c:2")).drop("document_id"))]
+    got = degrees(R.degrees_where_they_lie(frames, lambda x: F.substring_index(x, ":", 1), ("a", "b")))
+    assert got == {"a:1": 2, "b:1": 4, "b:2": 1, "b:3": 1, "c:1": 3, "c:2": 1}
