@@ -108,3 +108,10 @@ def test_degrees_of_frames_that_share_ids(spark):
     frames = [("a", "b", frame((1, "a:1", "b:1"), (1, "a:1", "b:2"))), ("b", "c b", frame((1, "b:1", "c:1"), (2, "b:3", "c:1"), (1, "b:1", "b:1"))), ("c", "c", frame((1, "c:1", "c:2")).drop("document_id"))]
     got = degrees(R.degrees_where_they_lie(frames, lambda x: F.substring_index(x, ":", 1), ("a", "b")))
     assert got == {"a:1": 2, "b:1": 4, "b:2": 1, "b:3": 1, "c:1": 3, "c:2": 1}
+
+
+def test_bounded_with_given_degrees(spark):
+    edges = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t"), ("d", "a", "t"), ("a", "c", "t")], "source string, target string, type string")
+    lit = spark.createDataFrame([("d",)], "id string")
+    rows = lambda **more: [tuple(r) for r in R.bounded(edges, lit, most_nodes=3, **more).collect()]
+    assert rows(found=R.degrees(edges)) == rows() == [("a", "c", "t"), ("c", "d", "t"), ("d", "a", "t")]
