@@ -115,3 +115,21 @@ def test_bounded_with_given_degrees(spark):
     lit = spark.createDataFrame([("d",)], "id string")
     rows = lambda **more: [tuple(r) for r in R.bounded(edges, lit, most_nodes=3, **more).collect()]
     assert rows(found=R.degrees(edges)) == rows() == [("a", "c", "t"), ("c", "d", "t"), ("d", "a", "t")]
+
+
+def test_a_scope_reads_the_parts_of_its_documents_only(spark):
+    t = GraphTables(spark, SF)
+    seeds = t.documents.where("year = 1996").select(F.col("document_id").alias("id"))
+    of = t.among(seeds)
+    asked = {r.id for r in seeds.collect()}
+    assert {r.document_id for r in of.lines.select("document_id").collect()} == {r.document_id for r in t.lines.select("document_id").collect()} & asked
+    assert of.once.only is of.only
+    near = R.within_hops(t.links, seeds, 2)
+    assert {tuple(r) for r in R.within_hops(of.links, seeds, 2).collect()} == {tuple(r) for r in near.collect()}
+
+
+def test_nodes_of_kinds(spark):
+    t = GraphTables(spark, SF)
+    for kinds in (("entity", "relation", "canonical"), OF_A_DOCUMENT):
+        got = {tuple(r) for r in t.nodes_of(" ".join(kinds)).collect()}
+        assert got == {tuple(r) for r in t.nodes.withColumn("kind", kind_of(F.col("id"))).where(F.col("kind").isin(*kinds)).drop("kind").collect()}
