@@ -133,3 +133,15 @@ def test_nodes_of_kinds(spark):
     for kinds in (("entity", "relation", "canonical"), OF_A_DOCUMENT):
         got = {tuple(r) for r in t.nodes_of(" ".join(kinds)).collect()}
         assert got == {tuple(r) for r in t.nodes.withColumn("kind", kind_of(F.col("id"))).where(F.col("kind").isin(*kinds)).drop("kind").collect()}
+
+
+def test_neighbours_of_ids_asked_once(spark):
+    edges = spark.createDataFrame([("a", "b", "t"), ("a", "b", "t"), ("b", "a", "u"), ("c", "a", "t"), ("a", "a", "t"), ("d", "c", "t")], "source string, target string, type string")
+    nodes, ids = spark.createDataFrame([("a",), ("b",), ("b",), ("d",)], "id string"), spark.createDataFrame([("a",), ("a",), ("c",)], "id string")
+    got = lambda e, **more: sorted(tuple(r) for r in R.neighbours(e, nodes, ids, **more).collect())
+    want = [("a", "incoming", "u", "b"), ("a", "outgoing", "t", "b"), ("c", "incoming", "t", "d"), ("c", "outgoing", "t", "a")]
+    assert got(edges) == got(R.Links(edges)) == want
+    assert got(edges, scope=spark.createDataFrame([("d",), ("a",)], "id string")) == want[2:]
+    since = mark(spark)
+    R.neighbours(edges, nodes, ids)
+    assert mark(spark) == since + 2  # the ids and their edges: no other edge is written
