@@ -172,3 +172,8 @@ def test_evidence_is_counted_without_its_citations(spark):
 
 def test_a_documents_evidence_is_counted_without_its_citations(spark):
     assert "collect_set" not in B.QUERIES["doc27_written"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_of_evidence_lie_still(spark):
+    t = GraphTables(spark, SF)
+    assert moves(t.nodes_of("evidence")) == 0 and "collect_set" not in t.nodes_of("evidence")._jdf.queryExecution().executedPlan().toString()
