@@ -177,3 +177,20 @@ def test_a_documents_evidence_is_counted_without_its_citations(spark):
 def test_nodes_of_evidence_lie_still(spark):
     t = GraphTables(spark, SF)
     assert moves(t.nodes_of("evidence")) == 0 and "collect_set" not in t.nodes_of("evidence")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_nodes_evidence_and_summary_explode_relations_after_their_join(spark):
+    made = [("r1", "T", "a", "b"), ("r2", "T", "a", "a"), ("r1", "T", "a", "b")]
+    relations = spark.createDataFrame(made, "uid string, type string, source_uid string, target_uid string")
+    evidence = spark.createDataFrame([("e1", "r1", "p", 0.5), ("e2", "r2", "q", 0.7), ("e3", "r2", "p", 0.9)], "uid string, relation_uid string, passage_id string, confidence double")
+    passages = spark.createDataFrame([("p", "s", "d", "text"), ("q", "s", "d", "text")], "passage_id string, section_id string, document_id string, text string")
+    found = R.node_evidence(relations, evidence, passages, most=2)
+    assert sorted((r.id, r.evidence_uid) for r in found.collect()) == [("a", "e2"), ("a", "e3"), ("b", "e1"), ("r1", "e1"), ("r2", "e2"), ("r2", "e3")]
+    citations = spark.createDataFrame([("p",), ("p",)], "passage_id string")
+    rows = {r.id: (r.relations, r.evidence, r.citations) for r in R.node_summary(relations, evidence, citations).collect()}
+    assert rows == {"a": (2, 3, 4), "b": (1, 1, 2)}
+    t = GraphTables(spark, SF)
+    read = R.node_evidence(t.relation_rows, t.evidence_by_document, t.passages)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[id#" not in read
+    plan = R.node_summary(t.relation_rows, t.evidence_by_document, t.citations)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter")
