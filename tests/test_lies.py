@@ -194,3 +194,11 @@ def test_a_nodes_evidence_and_summary_explode_relations_after_their_join(spark):
     assert "keys=[id#" not in read
     plan = R.node_summary(t.relation_rows, t.evidence_by_document, t.citations)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join LeftOuter")
+
+
+def test_citations_are_split_where_they_lie(spark):
+    t = GraphTables(spark, SF)
+    written, missing = G.split_by_passage(t.citations, t.passages.where("page_number <= 3"))
+    assert moves(written) == 0 and moves(missing) == 0
+    by_id = G.split_by_passage(t.citations.drop("document_id"), t.passages.where("page_number <= 3").drop("document_id"))
+    assert [df.count() for df in (written, missing)] == [df.count() for df in by_id]
