@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,14 +160,23 @@ def str03_durations(t: GraphTables) -> DataFrame:
     return J.stage_durations(J.split_stages(job_events(t))[0])
 
 
-def _fed(t: GraphTables, source: DataFrame, by: str, times: int = 3) -> tuple[str, DataFrame]:
-    """A folder, and a stream of the rows of a frame that reads one of a few files a batch: one after another in the order of a column."""
-    at = new_path(t.spark, "stream")
-    source.repartitionByRange(times, by).sortWithinPartitions(by).withColumn("nth", F.spark_partition_id()).write.partitionBy("nth").parquet(f"{at}/all")
-    for k in range(times):  # the stream reads the oldest file first
-        part = t.spark.read.schema(T.StructType([*source.schema.fields, T.StructField("nth", T.IntegerType())])).parquet(f"{at}/all").where(c("nth") == k)
-        part.select(*source.columns).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    return at, t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+#: Rows of one file that a stream is fed.
+ROWS_A_FILE = 1_000_000
+
+
+def _fed(t: GraphTables, source: DataFrame, by: str, start: Callable[[DataFrame, str], None], times: int = 3) -> str:
+    """Feeds a stream the rows of a frame in a few batches, one after another in the order of a column, each in as many files as its rows need.
+    ``start`` runs the stream until it has read what is there, which is one batch; it comes back from its checkpoint for the next. The folder."""
+    at, spark = new_path(t.spark, "stream"), t.spark
+    files = max(1, -(-source.count() // (times * ROWS_A_FILE)))
+    nth = F.floor(F.spark_partition_id() / F.lit(files)).cast("int")
+    source.repartitionByRange(times * files, by).withColumn("nth", nth).write.partitionBy("nth").parquet(f"{at}/all")
+    schema = T.StructType([*source.schema.fields, T.StructField("nth", T.IntegerType())])
+    for k in range(times):
+        part = spark.read.schema(schema).parquet(f"{at}/all").where(c("nth") == k).select(*source.columns)
+        part.write.mode("append").parquet(f"{at}/in")
+        start(spark.readStream.schema(source.schema).parquet(f"{at}/in"), at)
+    return at
 
 
 def _run(stream: DataFrame, at: str, sink, mode: str = "append") -> None:  # noqa: ANN001
@@ -180,8 +191,8 @@ def _run(stream: DataFrame, at: str, sink, mode: str = "append") -> None:  # noq
 
 def _drained(t: GraphTables, source: DataFrame, build, mode: str, by: str) -> DataFrame:  # noqa: ANN001
     """What a stream over the rows of a frame wrote, with the number of its batch."""
-    at, stream = _fed(t, source, by)
-    _run(build(stream), at, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/{n}"), mode)
+    sink = lambda at: lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/{n}")
+    at = _fed(t, source, by, lambda stream, at: _run(build(stream), at, sink(at), mode))
     return t.spark.read.parquet(f"{at}/out/*")
 
 
@@ -209,8 +220,7 @@ def _arrivals(t: GraphTables) -> DataFrame:
 def str04_arrivals(t: GraphTables) -> DataFrame:
     """Each hash once: near repeats go in the stream's state, later ones by the registry."""
     rows = _arrivals(t)
-    at, stream = _fed(t, rows, "doc_id")
-    _run(J.stream_arrivals(stream), at, J.arrivals_sink(f"{at}/registry"))
+    at = _fed(t, rows, "doc_id", lambda stream, at: _run(J.stream_arrivals(stream), at, J.arrivals_sink(f"{at}/registry")))
     return J.registered(t.spark, f"{at}/registry", rows.schema).select("file_hash")
 
 
@@ -218,8 +228,7 @@ def str04_arrivals(t: GraphTables) -> DataFrame:
 def str04_first_arrivals(t: GraphTables) -> DataFrame:
     """The first document of each hash: no state in the stream, the registry alone decides."""
     rows = _arrivals(t)
-    at, stream = _fed(t, rows, "doc_id")
-    _run(J.stream_arrivals(stream, watermark=None), at, J.arrivals_sink(f"{at}/registry", first=("doc_id",)))
+    at = _fed(t, rows, "doc_id", lambda stream, at: _run(J.stream_arrivals(stream, watermark=None), at, J.arrivals_sink(f"{at}/registry", first=("doc_id",))))
     return J.registered(t.spark, f"{at}/registry", rows.schema).select("file_hash", "doc_id")
 
 
@@ -227,6 +236,5 @@ def str04_first_arrivals(t: GraphTables) -> DataFrame:
 def str05_upserts(t: GraphTables) -> DataFrame:
     """Batches of documents upserted into a table that starts empty."""
     rows = t.raw("documents").select(c("source").alias("document_id"), F.md5("text").alias("file_hash"), "lang", c("doc_id").alias("seq"))
-    at, stream = _fed(t, rows, "seq")
-    _run(stream, at, J.upsert_sink(f"{at}/table", ["document_id"]))
+    at = _fed(t, rows, "seq", lambda stream, at: _run(stream, at, J.upsert_sink(f"{at}/table", ["document_id"])))
     return J.upserted(t.spark, f"{at}/table", rows.schema).drop("seq")

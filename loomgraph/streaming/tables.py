@@ -63,8 +63,10 @@ class BucketTable:
         """Writes a batch's rows; the buckets in ``whole`` consist of them alone from then on, others have one part more."""
         at = f"{self.path}/rows/batch={batch_id}"
         out = rows.select(*self.schema.names, self.bucket().alias("bucket"))
-        # rows of a bucket lie together, in as many files as they need: a large bucket is not one task's
-        out.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        # rows of a bucket lie together, in one file or, if a shuffle has more tasks than there are buckets, in as many as keep these busy. A
+        # stream's plans aren't adaptive: a hint to rebalance does nothing there, and every task would write a file to every bucket
+        pieces = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        out.repartition("bucket", F.pmod(F.hash(*self.keys), F.lit(pieces))).write.mode("overwrite").partitionBy("bucket").parquet(at)
         written = {int(n.removeprefix("bucket=")) for n in self.files.children(at) if n.startswith("bucket=")}
         kept = {k: v for k, v in before.items() if k not in whole}
         now = {k: [*kept.get(k, []), *([batch_id] if k in written else [])] for k in {*kept, *written}}

@@ -4,6 +4,8 @@ import time
 
 import pytest
 
+from loomgraph.plans import service_queries as V
+from loomgraph.plans.graph_tables import GraphTables
 from loomgraph.sources import files
 from loomgraph.streaming import jobs as J
 from loomgraph.streaming.tables import BucketTable
@@ -150,3 +152,21 @@ def test_buckets_are_read_alone(spark, tmp_path):
     one = table.rows({2: state[2]})
     assert all("bucket=2" in f for f in one.inputFiles()) and one.count() == rows.where(table.bucket() == 2).count()
     assert table.rows({}).count() == 0 and BucketTable(spark, f"{tmp_path}/none", table.schema, []).state() == {}
+
+
+def test_a_streams_batch_writes_a_file_a_bucket(spark, tmp_path):
+    rows = rows_of(spark, *[(i, f"h{i}", 0.0) for i in range(400)]).repartition(16)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as within a stream
+    try:
+        BucketTable(spark, str(tmp_path), rows.schema, ["file_hash"], 4).write(0, rows, {}, set())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list(tmp_path.glob("rows/batch=0/bucket=*/*.parquet"))) <= 8  # two for each of four buckets: a shuffle has eight tasks
+
+
+def test_streams_are_fed_by_many_tasks_in_order(spark, monkeypatch):
+    monkeypatch.setattr(V, "ROWS_A_FILE", 100)
+    seen = []
+    at = V._fed(GraphTables(spark, "/root/testdata/sf0.001"), spark.range(3000).withColumnRenamed("id", "k"), "k", lambda stream, at: seen.append({r.k for r in spark.read.parquet(f"{at}/in").collect()}))
+    assert seen[-1] == set(range(3000)) and [max(s) + 1 for s in seen] == [len(s) for s in seen]
+    assert len(spark.read.parquet(f"{at}/all").inputFiles()) == 30 and len(seen) == 3
