@@ -210,3 +210,12 @@ def test_edges_that_lie_by_document_are_told_once_where_they_lie(spark):
     assert moves(here) == 0 and moves(G.edges(t.sections, "document_id", "section_id", "HAS_SECTION", by="document_id")) == 0
     there = G.edges(t.passages, "section_id", "passage_id", "HAS_PASSAGE")
     assert {tuple(r) for r in here.collect()} == {tuple(r) for r in there.collect()} and here.count() == there.count()
+
+
+def test_dangling_ends_are_found_without_gathering_names(spark):
+    names = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b"), ("q", "c")], "passage_id string, name string")
+    rows = spark.createDataFrame([("p", "a", "b"), ("p", "a", "b"), ("p", "a", "c"), ("q", "c", "c"), ("q", None, "c")], "passage_id string, source string, target string")
+    kept = E.without_dangling(rows, names)
+    assert sorted(tuple(r) for r in kept.select("passage_id", "source", "target").collect()) == [("p", "a", "b"), ("p", "a", "b"), ("q", "c", "c")]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "BroadcastHashJoin" not in plan
