@@ -7,6 +7,7 @@ from loomgraph.operators import graph_build as G
 from loomgraph.operators import graph_read as R
 from loomgraph.operators import identity as N
 from loomgraph.plans import build_queries as B
+from loomgraph.plans import read_queries as Q
 from loomgraph.plans.graph_tables import OF_A_DOCUMENT, GraphTables, kind_of
 from loomgraph.sources import loaders as L
 from loomgraph.sources.shared import mark
@@ -219,3 +220,11 @@ def test_dangling_ends_are_found_without_gathering_names(spark):
     assert sorted(tuple(r) for r in kept.select("passage_id", "source", "target").collect()) == [("p", "a", "b"), ("p", "a", "b"), ("q", "c", "c")]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_an_adjacency_takes_ends_from_the_mentions(spark):
+    t = GraphTables(spark, SF)
+    plan = R.both_ways(Q._ends(t)).distinct()
+    assert moves(plan) == moves(t.once.lines) + 1
+    assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in Q._ends(t).distinct().collect()} == {tuple(r) for r in t.relations.select("source_uid", "target_uid").distinct().collect()}
