@@ -16,6 +16,8 @@ from loomgraph.sources.shared import written
 SHARD, BLOCK, MOST_PIVOTS, SAMPLE = 16_384, 65_536, 2_048, 2_048
 #: What a rounded score may be off by, with a wide margin: a shard is passed over only beyond it.
 SLACK = 1e-8
+#: Scores that a worker holds at once, of which it makes a few copies.
+TILE = 1 << 20
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -37,6 +39,21 @@ def angles(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1, 1))
 
 
+def tiles(rows: int, wide: int) -> Iterator[slice]:
+    """Rows in runs whose scores with ``wide`` others are TILE at most (a row at least)."""
+    step = max(1, TILE // max(1, wide))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def floors(queries: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among a sample, -2 where it has fewer."""
+    out = np.full(len(queries), -2.0)
+    if len(sample) >= k:
+        for at in tiles(len(queries), len(sample)):
+            out[at] = np.partition(cosines(queries[at], sample), -k, axis=1)[:, -k]
+    return out
+
+
 def _drawn(chunks: DataFrame, many: int, seed: str) -> np.ndarray:
     """About ``many`` of the chunks' unit vectors, by a hash of their ids."""
     n = chunks.count()
@@ -68,8 +85,7 @@ def _by_pivots(queries: DataFrame, chunks: DataFrame, k: int) -> tuple[DataFrame
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             q = unit(pdf["embedding"])
-            known = np.sort(cosines(q, sample), axis=1) if len(sample) else np.zeros((len(q), 0))
-            floor = known[:, -k] if known.shape[1] >= k else np.full(len(q), -2.0)
+            floor = floors(q, sample, k)
             best = np.cos(np.maximum(0, angles(cosines(q, pivots)) - reach))
             best[:, reach < 0] = -3
             # a vector of length 0 has no angle: its scores are 0 with all
@@ -122,8 +138,8 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, positive: bool = Tr
         ids, vectors = right["chunk_id"].to_numpy(), unit(right["embedding"])
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
-        for at in range(0, len(left) if len(right) else 0, 256):
-            block = left.iloc[at : at + 256]
+        for at in tiles(len(left) if len(right) else 0, len(right)):
+            block = left.iloc[at]
             near = np.round(cosines(unit(block["embedding"]), vectors), 9)
             best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # of equal scores, the smaller id
             score = np.take_along_axis(near, best, 1).ravel()

@@ -246,3 +246,15 @@ def test_traces_are_read_where_they_lie(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     with pytest.raises(ValueError, match="buckets"):
         read_buckets(spark, str(tmp_path))
+
+
+def test_scores_are_held_in_tiles(monkeypatch):
+    rng = np.random.default_rng(1)
+    queries, sample = rng.normal(size=(700, 4)), rng.normal(size=(50, 4))
+    held, cosines = [], V.cosines
+    monkeypatch.setattr(V, "TILE", 1000)
+    monkeypatch.setattr(V, "cosines", lambda a, b: held.append(len(a) * len(b)) or cosines(a, b))
+    got = V.floors(queries, sample, 3)
+    assert np.allclose(got, np.sort(queries @ sample.T, axis=1)[:, -3]) and len(held) == 35 and max(held) <= 1000
+    assert (V.floors(queries, sample[:2], 3) == -2).all() and (V.floors(queries, sample[:0], 3) == -2).all()
+    assert [i for s in V.tiles(7, 2000) for i in range(7)[s]] == list(range(7)) and not list(V.tiles(0, 0))
