@@ -104,3 +104,28 @@ def test_scopes_aren_t_sent_to_all_tasks(spark):
     passages = next(df for a, b, df in graph.edges if b == "passage")
     plan = graph._edge_scope("section", "passage", passages, scope)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_terms_meet_their_first_few_nodes(spark):
+    """A question's rows come from its first nodes and their first neighbours: edges are asked for no others."""
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(f"n{i:03d}", rng.choice(["deep net", "net", "graph", "nothing"])) for i in range(120)], "id string, display_name string")
+    edges = spark.createDataFrame([(f"n{rng.randrange(120):03d}", f"n{rng.randrange(120):03d}", rng.choice("st")) for _ in range(300)] + [("n002", f"m{i:03d}", "s") for i in range(90)], "source string, target string, type string")
+    terms = spark.createDataFrame([("q1", "net"), ("q1", "deep"), ("q2", "graph"), ("q3", "absent"), ("q4", "not")], "question_id string, token string")
+    want, ways = [], {}
+    for a, b, _ in edges.collect():
+        ways.setdefault(a, set()).add(b)
+        ways.setdefault(b, set()).add(a)
+    for q in ("q1", "q2", "q3", "q4"):
+        tokens = [t for x, t in terms.collect() if x == q]
+        hits = [i for i, n in nodes.collect() if any(t in n for t in tokens)]
+        want += sorted([(q, i, n) for i in hits for n in ways.get(i) or [None]], key=lambda r: (r[1], r[2] or ""))[:7]
+    found = R.term_neighbourhood(nodes, edges, terms, 7)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    read = [f for f in found.inputFiles() if "term-hits" in f]
+    assert read and spark.read.parquet(*read).count() <= 7 * 3
+
+
+def test_a_display_s_nodes_are_found_once(spark):
+    edges = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t")], "source string, target string, type string")
+    assert any("bounded-nodes" in f for f in R.bounded(edges, spark.createDataFrame([("c",)], "id string")).inputFiles())
