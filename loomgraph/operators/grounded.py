@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph import schemas as S
 from loomgraph.functions import text as X
 from loomgraph.operators.graph_read import contains_hits
-from loomgraph.sources.shared import written
+from loomgraph.sources.shared import sent, written
 
 MOST_CANDIDATES, FALLBACKS, MOST_PER_CANDIDATE = 20, 5, 10
 WEAK, WEAK_KEPT = 0.55, 2
@@ -69,8 +69,9 @@ def in_document_scope(hits: DataFrame, entity_documents: DataFrame, instances: D
     canonical, has evidence there. Only pairs that are asked for go to their canonicals: peers are never paired with each other."""
     scoped = hits.where("document_id is not null")
     asked = scoped.select("uid", "document_id").distinct()
-    itself = asked.join(entity_documents.withColumnRenamed("entity_uid", "uid"), ["uid", "document_id"], "left_semi")
-    reach = instances.join(entity_documents, "entity_uid").select("canonical_id", "document_id").distinct()
+    there = entity_documents.join(sent(asked.select("document_id").distinct(), "asked-documents"), "document_id", "left_semi")
+    itself = asked.join(there.withColumnRenamed("entity_uid", "uid").hint("merge"), ["uid", "document_id"], "left_semi")
+    reach = instances.join(there, "entity_uid").select("canonical_id", "document_id").distinct().hint("merge")
     through = asked.join(instances.withColumnRenamed("entity_uid", "uid"), "uid").join(reach, ["canonical_id", "document_id"], "left_semi").select("uid", "document_id")
     scoped = scoped.join(itself.unionByName(through).distinct(), ["uid", "document_id"], "left_semi")
     return hits.where("document_id is null").unionByName(scoped.select(*hits.columns))
@@ -83,14 +84,17 @@ def local_candidates(asked: DataFrame, entities: DataFrame, entity_documents: Da
     known = entities.where(c("type").isin(*S.ENTITY_TYPES))
     tokens = asked.select("question_id", "document_id", "node_types", F.explode("tokens").alias("token"))
     free, scoped = tokens.where("document_id is null"), tokens.where("document_id is not null")
-    hits = contains_hits(known, "uid", "name", free).join(known.select("uid", "type"), "uid")
+    typed = known.select("uid", "type").hint("merge")
+    hits = contains_hits(known, "uid", "name", free).join(typed, "uid")
     first = F.row_number().over(Window.partitionBy("token", "type").orderBy("uid"))
-    lists = hits.withColumn("k", first).where(c("k") <= MOST_CANDIDATES).drop("k")
-    every = contains_hits(known, "uid", "name", scoped).join(known.select("uid", "type"), "uid")
+    lists = sent(hits.withColumn("k", first).where(c("k") <= MOST_CANDIDATES).drop("k"), "local-lists")
+    every = sent(contains_hits(known, "uid", "name", scoped).join(typed, "uid"), "scoped-hits")
+    # names are looked up for the entities on the lists only, which are fewer than the entities and the questions
+    named = sent(known.join(lists.select("uid").unionByName(every.select("uid")).distinct().hint("merge"), "uid", "left_semi"), "local-names")
     fits = (F.size("node_types") == 0) | F.array_contains("node_types", c("type"))
     met = lambda side, found: side.join(found, "token").where(fits).select("question_id", "document_id", "uid").distinct()
     rows = met(free, lists).unionByName(in_document_scope(met(scoped, every), entity_documents, instances))
-    rows = nth(rows, "pos", "uid").where(c("pos") <= MOST_CANDIDATES).join(known, "uid")
+    rows = nth(rows, "pos", "uid").where(c("pos") <= MOST_CANDIDATES).join(named, "uid")
     return rows.select("question_id", c("uid").alias("entity_id"), "name", "type", F.lit(1.0).alias("score"), F.lit("name_match").alias("reason"), F.lit("local").alias("source"), "pos")
 
 
@@ -106,10 +110,11 @@ def canonical_candidates(asked: DataFrame, entities: DataFrame, entity_documents
     members = instances.join(entities.select(c("uid").alias("entity_uid"), "type"), "entity_uid").withColumn("k", first).where(c("k") <= MOST_CANDIDATES).drop("k")
     members = members.join(reach, "canonical_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
     best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("documents"), "entity_uid", "canonical_id"))
-    lists = part.unionByName(exact).distinct().join(members, "canonical_id").withColumn("k", best).where(c("k") <= MOST_CANDIDATES).drop("k")
+    lists = sent(part.unionByName(exact).distinct().join(members, "canonical_id").withColumn("k", best).where(c("k") <= MOST_CANDIDATES).drop("k"), "canonical-lists")
+    named = sent(registry.select("canonical_id", "canonical_name").join(lists.select("canonical_id").distinct().hint("merge"), "canonical_id", "left_semi"), "canonical-names")
     rows = tokens.join(lists, "token").drop("token").distinct()
     rows = nth(rows, "pos", F.desc("documents"), "entity_uid", "canonical_id").where(c("pos") <= MOST_CANDIDATES)
-    rows = rows.join(registry.select("canonical_id", "canonical_name"), "canonical_id")
+    rows = rows.join(named, "canonical_id")
     score = F.greatest(F.lit(0.8), F.least(F.lit(1.0), 0.8 + c("documents") * 0.02))
     return rows.select("question_id", c("entity_uid").alias("entity_id"), c("canonical_name").alias("name"), "type", score.alias("score"), F.lit("canonical_linked_match").alias("reason"), F.lit("canonical-ready").alias("source"), (c("pos") + MOST_CANDIDATES).alias("pos"))
 
@@ -128,12 +133,12 @@ def fallback_candidates(asked: DataFrame, local: DataFrame, entities: DataFrame,
     """The densest five entities for questions of two tokens or more that no local candidate answers. Questions that ask for the
     same node types in the same order share one list. A question's document doesn't restrict its list, so the rule stands, unless
     ``scope_fallback`` is set: then only entities with evidence in that document are on it (``entity_documents`` tells)."""
-    need = asked.where(F.size("tokens") > 1).join(local.select("question_id").distinct(), "question_id", "left_anti")
+    need = asked.where(F.size("tokens") > 1).join(local.select("question_id").distinct().hint("merge"), "question_id", "left_anti")
     scope = F.coalesce("document_id", F.lit("")) if scope_fallback else F.lit("")
     need = need.withColumns({"cited": c("intent") == "CITATION_BASIS", "kinds": F.array_join("node_types", ","), "scope": scope})
     every = F.array(*map(F.lit, S.ENTITY_TYPES))
     kinds = need.select("cited", "kinds", "scope", F.explode(F.array_distinct(F.when(F.size("node_types") == 0, every).otherwise(c("node_types")))).alias("type")).distinct()
-    rows = found.join(entities.where(c("type").isin(*S.ENTITY_TYPES)), "uid").withColumn("scope", F.lit(""))
+    rows = found.join(entities.where(c("type").isin(*S.ENTITY_TYPES)).hint("merge"), "uid").withColumn("scope", F.lit(""))
     if scope_fallback:
         there = entity_documents.select(c("entity_uid").alias("uid"), c("document_id").alias("scope")).distinct()
         rows = rows.unionByName(rows.drop("scope").join(there, "uid").select(*rows.columns))
@@ -149,7 +154,7 @@ def fallback_candidates(asked: DataFrame, local: DataFrame, entities: DataFrame,
 
 def boosted(candidates: DataFrame, asked: DataFrame) -> DataFrame:
     """Candidates whose name contains a disambiguation term: 0.1 more, but never above 1."""
-    rows = candidates.join(asked.select("question_id", "terms"), "question_id")
+    rows = candidates.join(asked.select("question_id", "terms").hint("merge"), "question_id")
     hit = F.exists("terms", lambda t: F.lower("name").contains(F.lower(t)))
     return rows.withColumns({"score": F.when(hit, F.least(F.lit(1.0), c("score") + 0.1)).otherwise(c("score")), "reason": F.when(hit, F.concat("reason", F.lit("|disambiguation_context"))).otherwise(c("reason"))}).drop("terms")
 
